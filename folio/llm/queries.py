@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
@@ -28,8 +29,102 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(files)
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    out = format_conversations(rows.unionByName(probe), _vocabulary("byte_bpe_50k.json"))
+    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of two tokenizer versions: estimates come first and are revised, then copies of a text go but for the first."""
+    from .rollup import TokenRollup
+
+    scratch = Scratch(spark, "rollup")
+    text = F.coalesce("text", F.lit(""))
+    counts = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.md5(text.cast("binary")).alias("copy"), F.expr("(length(coalesce(text, '')) + 5) div 6").alias("guess"),
+        F.regexp_count(text, F.lit(r"[^ \t-\r]+")).cast("long").alias("words"), F.regexp_count(text, F.lit(r"[^ \t-\r.,;:!?]+|[.,;:!?]")).cast("long").alias("marks"),
+    )
+    counts = scratch.write(counts, "counts")
+    first = counts.groupBy("copy").agg(F.min_by(F.struct("source", "lang", "words", "marks"), F.struct("doc_id", "source", "lang")).alias("x")).select("x.*")
+    change = lambda df, op, version, tokens, old="null": df.selectExpr(f"'{op}' op", "source", "lang", f"'{version}' tokenizer_version", f"{tokens} tokens", f"cast({old} as long) old_tokens")
+    rollup = TokenRollup(spark, f"{scratch.path}/state")
+    revised = change(counts, "revise", "words-1", "words", "guess")
+    rollup.commit("1-estimates", change(counts, "insert", "words-1", "guess"))
+    rollup.commit("2-revised", revised)
+    rollup.commit("2-revised", revised)  # a batch that is sent again changes nothing
+    rollup.commit("3-marks", change(counts, "insert", "marks-2", "marks"))
+    rollup.compact()
+    both = lambda df, op: change(df, op, "words-1", "words").unionByName(change(df, op, "marks-2", "marks"))
+    rollup.commit("4-copies", both(counts, "delete").unionByName(both(first, "insert")))
+    return rollup.totals()
+
+
+OP4_SQL = r"""
+with d as (
+  select *, row_number() over (partition by coalesce(text, '') order by doc_id, source, lang) as copy_no,
+         len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) as words,
+         len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r.,;:!?]+|[.,;:!?]')) as marks
+  from documents),
+t as (select source, lang, 'words-1' as tokenizer_version, words as tokens from d where copy_no = 1
+      union all select source, lang, 'marks-2', marks from d where copy_no = 1)
+select source, lang, tokenizer_version, count(*) as docs, cast(sum(tokens) as bigint) as tokens from t group by all
+"""
+
+
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import fit_folds, held_out, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_folds(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("dk")
+
+
+OP10_SQL = r"""
+with d as (select doc_id, row_number() over () as k, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+b as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+bw as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i : i + 9], ' ') as win from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
+sizes as (select distinct n from bw),
+dw as (select k, n, i, array_to_string(w[i : i + n - 1], ' ') as win from (select k, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
+occ as (select distinct k, i, dw.n, dw.win, item_id from dw join bw on dw.win = bw.win and dw.n = bw.n),
+hit as (select k, count(distinct p) as n_hit from (select k, unnest(range(i, i + n)) as p from occ) group by k),
+its as (select k, count(distinct item_id) as n_items, array_to_string(list_sort(list_distinct(list(cast(item_id as varchar)))), ',') as ids from occ group by k)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from d left join hit on hit.k = d.k left join its on its.k = d.k
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_packing": op2_packing,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_token_rollup": op4_token_rollup,
+    "op5_quality_model": op5_quality_model,
+    "op6_secrets": op6_secrets,
     "op7_token_output": op7_token_output,
+    "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_token_rollup": OP4_SQL, "op10_decontamination": OP10_SQL}
