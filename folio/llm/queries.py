@@ -97,6 +97,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op8_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .set_join import SetJoin
+
+    return SetJoin(table(spark, sf_dir, "documents")).members()
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination
 
@@ -125,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_model": op5_quality_model,
     "op6_secrets": op6_secrets,
     "op7_token_output": op7_token_output,
+    "op8_set_join": op8_set_join,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {"op4_token_rollup": OP4_SQL, "op10_decontamination": OP10_SQL}
