@@ -103,6 +103,12 @@ def op8_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SetJoin(table(spark, sf_dir, "documents")).members()
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_wrappers import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination
 
@@ -132,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_token_output": op7_token_output,
     "op8_set_join": op8_set_join,
+    "op9_html": op9_html,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {"op4_token_rollup": OP4_SQL, "op10_decontamination": OP10_SQL}
