@@ -30,7 +30,7 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def test_windows(items: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
+def item_windows(items: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
     """item_id, wid, terms: n consecutive words each, all words of a shorter item; items without words have none."""
     w = items.select("item_id", words().alias("w")).where(F.size("w") > 0)
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1))))
@@ -110,7 +110,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW_WORDS) -> D
     docs: doc_id, text; items: item_id, text; null texts have no words, other columns are not read. Items whose ids are
     null count as the item "". Without items, or documents, nothing is hit.
     """
-    windows = test_windows(items, n)
+    windows = item_windows(items, n)
     index = PositionalIndex(docs, windows.select(F.explode("terms").alias("term")))
     windows = index.scratch.write(windows, "windows")
     found = index.scratch.write(index.phrases(windows), "found")
