@@ -1,0 +1 @@
+"""A document analytics engine over a relational projection of structured documents, native to Spark."""
