@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,13 +32,14 @@ def syllable(n: Column) -> Column:
     return F.when(row < 6, character(code)).otherwise(n.cast("string"))
 
 
-def latin(n: Column, base: int) -> Column:
-    """Bijective base 26; seven letters hold any 32-bit number."""
-    m, out = F.greatest(n, F.lit(1)).cast("long"), F.lit("")
-    for _ in range(7):
-        out = F.when(m > 0, F.concat(character(base + (m - 1) % 26), out)).otherwise(out)
-        m = F.when(m > 0, F.floor((m - 1) / 26)).otherwise(F.lit(0))
-    return out
+def latin(n: Column, letters: str) -> Column:
+    """Bijective base 26, each letter by itself: the j-th from the right is there once n passes all shorter numbers."""
+    m, parts, passed = F.greatest(n, F.lit(1)).cast("long"), [], 0
+    for j in range(7):
+        digit = F.floor((m - 1 - passed) / 26**j) % 26
+        parts.insert(0, F.when(m > passed, F.substring(F.lit(letters), (digit + 1).cast("int"), F.lit(1))).otherwise(""))
+        passed += 26 ** (j + 1)
+    return F.concat(*parts)
 
 
 def roman(n: Column) -> Column:
@@ -53,8 +56,8 @@ def format_number(n: Column, system: Column) -> Column:
         .when(system == "consonant", F.substring(F.lit(CONSONANTS), ((F.greatest(n, F.lit(1)) - 1) % 14 + 1).cast("int"), F.lit(1)))
         .when(system == "circled", F.when(n.between(1, 20), character(0x245F + n)).otherwise(n.cast("string")))
         .when(system == "circled_syllable", F.when(n.between(1, 14), character(0x326D + n)).otherwise(syllable(n)))
-        .when(system == "latin_upper", latin(n, 65))
-        .when(system == "latin_lower", latin(n, 97))
+        .when(system == "latin_upper", latin(n, ascii_uppercase))
+        .when(system == "latin_lower", latin(n, ascii_lowercase))
         .when(system == "roman_upper", F.upper(roman(n)))
         .when(system == "roman_lower", roman(n))
         .otherwise(n.cast("string"))
