@@ -1,4 +1,4 @@
 """Queries over the synthetic tables and the SQL that each must match."""
 
-from . import grid, ledger, numbering, text  # noqa: F401
+from . import grid, ledger, numbering, sources, text  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
