@@ -6,7 +6,7 @@ import io
 import re
 import zipfile
 from xml.etree import ElementTree
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, unescape
 
 #: Default ceilings of a package: entries, bytes of one entry, bytes in all, XML bytes, ratio.
 LIMITS = {"entries": 4096, "entry_bytes": 512 << 20, "total_bytes": 2 << 30, "xml_bytes": 64 << 20, "ratio": 1000}
@@ -101,7 +101,7 @@ def replace_in_package(data: bytes, old: str, new: str) -> bytes:
         for n in z.namelist():
             raw = z.read(n)
             if re.fullmatch(r"Contents/section\d+\.xml", n):
-                raw = re.sub(r"(<hp:t[^>]*>)(.*?)(</hp:t>)", lambda m: m[1] + m[2].replace(xml_text(old), xml_text(new)) + m[3], raw.decode(), flags=re.S).encode()
+                raw = re.sub(r"(<hp:t[^>]*>)(.*?)(</hp:t>)", lambda m: m[1] + xml_text(unescape(m[2], {"&#13;": "\r"}).replace(old, new)) + m[3], raw.decode(), flags=re.S).encode()
             files.append((n, raw))
     return zipped(files)
 

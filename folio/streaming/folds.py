@@ -9,15 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _watermarked(events: DataFrame, late: str) -> DataFrame:
+    """A stream's event times need a zone; without one they are taken in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def event_ledger(events: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Events (ts, event_type) counted by window; on a stream, rows later than `late` are dropped and windows close after it."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    return rows.groupBy(F.window("ts", size, slide or size).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    rows = _watermarked(events, late)
+    return rows.groupBy(F.window("ts", size, slide or size).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast(events.schema["ts"].dataType).alias("start"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     """Runs of a user's events with less than `gap` between them."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _watermarked(events, late)
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
