@@ -49,6 +49,14 @@ class Scratch:
     def drop(self, table: str) -> None:
         drop(self.spark, f"{self.path}/{table}")
 
+    def keep(self, *tables: str) -> None:
+        """Delete all tables of this call but these."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(where):
+            if status.getPath().getName() not in tables:
+                fs.delete(status.getPath(), True)
+
     def free_shuffles(self) -> None:
         """Let Spark's cleaner delete the shuffle files of finished jobs."""
         import gc

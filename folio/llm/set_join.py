@@ -349,6 +349,8 @@ def keep_first(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     joined = SetJoin(docs, n, percent)
     rows = joined.scratch.write(joined.members(), "members")
     ids = joined.scratch.write(rows.where("doc_id <=> component_id").select(F.col("doc_id").alias("first")).distinct(), "first")
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     repeated = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    joined.scratch.keep("first")
+    joined.scratch.free_shuffles()
+    kept = docs.join(bounded(ids), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
