@@ -37,8 +37,15 @@ def item_windows(items: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
     return w.select("item_id", "w", at.alias("i")).select("item_id", F.slice("w", F.col("i"), n).alias("terms")).select("item_id", F.xxhash64(F.array_join("terms", " ")).alias("wid"), "terms").distinct()
 
 
+def mark(word: str):
+    """A byte that stands for a word; no word is 0."""
+    return F.when(F.col(word) == "", 0).otherwise(F.pmod(F.xxhash64(word), F.lit(255)) + 1).cast("short")
+
+
 class PositionalIndex:
-    """Postings (dk, pos, tid) of the words in a vocabulary, positions from 0, written to the shared folder.
+    """Postings (dk, pos, tid, before, after) of the words in a vocabulary, positions from 0, written to the shared folder.
+
+    before and after are the marks of the neighbouring words: a list is thinned by them where it is read.
 
     dk names a row of docs by doc_id and text; rows that repeat both share it. Each row also leaves a posting of the empty
     term at -1 with its number of words, so that the documents need no second reading.
@@ -50,8 +57,13 @@ class PositionalIndex:
         self.terms = self.scratch.write(terms.select("term", F.xxhash64("term").alias("tid")), "terms")
         own = self.terms.unionByName(docs.sparkSession.sql("select '' as term, 0L as tid"))
         rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("dk"), words().alias("w"))
-        each = rows.select("doc_id", "dk", F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("p", "term"))
-        found = each.join(bounded(own), "term").select("dk", F.when(F.col("tid") == 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("tid") == 0, F.col("n_words")).alias("n_words"), (F.col("p") - 1).alias("pos"), "tid")
+        none = F.array(F.lit(""))
+        trios = F.arrays_zip(F.concat(none, F.col("w")).alias("term"), F.concat(F.col("w"), none).alias("after"), F.concat(none, none, F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("before"))
+        each = rows.select("doc_id", "dk", F.size("w").alias("n_words"), F.posexplode(trios).alias("p", "x")).select("doc_id", "dk", "n_words", "p", "x.term", "x.before", "x.after")
+        found = each.join(bounded(own), "term").select(
+            "dk", F.when(F.col("tid") == 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("tid") == 0, F.col("n_words")).alias("n_words"), (F.col("p") - 1).alias("pos"), "tid",
+            F.when(F.col("tid") != 0, mark("before")).alias("before"), F.when(F.col("tid") != 0, mark("after")).alias("after"),
+        )
         self.postings = self.scratch.write(found, "postings")
 
     def documents(self) -> DataFrame:
@@ -65,15 +77,19 @@ class PositionalIndex:
 
     def _ranked(self, phrases: DataFrame) -> DataFrame:
         """wid, n, off, tid, rank: the words of the phrases that can occur, from the rarest."""
-        each = phrases.select("wid", "terms").dropDuplicates(["wid"]).select("wid", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term")).withColumn("tid", F.xxhash64("term"))
+        each = phrases.select("wid", "terms").dropDuplicates(["wid"]).select("wid", "terms", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term"))
+        beside = lambda d: F.coalesce(F.get("terms", F.col("off") + d), F.lit(""))
+        each = each.select("wid", "n", "off", "term", beside(-1).alias("l"), beside(1).alias("r")).select("wid", "n", "off", F.xxhash64("term").alias("tid"), mark("l").alias("l"), mark("r").alias("r"))
         each = each.join(self.frequencies(), "tid")
         by = Window.partitionBy("wid")
-        return each.withColumn("known", F.count("*").over(by)).where("known = n").withColumn("rank", F.row_number().over(by.orderBy("df", "off"))).select("wid", "n", "off", "tid", "rank")
-
-    def _candidates(self, ranked: DataFrame) -> DataFrame:
-        """wid, n, dk, start: the offset-adjusted list of each phrase's rarest word."""
-        first = bounded(ranked.where("rank = 1").select("wid", "n", "off", "tid"))
-        found = self.lists().join(first, "tid").select("dk", (F.col("pos") - F.col("off")).alias("start"), "wid", "n").where("start >= 0")
+        return each.withColumn("known", F.count("*").over(by)).where("known = n").withColumn("rank", F.row_number().over(by.orderBy("df", "off"))).select("wid", "n", "off", "tid", "rank", "l", "r")
+
+    def _candidates(self, ranked: DataFrame, adjacent: bool = True) -> DataFrame:
+        """wid, n, dk, start: the offset-adjusted list of each phrase's rarest word, between the phrase's neighbours unless they may be apart."""
+        first = bounded(ranked.where("rank = 1").select("wid", "n", "off", F.col("tid").alias("first"), "l", "r"))
+        lists = self.postings.where("tid <> 0")
+        fits = (F.col("tid") == F.col("first")) & (F.lit(not adjacent) | (F.col("l").isin(0) | (F.col("l") == F.col("before"))) & (F.col("r").isin(0) | (F.col("r") == F.col("after"))))
+        found = lists.join(first, fits).select("dk", (F.col("pos") - F.col("off")).alias("start"), "wid", "n").where("start >= 0")
         return self.scratch.write(found.distinct(), "candidates")
 
     def phrases(self, phrases: DataFrame) -> DataFrame:
@@ -95,7 +111,7 @@ class PositionalIndex:
     def proximity(self, phrases: DataFrame, slop: int) -> DataFrame:
         """dk, wid, near: positions of a phrase's rarest word with every other word of it at most slop words off its place."""
         ranked = self.scratch.write(self._ranked(phrases), "ranked_near")
-        candidates = self._candidates(ranked)
+        candidates = self._candidates(ranked, adjacent=False)
         near = self.lists().join(bounded(candidates.select("dk").distinct()), "dk", "left_semi")
         at = candidates.join(bounded(ranked.where("rank > 1").select("wid", "off", "tid")), "wid")
         at = at.select("dk", "wid", "n", "start", "tid", "off", F.explode(F.sequence(F.col("start") + F.col("off") - slop, F.col("start") + F.col("off") + slop)).alias("pos"))
