@@ -126,6 +126,10 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW_WORDS) -> D
     docs: doc_id, text; items: item_id, text; null texts have no words, other columns are not read. Items whose ids are
     null count as the item "". Without items, or documents, nothing is hit.
     """
+    return _contamination(docs, items, n)[0]
+
+
+def _contamination(docs: DataFrame, items: DataFrame, n: int) -> tuple[DataFrame, PositionalIndex]:
     windows = item_windows(items, n)
     index = PositionalIndex(docs, windows.select(F.explode("terms").alias("term")))
     windows = index.scratch.write(windows, "windows")
@@ -140,15 +144,18 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW_WORDS) -> D
     index.scratch.drop("candidates")
     out = index.documents().join(marks, "dk", "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(
+    out = out.select(
         "doc_id", F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array(items_of), ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), "dk",
     )
+    return out, index
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
     """docs without the rows that hold a test window."""
-    bad = contamination(docs, items, n).where("contaminated").select("dk").distinct()
-    bad = Scratch(docs.sparkSession, "contaminated").write(bad, "dk")
+    marked, index = _contamination(docs, items, n)
+    bad = Scratch(docs.sparkSession, "contaminated").write(marked.where("contaminated").select("dk").distinct(), "dk")
+    index.scratch.keep()
+    index.scratch.free_shuffles()
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     return docs.withColumn("__dk", key).join(bounded(bad.withColumnRenamed("dk", "__dk")), "__dk", "left_anti").select(*docs.columns)
