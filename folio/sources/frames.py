@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import importable
 from . import compound, packages, records
 
 
@@ -49,6 +50,7 @@ def sniff(data: bytes) -> str | None:
 
 def map_column(df: DataFrame, f: Callable[[list], pa.Array], column: str, out: str, kind: str) -> DataFrame:
     """df with a column made from another one, batch by batch."""
+    importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

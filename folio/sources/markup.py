@@ -8,6 +8,8 @@ from xml.etree import ElementTree
 
 from pyspark.sql.functions import udtf
 
+from ..workers import importable
+
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*(\S*)")
 _HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _ITEM = re.compile(r"^(\s*)([-*+]|\d{1,9}[.)])[ \t]+(.*)$")
@@ -133,5 +135,6 @@ def entities(text: str) -> str:
 
 
 def register(spark) -> None:
+    importable(spark)
     spark.udtf.register("md_blocks", MarkdownBlocks)
     spark.udtf.register("html_blocks", FragmentBlocks)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import importable
+
 
 def _watermarked(events: DataFrame, late: str) -> DataFrame:
     """A stream's event times need a zone; without one they are taken in the session's."""
@@ -49,4 +51,5 @@ def list_counters(rows: DataFrame, levels: int = 3) -> DataFrame:
         state.update((counts,))
         yield pd.DataFrame(out, columns=["doc_id", "ord", "marker"])
 
+    importable(rows.sparkSession)
     return rows.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, ord long, marker string", "counts array<int>", "append", "NoTimeout")
