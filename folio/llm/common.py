@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..workers import importable
+
 #: Rows of one Arrow batch to a Python worker: long documents must not pile up in one batch.
 BATCH_ROWS = 1000
 
@@ -66,6 +68,8 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Settings of the operators that run Python: small batches, and workers that can import this package."""
+    importable(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
