@@ -78,3 +78,23 @@ def html_rejects(spark, sf):
     markup.register(spark)
     table(spark, sf, "pages").createOrReplaceTempView("folio_pages")
     return spark.sql("select page_id, bool_or(b.error is not null) refused from folio_pages, lateral html_blocks(html) b group by page_id")
+
+
+query("distribution_decrypt", _TEXTS, ("paras",))(_round("distribution"))
+
+
+@query("summary_info", "select doc_id, nullif(left(lang, 20), '') as title, source as author, case when n_chars > 0 then n_chars end as create_time from documents")
+def summary_info(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("title"), F.col("source").alias("author"), F.col("n_chars").alias("create_time"))
+    sets = frames.property_sets(docs, ["title", "author", "create_time"]).select("doc_id", "content")
+    return frames.summaries(sets, "content").select("doc_id", "summary.title", "summary.author", "summary.create_time")
+
+
+@query("para_text_decode", """with t as (select conv_id, turn, replace(text, chr(10), ' ') as text from conversations)
+select conv_id, turn, length(text) + 2 as elements, length(text) + 9 as units, count(*) over () * 0 + 1 as inline from t""")
+def para_text_decode(spark, sf):
+    """A tab control of eight units, the text, and the paragraph end."""
+    body = F.concat(F.unhex(F.lit("09000000000000000000000000000900")), F.encode(F.replace("text", F.lit("\n"), F.lit(" ")), "UTF-16LE"), F.unhex(F.lit("0D00")))
+    found = frames.decode_texts(table(spark, sf, "conversations").select("conv_id", "turn", body.alias("data")), "data")
+    last = F.element_at("elements", -1)["at"] + 1
+    return found.select("conv_id", "turn", F.size("elements").cast("long").alias("elements"), last.cast("long").alias("units"), F.size(F.filter("elements", lambda e: e["kind"] == "inline")).cast("long").alias("inline"))

@@ -6,6 +6,8 @@ an error and no paragraphs; no task fails on them.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import importable
-from . import compound, packages, records
+from . import compound, distribution, packages, properties, records
 
 
 def _write_compound(paragraphs: list[str]) -> bytes:
@@ -26,12 +28,23 @@ def _read_compound(data: bytes) -> list[str]:
     head = streams.get("/FileHeader", b"")
     if not head.startswith(b"HWP Document File"):
         raise compound.CompoundError("no file header")
-    if int.from_bytes(head[36:40], "little") & 0x116:
+    flags = int.from_bytes(head[36:40], "little")
+    if flags & 0x112:
         raise compound.CompoundError("encrypted or managed")
-    bodies = sorted((n for n in streams if n.startswith("/BodyText/Section")), key=lambda n: int(n[17:] or 0))
+    top = "/ViewText/Section" if flags & 4 else "/BodyText/Section"
+    bodies = sorted((n for n in streams if n.startswith(top)), key=lambda n: int(n[len(top) :] or 0))
+    if flags & 4:
+        return [p for n in bodies for p in records.stream_paragraphs(distribution.open_section(streams[n], bool(flags & 1)))]
     return [p for n in bodies for p in records.body_paragraphs(streams[n])]
 
 
+def _write_distribution(paragraphs: list[str]) -> bytes:
+    head = b"HWP Document File".ljust(32, b"\0") + (0x05000300).to_bytes(4, "little") + (5).to_bytes(4, "little")
+    body = records.body_stream(paragraphs)
+    sealed = distribution.seal_section(body, len(body), hashlib.sha1(body).hexdigest())
+    return compound.write_streams({"/FileHeader": head.ljust(256, b"\0"), "/ViewText/Section0": sealed})
+
+
 WRITERS: dict[str, Callable[[list[str]], bytes]] = {"hwpx": lambda p: packages.write_sections([p]), "hwp5": _write_compound, "docx": packages.write_docx, "odt": packages.write_odt}
 READERS: dict[str, Callable[[bytes], list[str]]] = {"hwpx": lambda d: [p for s in packages.read_sections(d) for p in s], "hwp5": _read_compound, "docx": packages.read_docx, "odt": packages.read_odt}
 
@@ -62,8 +75,8 @@ def map_column(df: DataFrame, f: Callable[[list], pa.Array], column: str, out: s
 
 
 def to_files(paras: DataFrame, kind: str) -> DataFrame:
-    """doc_id, content: each document's paragraphs (doc_id, para_idx, text) as a file of `kind`."""
-    write = WRITERS[kind]
+    """doc_id, content: each document's paragraphs (doc_id, para_idx, text) as a file of `kind`, or of "distribution"."""
+    write = _write_distribution if kind == "distribution" else WRITERS[kind]
     one = paras.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "text"))), lambda x: x["text"]).alias("paragraphs"))
     return map_column(one, lambda rows: pa.array([write([t or "" for t in p]) for p in rows], pa.binary()), "paragraphs", "content", "binary").select("doc_id", "content")
 
@@ -117,3 +130,31 @@ def scan_records(df: DataFrame, column: str) -> DataFrame:
         return pa.array(out, kind)
 
     return map_column(df, read, column, "records", "array<struct<idx: int, tag: int, level: int, size: bigint, parent: int, warning: string>>").drop(column)
+
+
+def summaries(df: DataFrame, column: str) -> DataFrame:
+    """Property sets as structs of texts and raw times; a null or broken one has nulls."""
+    names = [*properties.TEXTS.values(), *properties.TIMES.values()]
+    kind = pa.struct([(n, pa.string() if n in properties.TEXTS.values() else pa.int64()) for n in names])
+    ddl = "struct<" + ", ".join(f"{n}: {'string' if n in properties.TEXTS.values() else 'bigint'}" for n in names) + ">"
+
+    def read(rows: list) -> pa.Array:
+        return pa.array([{n: None for n in names} | properties.read(x or b"") for x in rows], kind)
+
+    return map_column(df, read, column, "summary", ddl).drop(column)
+
+
+def property_sets(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with a property set made of the named columns."""
+    packed = df.withColumn("_p", F.to_json(F.struct(*columns)))
+    return map_column(packed, lambda rows: pa.array([properties.write(json.loads(x)) for x in rows], pa.binary()), "_p", "content", "binary").drop("_p")
+
+
+def decode_texts(df: DataFrame, column: str) -> DataFrame:
+    """Elements of paragraph texts: unit offset, kind, control code, character."""
+
+    def read(rows: list) -> pa.Array:
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("code", pa.int32()), ("ch", pa.string())]))
+        return pa.array([[dict(zip(("at", "kind", "code", "ch"), e, strict=True)) for e in records.decode_text(x or b"")] for x in rows], kind)
+
+    return map_column(df, read, column, "elements", "array<struct<at: int, kind: string, code: int, ch: string>>").drop(column)

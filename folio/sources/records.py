@@ -104,8 +104,13 @@ def body_stream(paragraphs: list[str]) -> bytes:
 
 
 def body_paragraphs(stream: bytes, limit: int = 1 << 28) -> list[str]:
+    return stream_paragraphs(inflate(stream, limit))
+
+
+def stream_paragraphs(stream: bytes) -> list[str]:
+    """Texts of the paragraphs of an inflated record stream."""
     out: list[str] = []
-    for _, tag, _, payload, _ in scan(inflate(stream, limit)):
+    for _, tag, _, payload, _ in scan(stream):
         if tag == PARA_HEADER:
             out.append("")
         elif tag == PARA_TEXT and out:

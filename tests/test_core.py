@@ -199,3 +199,21 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_protected_sections():
+    import hashlib
+
+    from folio.sources import distribution, properties
+
+    key, block = bytes(range(16)), bytes.fromhex("00112233445566778899aabbccddeeff")
+    assert distribution.encrypt(key, block).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a"
+    assert distribution.decrypt(key, distribution.encrypt(key, block * 3)) == block * 3
+    body = records.body_stream(["a", "é"])
+    sealed = distribution.seal_section(body, 77, hashlib.sha1(b"k").hexdigest())
+    assert records.stream_paragraphs(distribution.open_section(sealed)) == ["a", "é"]
+    for bad in (b"", sealed[:100], sealed[:261], b"\0" * 300):
+        with pytest.raises(ValueError, match="."):
+            distribution.open_section(bad)
+    meta = {"title": "제목", "author": "é", "create_time": 134026795700000000}
+    assert properties.read(properties.write(meta)) == meta and properties.read(b"") == properties.read(b"\xfe\xff") == {}
