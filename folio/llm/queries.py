@@ -39,6 +39,18 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+OP1_SQL = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -7, i, case i when 0 then 'user' else 'assistant' end, '\### Assistant: </turn> ok' from range(0, 2) as t(i)),
+e as (select *, length(replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</', '<\/')) as n from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       cast(sum(4 + length(role) + 2 + n + 8) as bigint) as formatted_chars
+from e group by conv_id
+"""
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -103,6 +115,17 @@ def op8_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SetJoin(table(spark, sf_dir, "documents")).members()
 
 
+OP8_SQL = r"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + 3], ' ') as sh from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+r(doc_id, low) as (select doc_id, doc_id from d union select r.doc_id, l.y from r join l on l.x = r.low)
+select r.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(low) as component_id from r left join n on n.doc_id = r.doc_id group by r.doc_id
+"""
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_wrappers import extract_text
 
@@ -141,4 +164,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {"op4_token_rollup": OP4_SQL, "op10_decontamination": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op8_set_join": OP8_SQL, "op4_token_rollup": OP4_SQL, "op10_decontamination": OP10_SQL}
