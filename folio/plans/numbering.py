@@ -70,7 +70,7 @@ def palette(spark, sf):
     return op.palette(table(spark, sf, "part"), "p_type", F.col("p_partkey")).select("p_type", "uses", "id")
 
 
-@query("prefix_sums", "select o_custkey, o_orderkey, coalesce(sum(cast(o_totalprice as bigint)) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding), 0) as \"offset\" from (select o_custkey, o_orderkey, floor(o_totalprice) as o_totalprice from orders)")
+@query("prefix_sums", "select o_custkey, o_orderkey, cast(coalesce(sum(cast(o_totalprice as bigint)) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding), 0) as bigint) as \"offset\" from (select o_custkey, o_orderkey, floor(o_totalprice) as o_totalprice from orders)")
 def prefix_sums(spark, sf):
     rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("w"))
     return op.prefix_sums(rows, "o_custkey", "o_orderkey", "w").select("o_custkey", "o_orderkey", "offset")
@@ -139,7 +139,7 @@ def colors(spark, sf):
     return rows.withColumn("again", F.coalesce(fn.parse_color(F.col("hex")), F.lit(0xFFFFFFFF)))
 
 
-@query("bit_flags", "select l_orderkey, l_linenumber, count(*) as n, sum((l_partkey & 1)) as bold, sum((l_partkey >> 1) & 1) as italic, sum((l_partkey >> 2) & 7) as kind from lineitem group by all")
+@query("bit_flags", "select l_orderkey, l_linenumber, count(*) as n, cast(sum((l_partkey & 1)) as bigint) as bold, cast(sum((l_partkey >> 1) & 1) as bigint) as italic, cast(sum((l_partkey >> 2) & 7) as bigint) as kind from lineitem group by all")
 def bit_flags(spark, sf):
     a = F.col("l_partkey")
     return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum(fn.flag(a, 0).cast("long")).alias("bold"), F.sum(fn.flag(a, 1).cast("long")).alias("italic"), F.sum(fn.bits(a, 2, 3)).alias("kind"))

@@ -22,7 +22,7 @@ def template_expand(spark, sf):
 
 
 @query("template_regions", """with c as (select c_custkey as key, c_name as name from customer), o as (select o_custkey as key, o_orderkey as no from orders)
-select key, 0 as ord, 1 as blocks, length(name) as chars from c union all select o.key, 1, count(*), sum(length(cast(no as varchar))) from o join c on c.key = o.key group by o.key""")
+select key, 0 as ord, 1 as blocks, length(name) as chars from c union all select o.key, 1, count(*), cast(sum(length(cast(no as varchar))) as bigint) from o join c on c.key = o.key group by o.key""")
 def template_regions(spark, sf):
     items = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("no"))
     return op.regions(op.expand(_customers(spark, sf), items, [op.Node("${name}"), op.Node("${no}", each=True)], "key", "no", ["name", "no"]), "key")
