@@ -21,7 +21,9 @@ from .common import Scratch, small_batches, strings
 #: Rows of wrappers up to which they are broadcast; a wrapper is cut to MAX_WRAPPER bytes.
 BROADCAST_HOSTS = 5_000
 MAX_WRAPPER = 20_000
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[^<]++|<""", re.S)
+#: Levels of the tree; what is nested deeper belongs to the deepest level, its blocks stay apart.
+MAX_DEPTH = 120
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|[^<]++|<""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
@@ -86,6 +88,7 @@ def parse(html: str) -> Node:
             if joined:
                 stack[-1].children.append(Node("#text", joined))
 
+    deep: dict[str, int] = {}  # open elements below the deepest level, by name
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.match(html, at)
@@ -100,7 +103,10 @@ def parse(html: str) -> Node:
             continue
         name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            if name in BLOCK:
+            if deep.get(name):
+                flush()
+                deep[name] -= 1
+            elif name in BLOCK:
                 if name != "p" or any(x.tag == "p" for x in stack):
                     flush()
                 for i in range(len(stack) - 1, 0, -1):
@@ -134,6 +140,10 @@ def parse(html: str) -> Node:
                         break
             marks = {a.lower(): (b or c or d or "") for a, b, c, d in _ATTRIBUTE.findall(attributes)} if attributes else {}
             marked = " ".join(filter(None, ["hidden" if "hidden" in marks or marks.get("aria-hidden") == "true" else "", marks.get("class", ""), marks.get("id", ""), marks.get("role", "")]))
+            if len(stack) >= MAX_DEPTH:
+                if name not in VOID and not attributes.endswith("/"):
+                    deep[name] = deep.get(name, 0) + 1
+                continue
             node = Node(f"{name}|{re.sub(r'[0-9]+', '0', marked)[:80]}" if marked else name)
             stack[-1].children.append(node)
             if name not in VOID and not attributes.endswith("/"):
