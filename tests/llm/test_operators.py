@@ -210,7 +210,7 @@ def test_html():
         assert [extract(parse(p), known, 4) for p in pages] == [f"T & {i}\n\n{w}" for i, w in enumerate(want)]
     for odd in ("", "<", "<p", "<script>x", "<!-- x", "<div class=\"a"):
         extract(parse(odd), rules(template(parse(odd))), 1)
-    deep = "<div>" * 3000 + "x" + "</div>" * 3000 + "<p>end"
+    deep = "<article>" + "<div>" * 3000 + "x" + "</div>" * 3000 + "<p>end</article>"
     assert extract(parse(deep), rules(template(parse(deep))), 1) == "x\n\nend"
 
 
