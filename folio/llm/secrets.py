@@ -25,7 +25,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Weak parts, which count only beside their complements: identifiers, unlabelled random strings, hosts that take credentials.
 WEAK_ACCESS = re.compile(r"(?<![A-Z0-9])(?:ASIA|AGPA|AIDA|AROA)[A-Z0-9]{12,}|\b(?:client|account|access|user)_?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._-]{4,}")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
-WEAK_ENDPOINT = re.compile(r"\b(?:https?|s3|jdbc|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|internal)(?::\d+)?\b")
+WEAK_ENDPOINT = re.compile(r"\b(?:https?|s3|jdbc|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,8}\.(?:amazonaws\.com|internal)(?::\d+)?\b")
 SCOPE = re.compile(r"\n[ \t]*\n")
 ORDER = ("assign", "access", "hex", "weak_access", "weak_secret", "weak_endpoint")
 #: Characters between complementary parts.
