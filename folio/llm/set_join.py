@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix64, small_batches, strings
@@ -26,6 +26,8 @@ BROADCAST_ROWS = 500_000
 #: A key that so many classes hold is hot; a set skips its hot keys if its spare segments cover them.
 HOT = 32
 BITS = 1024
+#: Keys before a key by which a pair that was made already is told; any number is exact, more make fewer repeats.
+KEYS_BEFORE = 12
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _HAS_UPPER = re.compile("[A-Z]")
 _U = np.uint64
@@ -320,9 +322,11 @@ class SetJoin:
         cool = self.scratch.write(cool, "cool")
         split = cool.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
         still = self.scratch.write(cool.join(split, "sig", "left_semi"), "open")
-        still = self.scratch.write(still.join(facts, "ck"), "open-facts")
+        # a pair is made at the smallest key that both hold: elsewhere some of the keys before it is theirs too
+        before = F.collect_list("sig").over(Window.partitionBy("ck").orderBy("sig").rowsBetween(-KEYS_BEFORE, -1))
+        still = self.scratch.write(still.withColumn("before", before).join(facts, "ck"), "open-facts")
         x, y = still.alias("x"), still.alias("y")
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & self._near()).select(F.col("x.ck").alias("a"), F.col("y.ck").alias("b")).distinct()
+        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & ~F.arrays_overlap("x.before", "y.before") & self._near()).select(F.col("x.ck").alias("a"), F.col("y.ck").alias("b")).distinct()
         more = self._verified(pairs, "rest")
         if more.limit(1).count() == 0:
             return comps
