@@ -19,6 +19,10 @@ from .common import mix64, small_batches, strings
 
 #: Words of one passage.
 PASSAGE_WORDS = 96
+#: Characters of a piece: a longer run without blanks counts as successive pieces, so that all of it is scored.
+PIECE_CHARS = 200
+#: Characters whose features are made at once, and characters of words that are held between batches: both bound memory only.
+BLOCK_CHARS, HELD_CHARS = 1_000_000, 16_000_000
 #: Labelled rows that a fit reads at most: those with the smallest hashes of doc_id.
 FIT_ROWS = 6000
 HASHED, HIDDEN, GATE = 24, 24, 12
@@ -48,26 +52,47 @@ def word_rows(words: list[str]) -> np.ndarray:
     return np.concatenate([np.stack(own, 1).astype(np.float32), np.where(bits, np.float32(1), np.float32(-1))], 1)
 
 
+def pieces(text: str) -> list[str]:
+    """All words of a text, in order; a run of more than PIECE_CHARS characters as successive pieces."""
+    split = text.split()
+    if max(map(len, split), default=0) <= PIECE_CHARS:
+        return split
+    return [w[i : i + PIECE_CHARS] for w in split for i in range(0, len(w), PIECE_CHARS)]
+
+
+def blocks(words: list[str]) -> Iterator[list[str]]:
+    """words in runs of about BLOCK_CHARS characters."""
+    at = size = 0
+    for i, w in enumerate(words):
+        size += len(w)
+        if size >= BLOCK_CHARS:
+            yield words[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(words):
+        yield words[at:]
+
+
 class Words(dict):
-    """Word to its row in a matrix; starts over between batches once `limit` words are held, which bounds a worker's memory."""
+    """Word to its row in a matrix; starts over between batches once `limit` words or `chars` characters are held, which bounds a worker's memory."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 400_000, chars: int = HELD_CHARS):
         super().__init__()
-        self.limit, self.new = limit, []
+        self.limit, self.chars, self.held, self.new = limit, chars, 0, []
         self.rows = np.zeros((0, WORD_FEATURES + HASHED), np.float32)
 
     def __missing__(self, word: str) -> int:
         self[word] = i = len(self)
-        self.new.append(word[:200])
+        self.new.append(word)
+        self.held += len(word)
         return i
 
     def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.held > self.chars:
             self.clear()
-            self.rows = self.rows[:0]
+            self.rows, self.held = self.rows[:0], 0
         out = [np.fromiter(map(self.__getitem__, split), np.int64, len(split)) for split in texts]
         if self.new:
-            self.rows = np.concatenate([self.rows, word_rows(self.new)])
+            self.rows = np.concatenate([self.rows, *map(word_rows, blocks(self.new))])
             self.new = []
         return out
 
@@ -75,7 +100,7 @@ class Words(dict):
 def encode(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages, and where each text's passages begin; a text without words is one zero passage."""
     found, starts, at = [], [0], 0
-    for ids in words.ids([text.split() for text in texts]):
+    for ids in words.ids([pieces(text) for text in texts]):
         n = len(ids)
         if not n:
             found.append(np.zeros((1, FEATURES), np.float32))
@@ -203,7 +228,7 @@ def _score(model: AttentionModel):
 
 
 def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
-    """docs with a score from 0 to 1; only text is read for it, whole. A null or empty text gets the score of a zero passage."""
+    """docs with a score from 0 to 1; only text is read for it, whole, runs without blanks in pieces. A null or empty text gets the score of a zero passage."""
     small_batches(docs.sparkSession)
     from pyspark.sql.types import DoubleType, StructField, StructType
 

@@ -176,6 +176,23 @@ def test_quality_model(spark):
     assert {r.h for r in df.select(held_out().alias("h"), "doc_id").where("doc_id < 50").collect()} == {True, False}
 
 
+def test_quality_model_reads_long_runs_whole(monkeypatch):
+    from folio.llm import quality_model as q
+
+    clean, junk = "文字" * 4000, "#%|=" * 2000
+    x, starts = q.encode([clean + clean, clean + junk, junk + clean, "a" * 200 + "b", "a" * 200 + "c"], q.Words())
+    whole, mixed, turned, b, c = (x[i:j] for i, j in zip(starts[:-1], starts[1:], strict=True))
+    assert len(whole) == len(mixed) == len(turned) == 1 and not np.array_equal(whole, mixed) and not np.array_equal(b, c)
+    assert np.allclose(mixed[:, 3 : q.WORD_FEATURES], turned[:, 3 : q.WORD_FEATURES])
+    assert len(q.encode([clean * 10], q.Words())[0]) == -(-80_000 // q.PIECE_CHARS // q.PASSAGE_WORDS)
+    texts = ["".join(map(chr, range(0x4E00, 0x4E00 + 5000))), "x y", junk + " end."]
+    before = q.encode(texts, q.Words())[0]
+    monkeypatch.setattr(q, "BLOCK_CHARS", 300)
+    words = q.Words(chars=10)
+    assert np.array_equal(q.encode(texts, words)[0], before) and np.array_equal(q.encode(texts, words)[0], before)
+    assert words.held == sum(map(len, words))
+
+
 def test_secrets(spark):
     from folio.llm.secrets import find_secrets, redact_secrets, scan
 
