@@ -7,9 +7,11 @@ group, text that differs becomes a slot. A page is a wrapper too, so that any nu
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -37,6 +39,7 @@ BLOCK = {
 _ENDS_P = BLOCK - {"html", "head", "body", "option", "optgroup", "svg", "label", "button", "select"}
 _LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}, "tbody": {"tbody", "thead", "tfoot"}, "tfoot": {"tbody", "thead"}, "body": {"head"}}
 _LIKE_STOP = {"ul", "ol", "dl", "table", "menu", "dir", "select", "article", "section", "body"}
+_P_STOP = _LIKE_STOP | {"div"}
 EXCLUDED = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "noscript", "svg", "template", "fieldset", "legend", "search", "label"}
 #: Words of a class, id or role that mark what is not the article.
 NOT_MAIN = re.compile(
@@ -44,9 +47,14 @@ NOT_MAIN = re.compile(
     r"notices?|pagination|pager|popups?|promos?|promotions?|recommended|related|replies|respond|search|share|sharing|sidebars?|signup|skip|social|sponsors?|sponsored|subscribe|subscription|toolbar|widgets?|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
+MAIN = re.compile(r"\b(?:main|article|post|entry|story|content)\b")
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 class Node:
     __slots__ = ("children", "key", "optional", "repeated", "size", "text")
 
@@ -70,9 +78,17 @@ class Node:
         return n
 
 
+@lru_cache(20_000)
+def mark_key(marked: str) -> str:
+    """Class, id and role in a key: what the whole of them says ("-" is not the article, "+" may be its root), then they themselves, long ones as a hash."""
+    marked = re.sub(r"[0-9]+", "0", marked)
+    said = ("-" if marked.startswith("hidden") or NOT_MAIN.search(marked) else "") + ("+" if MAIN.search(marked) else "")
+    return f"{said}:{marked if len(marked) <= 80 else '#' + digest(marked)}".replace("/", "_")
+
+
 def excluded(key: str, in_main: bool) -> bool:
     tag, _, marks = key.partition("|")
-    return tag in EXCLUDED or (tag == "header" and not in_main) or bool(marks and (marks.startswith("hidden") or NOT_MAIN.search(marks)))
+    return tag in EXCLUDED or (tag == "header" and not in_main) or marks.startswith("-")
 
 
 def parse(html: str) -> Node:
@@ -85,10 +101,20 @@ def parse(html: str) -> Node:
         if text:
             joined = " ".join(unescape("".join(text)).split())
             text.clear()
-            if joined:
-                stack[-1].children.append(Node("#text", joined))
+            if joined and not (deep and deep[-1][0]):
+                stack[min(len(stack), MAX_DEPTH) - 1].children.append(Node("#text", joined))
+
+    deep: list[tuple[bool, bool]] = []  # of open elements below the deepest level: whether excluded, whether in the main text
+    places: dict[str, list[int]] = {}  # where in the stack each name is open
+
+    def last(names) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
+    def close(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
+        del deep[max(0, i - MAX_DEPTH) :]
 
-    deep: dict[str, int] = {}  # open elements below the deepest level, by name
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.match(html, at)
@@ -103,18 +129,12 @@ def parse(html: str) -> Node:
             continue
         name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            if deep.get(name):
-                flush()
-                deep[name] -= 1
-            elif name in BLOCK:
-                if name != "p" or any(x.tag == "p" for x in stack):
+            if name in BLOCK:
+                i = last((name,))
+                if name != "p" or i:
                     flush()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == name:
-                        del stack[i:]
-                        break
-                    if name in ("p", "li") and stack[i].tag in _LIKE_STOP:
-                        break
+                if i > (last(_LIKE_STOP) if name in ("p", "li") else 0):
+                    close(i)
             elif name in ("td", "th"):
                 text.append(" ")
             continue
@@ -124,29 +144,20 @@ def parse(html: str) -> Node:
             continue
         if name in BLOCK:
             flush()
-            if name in _ENDS_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        del stack[i:]
-                        break
-                    if stack[i].tag in _LIKE_STOP or stack[i].tag == "div":
-                        break
-            if name in _LIKE:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in _LIKE[name]:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in _LIKE_STOP:
-                        break
+            if name in _ENDS_P and (i := last(("p",))) > last(_P_STOP):
+                close(i)
+            if name in _LIKE and (i := last(_LIKE[name])) > last(_LIKE_STOP):
+                close(i)
             marks = {a.lower(): (b or c or d or "") for a, b, c, d in _ATTRIBUTE.findall(attributes)} if attributes else {}
             marked = " ".join(filter(None, ["hidden" if "hidden" in marks or marks.get("aria-hidden") == "true" else "", marks.get("class", ""), marks.get("id", ""), marks.get("role", "")]))
-            if len(stack) >= MAX_DEPTH:
-                if name not in VOID and not attributes.endswith("/"):
-                    deep[name] = deep.get(name, 0) + 1
-                continue
-            node = Node(f"{name}|{re.sub(r'[0-9]+', '0', marked)[:80]}" if marked else name)
-            stack[-1].children.append(node)
+            node = Node(f"{name}|{mark_key(marked)}" if marked else name)
+            if len(stack) < MAX_DEPTH:
+                stack[-1].children.append(node)
             if name not in VOID and not attributes.endswith("/"):
+                if len(stack) >= MAX_DEPTH:
+                    dead, main = deep[-1] if deep else (False, any(x.tag in ("article", "main") for x in stack))
+                    deep.append((dead or excluded(node.key, main), main or name in ("article", "main")))
+                places.setdefault(name, []).append(len(stack))
                 stack.append(node)
         elif name in ("br", "td", "th"):
             text.append(" ")
@@ -274,7 +285,7 @@ def rules(wrapper: Node) -> dict:
     live = {p: x for p, x in found.items() if not x["dead"] and not p.endswith("#text")}
     tag = lambda p: p.rsplit("/", 1)[1].split("|")[0]
     roots = [sorted(p for p in live if tag(p) == name) for name in ("article", "main")]
-    roots.append(sorted(p for p in live if re.search(r"\|.*\b(?:main|article|post|entry|story|content)\b", p.rsplit("/", 1)[1])))
+    roots.append(sorted(p for p in live if "+" in p.rsplit("/", 1)[1].partition("|")[2].partition(":")[0]))
     deepest = max((p for p, x in live.items() if x["size"] * 10 >= 6 * total), key=lambda p: p.count("/"), default="")
     roots.append([deepest] if deepest else [])
     return {"roots": roots, "constant": sorted(p for p, x in found.items() if p.endswith("#text") and x["constant"])}

@@ -231,6 +231,19 @@ def test_html():
     assert extract(parse(deep), rules(template(parse(deep))), 1) == "x\n\nend"
 
 
+def test_html_exclusion_reads_all_attributes_at_any_depth():
+    from folio.llm.html_wrappers import MAX_DEPTH, extract, parse, rules, template
+
+    text = lambda html: extract(parse(html), rules(template(parse(html))), 1)
+    long = " ".join(f"md:w-1/{i} px" for i in range(20))
+    for marks in (f"class='{long} comments'", f"class='{long}' id='comments'", f"class='{long}' role='complementary'"):
+        assert text(f"<article><p>a</p><div {marks}><p>no</p></div></article>") == "a"
+    assert text(f"<p>no</p><div class='{long}' id='content'><p>a</p></div>") == "a"
+    for deep in ("<nav>no</nav>", "<footer>no<p>no</footer>", "<div class='comments'><div><p>no</div></div>", "<nav><ul><li>no<li>no</ul></nav>"):
+        assert text("<article>" + "<div>" * (MAX_DEPTH + 30) + f"<p>a{deep}<p>b<header>c</header>") == "a\n\nb\n\nc"
+    assert text("<div>" * (MAX_DEPTH + 30) + "<p>a<header>no</header><p>b") == "a\n\nb"
+
+
 def test_html_table(spark):
     from folio.llm.html_wrappers import extract_text
 
