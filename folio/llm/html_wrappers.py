@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, strings
 
-#: Rows of wrappers up to which they are broadcast; a wrapper is cut to MAX_WRAPPER bytes.
+#: Rows of wrappers up to which they are broadcast.
 BROADCAST_HOSTS = 5_000
-MAX_WRAPPER = 20_000
+#: Longer constants are held in wrappers as hashes, which compare as the texts do.
+LONGEST_CONSTANT = 40
 #: Levels of the tree; what is nested deeper belongs to the deepest level, its blocks stay apart.
 MAX_DEPTH = 120
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|[^<]++|<""", re.S)
@@ -253,8 +254,8 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
 
 
 def template(node: Node) -> Node:
-    """A page's tree as a wrapper: repeats folded from the leaves up."""
-    out = Node(node.key, node.text)
+    """A page's tree as a wrapper: repeats folded from the leaves up, long texts as hashes."""
+    out = Node(node.key, node.text if len(node.text or "") <= LONGEST_CONSTANT else "#" + digest(node.text))
     out.children = fold_repeats([template(c) for c in node.children])
     out.size = len(node.text or "")
     return out
@@ -328,18 +329,7 @@ def host_of(url: str | None) -> str:
 
 
 def _packed(wrapper: Node) -> str:
-    while len(s := json.dumps(wrapper.dump(), separators=(",", ":"))) > MAX_WRAPPER:
-        if not _shorten(wrapper):
-            break
-    return s
-
-
-def _shorten(node: Node) -> bool:
-    """Long constants become slots; then nothing is left to shorten."""
-    changed = False
-    if node.text is not None and len(node.text) > 40:
-        node.text, changed = None, True
-    return any([_shorten(c) for c in node.children]) or changed
+    return json.dumps(wrapper.dump(), separators=(",", ":"))
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

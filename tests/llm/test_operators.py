@@ -244,6 +244,21 @@ def test_html_exclusion_reads_all_attributes_at_any_depth():
     assert text("<div>" * (MAX_DEPTH + 30) + "<p>a<header>no</header><p>b") == "a\n\nb"
 
 
+def test_html_constants_of_any_size_stay_constant():
+    import json
+
+    from folio.llm.html_wrappers import Node, _packed, extract, merge, parse, rules, template
+
+    shared = "This text of more than forty characters stands on every page of the host."
+    pages = [f"<section>{shared}</section><p>{body}</p><blockquote>{body}</blockquote>" for body in ("x " * 20_000, "y " * 900, "z " * 900, "w " * 900)]
+    part = lambda html: Node.load(json.loads(_packed(template(parse(html)))))
+    wrapper = part(pages[0])
+    for html in pages[1:]:
+        wrapper = Node.load(json.loads(_packed(merge(wrapper, part(html)))))
+    assert [extract(parse(p), rules(wrapper), 4) for p in pages] == ["\n\n".join([parse(p).children[1].children[0].text] * 2) for p in pages]
+    assert len(_packed(part(pages[0]))) < 1000
+
+
 def test_html_table(spark):
     from folio.llm.html_wrappers import extract_text
 
