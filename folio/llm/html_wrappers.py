@@ -24,6 +24,8 @@ from .common import Scratch, small_batches, strings
 BROADCAST_HOSTS = 5_000
 #: Longer constants are held in wrappers as hashes, which compare as the texts do.
 LONGEST_CONSTANT = 40
+#: A constant is a host's own text once so many pages share it whose texts differ; copies of a page count once.
+SHARED_BY = 3
 #: Levels of the tree; what is nested deeper belongs to the deepest level, its blocks stay apart.
 MAX_DEPTH = 120
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|[^<]++|<""", re.S)
@@ -57,25 +59,26 @@ def digest(text: str) -> str:
 
 
 class Node:
-    __slots__ = ("children", "key", "optional", "repeated", "size", "text")
+    __slots__ = ("children", "key", "optional", "pages", "repeated", "size", "text")
 
     def __init__(self, key: str, text: str | None = None):
         self.key, self.text, self.children = key, text, []
         self.optional = self.repeated = False
         self.size = len(text or "")
+        self.pages: list[int] = []  # of a constant: the smallest SHARED_BY marks of pages that hold it
 
     @property
     def tag(self) -> str:
         return self.key.split("|")[0]
 
     def dump(self) -> list:
-        return [self.key, self.text, int(self.optional) + 2 * int(self.repeated), self.size, [c.dump() for c in self.children]]
+        return [self.key, self.text, int(self.optional) + 2 * int(self.repeated), self.size, [c.dump() for c in self.children], self.pages]
 
     @classmethod
     def load(cls, x: list) -> Node:
         n = cls(x[0], x[1])
         n.optional, n.repeated, n.size = bool(x[2] & 1), bool(x[2] & 2), x[3]
-        n.children = [cls.load(c) for c in x[4]]
+        n.children, n.pages = [cls.load(c) for c in x[4]], x[5]
         return n
 
 
@@ -170,6 +173,8 @@ def merge(a: Node, b: Node) -> Node:
     """The template of two nodes of one key."""
     out = Node(a.key, a.text if a.text == b.text else None)
     out.optional, out.repeated, out.size = a.optional or b.optional, a.repeated or b.repeated, a.size + b.size
+    if out.text is not None:
+        out.pages = a.pages if a.pages == b.pages else sorted({*a.pages, *b.pages})[:SHARED_BY]
     out.children = align(a.children, b.children)
     return out
 
@@ -253,19 +258,33 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
     return fold_repeats(out)
 
 
-def template(node: Node) -> Node:
+def page_mark(page: Node) -> int:
+    """What the texts of a page hash to: the same for copies."""
+    texts, nodes = [], [page]
+    while nodes:
+        node = nodes.pop()
+        if node.text is not None:
+            texts.append(node.text)
+        nodes += node.children
+    return int(digest("\0".join(texts))[:15], 16)
+
+
+def template(node: Node, mark: int | None = None) -> Node:
     """A page's tree as a wrapper: repeats folded from the leaves up, long texts as hashes."""
+    mark = page_mark(node) if mark is None else mark
     out = Node(node.key, node.text if len(node.text or "") <= LONGEST_CONSTANT else "#" + digest(node.text))
-    out.children = fold_repeats([template(c) for c in node.children])
+    out.pages = [] if node.text is None else [mark]
+    out.children = fold_repeats([template(c, mark) for c in node.children])
     out.size = len(node.text or "")
     return out
 
 
 def _walk(node: Node, path: str, dead: bool, main: bool, found: dict[str, dict]) -> int:
-    """Text under a node; found gets what each path is: excluded, main, how much varying text it holds, whether its text is constant."""
+    """Text under a node; found gets what each path is: excluded, main, how much varying text it holds, whether its text is constant over pages that differ."""
     if node.key == "#text":
-        x = found.setdefault(path + "/#text", {"dead": dead, "constant": node.text is not None, "size": 0})
-        x["constant"] = x["constant"] and node.text is not None
+        constant = node.text is not None and len(node.pages) >= SHARED_BY
+        x = found.setdefault(path + "/#text", {"dead": dead, "constant": constant, "size": 0})
+        x["constant"] = x["constant"] and constant
         x["size"] += node.size
         return 0 if dead else node.size
     if node.key.startswith("#group "):
@@ -293,7 +312,7 @@ def rules(wrapper: Node) -> dict:
 
 
 def extract(page: Node, known: dict, pages: int) -> str:
-    """Blocks under the page's main roots, by the wrapper's preference; outside article and main, text that all of a host's pages share goes."""
+    """Blocks under the page's main roots, by the wrapper's preference; outside article and main, text that pages of a host share goes, if they differ elsewhere."""
     spans: list[tuple[str, str, bool]] = []
     seen: set[str] = set()
 
@@ -392,7 +411,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame) -> DataFrame:
     """A row for each row of pages: the main text, from the whole html by its host's wrapper.
 
-    A null html is empty, a null or odd url belongs to the host "". Repeated rows stay; other columns are not read.
+    A null html is empty, a null or odd url belongs to the host "". Repeated rows stay, and count as one page where text
+    that pages share is looked for; other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "wrappers")
     wrappers = scratch.write(infer_wrappers(pages), "wrappers")

@@ -259,6 +259,25 @@ def test_html_constants_of_any_size_stay_constant():
     assert len(_packed(part(pages[0]))) < 1000
 
 
+def test_html_copies_are_one_page():
+    import json
+
+    from folio.llm.html_wrappers import Node, _packed, extract, merge, parse, rules, template
+
+    def texts(*pages):
+        wrapper = template(parse(pages[0]))
+        for p in pages[1:]:
+            wrapper = Node.load(json.loads(_packed(merge(wrapper, template(parse(p))))))
+        return [extract(parse(p), rules(wrapper), len(pages)) for p in pages]
+
+    page = "<h1>Head {0}</h1><p>Body {0}</p><div><b>Site</b> <!-- {1} -->text</div>"
+    copy, own = page.replace("{0}", "one"), "<section>Only here</section>"
+    for n in (1, 2, 3, 9):
+        assert texts(*[copy.replace("{1}", str(i)) for i in range(n)]) == ["Head one\n\nBody one\n\nSite text"] * n
+    others = [page.replace("{0}", x) for x in ("two", "three")]
+    assert texts(*[copy + own] * 5, *others) == ["Head one\n\nBody one\n\nOnly here"] * 5 + [f"Head {x}\n\nBody {x}" for x in ("two", "three")]
+
+
 def test_html_table(spark):
     from folio.llm.html_wrappers import extract_text
 
