@@ -65,6 +65,12 @@ def font_rule(spark, sf):
     return op.font_rule(fonts, "user_id", ["view", "click", "purchase", "signup"])
 
 
+@query("font_rule_all", """select user_id, list_sort(list_filter([case when bool_or(event_type not in ('view', 'click', 'purchase', 'signup')) then 'font_not_allowed' end, case when bool_or(value > 90) then 'font_substituted' end, case when bool_or(value < 0.3) then 'font_missing' end], lambda x: x is not null)) as reasons from events group by 1""")
+def font_rule_all(spark, sf):
+    fonts = table(spark, sf, "events").select("user_id", F.col("event_type").alias("name"), (F.col("value") > 90).alias("substituted"), (F.col("value") < 0.3).alias("missing"))
+    return op.font_rule(fonts, "user_id", ["view", "click", "purchase", "signup"])
+
+
 @query("corpus_gate", "select source, count(*) * 2 as runs, count(distinct lang) = 1 as deterministic from documents group by 1")
 def corpus_gate(spark, sf):
     docs = table(spark, sf, "documents").select("source", F.sha2("lang", 256).alias("digest"))

@@ -92,12 +92,26 @@ def format_number(spark, sf):
     return n.select("n", *(fn.format_number(F.col("n"), F.lit(s)).alias(s) for s in fn.SYSTEMS))
 
 
+@query("format_number_all")
+def format_number_all(spark, sf):
+    """All rows of part, Roman numerals beyond 3999 included; held by a test, without SQL."""
+    n = table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("n")).distinct()
+    return n.select("n", *(fn.format_number(F.col("n"), F.lit(s)).alias(s) for s in fn.SYSTEMS))
+
+
 @query("page_number_text", "select p_partkey, concat('- ', case p_size % 4 when 0 then cast(p_size as varchar) when 1 then case when p_size <= 20 then chr(9311 + p_size) else cast(p_size as varchar) end when 2 then chr(cast(12593 as int)) else '*' end, ' -') as text from part where p_size % 4 <> 2")
 def page_number_text(spark, sf):
     code = F.when(F.col("p_size") % 4 == 3, 7).otherwise(F.col("p_size") % 4)
     return table(spark, sf, "part").where("p_size % 4 <> 2").select("p_partkey", fn.page_number(F.col("p_size"), code, F.lit("*"), F.lit("- "), F.lit(" -")).alias("text"))
 
 
+@query("page_number_text_all", """select p_partkey, concat('- ', case p_size % 4 when 0 then cast(p_size as varchar) when 1 then case when p_size between 1 and 20 then chr(cast(9311 + p_size as int)) else cast(p_size as varchar) end
+when 2 then concat(list_extract(['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'], cast(p_size // 10 + 1 as int)), list_extract(['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'], cast(p_size % 10 + 1 as int))) else '*' end, ' -') as text from part""")
+def page_number_text_all(spark, sf):
+    code = F.when(F.col("p_size") % 4 == 3, 7).otherwise(F.col("p_size") % 4)
+    return table(spark, sf, "part").select("p_partkey", fn.page_number(F.col("p_size"), code, F.lit("*"), F.lit("- "), F.lit(" -")).alias("text"))
+
+
 @query("filetime", """with e as (select event_id, (cast(floor(epoch(ts)) as bigint) + 11644473600) * 10000000 as ft, to_timestamp(floor(epoch(ts)))::timestamp as t from (select event_id, ts from events))
 select event_id, strftime(make_timestamp(cast((ft // 10000000 - 11644473600) * 1000000 as bigint)), '%Y-%m-%dT%H:%M:%SZ') as iso, ft as again from e""")
 def filetime(spark, sf):
