@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import escape_xml
 from ..sources import frames, markup
 from .registry import paras, query, table
 
@@ -65,6 +66,16 @@ def markdown_blocks(spark, sf):
     return spark.sql("select doc_id, para_idx as ord, b.kind from folio_md_lines, lateral md_blocks(md) b")
 
 
+@query("markdown_blocks_all", """select doc_id, para_idx as ord, case when para_idx % 3 = 0 then 'heading' when para_idx % 3 = 2 then 'quote' when regexp_matches(text, '^[ \\t]*(-[ \\t]*){2,}$') then 'rule' else 'bullet' end as kind from paras""", ("paras",))
+def markdown_blocks_all(spark, sf):
+    """All lines, empty ones and those that begin with marks or accents too."""
+    markup.register(spark)
+    k = F.col("para_idx") % 3
+    lines = paras(spark, sf).withColumn("md", F.concat(F.when(k == 0, "# ").when(k == 1, "- ").otherwise("> "), "text"))
+    lines.createOrReplaceTempView("folio_md_all_lines")
+    return spark.sql("select doc_id, para_idx as ord, b.kind from folio_md_all_lines, lateral md_blocks(md) b")
+
+
 @query("html_fragments", "select doc_id, 'p' as tag, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from documents where not regexp_matches(text, '[&<>\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')")
 def html_fragments(spark, sf):
     markup.register(spark)
@@ -73,6 +84,16 @@ def html_fragments(spark, sf):
     return spark.sql("select doc_id, b.tag, b.text from folio_fragments, lateral html_blocks(html) b")
 
 
+@query("html_fragments_all", """select doc_id, case when not regexp_matches(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') then 'p' end as tag, case when not regexp_matches(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') then trim(regexp_replace(t, '[\\s\\x{85}\\pZ]+', ' ', 'g')) end as text
+from (select doc_id, coalesce(text, '') as t from documents)""")
+def html_fragments_all(spark, sf):
+    """All documents, escaped; one with characters that XML has not is a row that was refused."""
+    markup.register(spark)
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("<p>"), escape_xml(F.coalesce("text", F.lit(""))), F.lit("</p>")).alias("html"))
+    docs.createOrReplaceTempView("folio_all_fragments")
+    return spark.sql("select doc_id, b.tag, b.text from folio_all_fragments, lateral html_blocks(html) b")
+
+
 @query("html_rejects", "select page_id, true as refused from pages")
 def html_rejects(spark, sf):
     markup.register(spark)
