@@ -14,12 +14,20 @@ from .common import small_batches
 WORD = re.compile(r"[^ \t-\r]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 #: Marks that end a sentence.
-TERMINAL = (".", "!", "?", "…", ":", ";", '"', "'", ")", "»", "”", "。", "！", "？")
+TERMINAL = (".", "!", "?", "…", ":", ";", '"', "'", ")", "»", "”", "。", "！", "？", "’", "]", "」", "』", "）", "．", "｡", "।", "॥", "؟", "۔", "։", "።", "။", "།", "។")
+#: Thai and Lao write sentences without end marks.
+UNMARKED = re.compile(r"[\u0e00-\u0eff]")
+#: A line of so many words has end punctuation, at its end or after one in so many of its words (a paragraph that is cut off).
+PUNCTUATED_WORDS, WORDS_AN_END = 8, 30
 #: Phrases of navigation and boilerplate lines, lower case.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "javascript", "lorem ipsum",
     "click here", "read more", "sign in", "log in", "subscribe", "powered by", "copyright", "back to top", "share this",
 )
+#: A phrase begins a word; one of several words ends one too ("sign in", not "design in" or "sign instead").
+PHRASE = re.compile("|".join(rf"\b{x}\b" if " " in x else rf"\b{x}" for x in BOILERPLATE))
+#: A line is boilerplate with at most so many words for each word of a phrase.
+WORDS_A_PHRASE_WORD = 15
 #: A document is rejected if removed lines hold more than this share of its characters in words.
 MAX_LOST = 0.5
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -47,7 +55,7 @@ def repeated_words(words: list[str], window: int = REPEAT_WINDOW) -> int:
 
 
 def line_fails(words: list[str], line: str) -> bool:
-    """Navigation (two or more separators), symbol noise, shouting, one word over and over, or a boilerplate phrase in a short line."""
+    """Navigation (two or more separators), symbol noise, shouting, one word over and over, no end punctuation, or boilerplate phrases in a line that is short for them."""
     n = len(words)
     if line.count(" | ") >= 2 or line.count(" > ") >= 2 or line.count("»") > 2:
         return True
@@ -58,10 +66,12 @@ def line_fails(words: list[str], line: str) -> bool:
         return True
     if n >= 8 and len(set(words)) * 5 <= n:
         return True
-    if n <= 15 and not line.rstrip().endswith(TERMINAL):
-        low = line.lower()
-        return any(x in low for x in BOILERPLATE)
-    return False
+    if n >= PUNCTUATED_WORDS and not words[-1].endswith(TERMINAL) and not UNMARKED.search(line) and sum(w.endswith(TERMINAL) for w in words) * WORDS_AN_END < n:
+        return True
+    low = " ".join(words).lower()
+    if not any(x in low for x in BOILERPLATE):
+        return False
+    return n <= WORDS_A_PHRASE_WORD * sum(len(x.split()) for x in PHRASE.findall(low))
 
 
 def clean(text: str, max_lost: float = MAX_LOST) -> tuple:

@@ -134,6 +134,23 @@ def test_quality_rules(spark):
     assert quality_rules(docs(spark)).count() == len(TEXTS) + 2 and quality_rules(docs(spark).limit(0)).count() == 0
 
 
+def test_quality_rules_of_lines():
+    from folio.llm.quality_rules import clean, line_fails
+
+    fails = lambda line: line_fails(line.split(), line)
+    notice = "We use cookies to give you the best experience on our site; by going on you accept our cookie policy and our privacy policy."
+    for line in ("All rights reserved.", "All  rights reserved.", "By continuing you accept our cookie policy.", "(c) X. All rights reserved.", "Click here!", notice, "Subscribe to our letter"):
+        assert fails(line), line
+    prose = "The court held that the copyright in the work had passed to the publisher long before the author wrote to him about it."
+    for line in (prose, "A catalog in the design institute lists them.", "Read moreover the second part.", "A heading of six words only", "這是沒有空格的一行"):
+        assert not fails(line), line
+    assert fails("one two three four five six seven eight") and not fails("one two three four five six seven eight.")
+    assert not fails("First it ended. Then it went on. Then the line was cut off in the")
+    assert not fails("यह एक पूरा वाक्य है जो यहाँ समाप्त होता है।") and not fails("ก ข ค ง จ ฉ ช ซ ฌ")
+    body = "\n".join(f"Plain{i} prose{i} stands{i} here{i}." for i in range(9))
+    assert clean(body + "\n(c) X. All rights reserved.")[-1] == body
+
+
 def test_rollup(spark, tmp_path):
     from folio.llm.rollup import TokenRollup
 
