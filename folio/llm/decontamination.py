@@ -89,7 +89,9 @@ class PositionalIndex:
         first = bounded(ranked.where("rank = 1").select("wid", "n", "off", F.col("tid").alias("first"), "l", "r"))
         lists = self.postings.where("tid <> 0")
         fits = (F.col("tid") == F.col("first")) & (F.lit(not adjacent) | (F.col("l").isin(0) | (F.col("l") == F.col("before"))) & (F.col("r").isin(0) | (F.col("r") == F.col("after"))))
-        found = lists.join(first, fits).select("dk", (F.col("pos") - F.col("off")).alias("start"), "wid", "n").where("start >= 0")
+        found = lists.join(first, fits).select("dk", (F.col("pos") - F.col("off")).alias("start"), "wid", "n")
+        if adjacent:
+            found = found.where("start >= 0")
         return self.scratch.write(found.distinct(), "candidates")
 
     def phrases(self, phrases: DataFrame) -> DataFrame:
@@ -109,7 +111,7 @@ class PositionalIndex:
         return single.select("dk", "start", "n", "wid").unionByName(pairs.where("n = 2").select("dk", "start", "n", "wid")).unionByName(whole.select("dk", "start", "n", "wid"))
 
     def proximity(self, phrases: DataFrame, slop: int) -> DataFrame:
-        """dk, wid, near: positions of a phrase's rarest word with every other word of it at most slop words off its place."""
+        """dk, wid, near: where a phrase would start by its rarest word, with every other word of it at most slop words off its place; down to -slop at a document's start."""
         ranked = self.scratch.write(self._ranked(phrases), "ranked_near")
         candidates = self._candidates(ranked, adjacent=False)
         near = self.lists().join(bounded(candidates.select("dk").distinct()), "dk", "left_semi")

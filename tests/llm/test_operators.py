@@ -407,3 +407,10 @@ def test_decontamination(spark):
     assert {r.doc_id for r in found} == {1}
 
 
+def test_proximity_at_a_document_start(spark):
+    from folio.llm.decontamination import PositionalIndex, item_windows
+
+    df = spark.createDataFrame([(1, "rare x"), (2, "a rare x"), (3, "x x x"), (4, "rare a b c x")], "doc_id long, text string")
+    phrases = item_windows(spark.createDataFrame([(1, "x rare")], "item_id long, text string"))
+    index = PositionalIndex(df, phrases.selectExpr("explode(terms) term"))
+    assert {r.doc_id for r in index.proximity(phrases, 2).join(index.documents(), "dk").collect()} == {1, 2}
