@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, strings
+from .common import Scratch, small_batches
 from .encoding import encoder
 
 #: Row groups of 16 MB, pages of at most 64 KB and 500 rows with column indexes; ids are dictionary-encoded, offsets delta-encoded.
@@ -26,15 +26,13 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("shard_start
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, before = encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            packed = [enc.packed(x) + end for x in strings(batch.column(1))]
-            n = np.array([len(x) for x in packed], np.int64) // enc.dtype.itemsize
-            ends = np.cumsum(n)
-            ids = np.frombuffer(b"".join(packed), enc.dtype).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), shard, np.int32)), pa.array(before + ends - n), pa.array(n), lists], schema=_ARROW)
-            before += int(ends[-1]) if len(ends) else 0
+            at = 0
+            for ids, n in enc.parts(batch.column(1), end_id):
+                ends = np.cumsum(n)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(np.full(len(n), shard, np.int32)), pa.array(before + ends - n), pa.array(n), lists], schema=_ARROW)
+                before, at = before + int(ends[-1]), at + len(n)
 
     return run
 
@@ -43,18 +41,20 @@ def write_token_files(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id:
     """Encode doc_id and text (null: empty), append end_id, write one sorted file a range of doc_id; returns the files' table.
 
     shard is the file's place in ascending doc_id order, shard_start the ids before the document in its file. Rows that
-    repeat a doc_id stay, ordered by text. A null doc_id comes first. Other columns of docs are not read.
+    repeat a doc_id stay, ordered by a hash of their texts, then by text. A null doc_id comes first; a long text is one row,
+    encoded whole. Other columns of docs are not read; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    sorted_docs = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    keys = ("doc_id", F.xxhash64("text"))
+    sorted_docs = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
     return scratch.write(sorted_docs.mapInArrow(_encode(tokenizer, end_id), _SCHEMA), table, **FORMAT)
 
 
-def with_starts(files: DataFrame) -> DataFrame:
-    """Add start, the ids of all documents before each one: sums a file, then a running sum over the few file rows."""
+def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Add start, the ids of all documents before each one, to rows of the files: sums a file, read from its counts alone, then a running sum over the few file rows."""
     sums = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     base = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
-    return files.join(base, "shard").withColumn("start", F.col("base") + F.col("shard_start"))
+    return rows.join(base, "shard").withColumn("start", F.col("base") + F.col("shard_start"))
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +69,7 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_digests(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of the ids as little-endian 32-bit integers, from the written files."""
     rows = files.select("doc_id", "shard", "shard_start", "n_tokens", "ids").mapInArrow(_checksums, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
-    return with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(rows, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def read_tokens(files: DataFrame, low: int, high: int) -> DataFrame:

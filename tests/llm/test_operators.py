@@ -24,19 +24,27 @@ def docs(spark, texts=TEXTS, extra=True):
 
 def whole(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 @pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
-def test_encoder_equals_whole_texts(path):
-    from folio.llm.encoding import Encoder
+def test_encoder_equals_whole_texts(path, monkeypatch):
+    import pyarrow as pa
 
-    own, ids = Encoder(path, limit=50), whole(path)
+    from folio.llm import encoding
+
+    own, ids = encoding.Encoder(path, held=500), whole(path)
     rng = random.Random(3)
-    texts = [*TEXTS, *("".join(rng.choice(" \n\taA.'sé　\x85́<|1!ſ\xa0\x1c") for _ in range(rng.randint(1, 14))) for _ in range(4000))]
-    for text in texts:
-        assert own.encode(text or "").tolist() == ids(text)[:-1], ascii(text)
+    words = ["abc", "Hello", "café.", "x\ny", "A.\n\nB", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "can't", "12", "日本", "é", "\u0301", "#$x", "\x01"]
+    texts = [*TEXTS, *("".join(rng.choice(" \n\taA.'sé　\x85́<|1!ſ\xa0\x1cİK") for _ in range(rng.randint(1, 14))) for _ in range(4000))]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) + rng.choice(["", " ", "  x"]) for _ in range(4000)]
+    want = [ids(text) for text in texts]
+    for size in (300, 4_000_000):
+        monkeypatch.setattr(encoding, "PART_BYTES", size)
+        got = [x.tolist() for flat, sizes in own.parts(pa.array(texts), 2) for x in np.split(flat, np.cumsum(sizes)[:-1])]
+        assert got == want
+    assert own.encode("").tolist() == [] and own.encode(texts[4]).tolist() == want[4][:-1]
+    assert (49407 if path == WORD_BPE else 50256) in ids(TEXTS[5])
 
 
 def test_token_output(spark):
@@ -79,6 +87,10 @@ def test_packing(spark):
     assert pack(docs(spark).limit(0), WORD_BPE).count() == 0
 
 
+def flat(parts):
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
 def test_packing_puts_lexical_neighbours_together():
     from folio.llm.packing import plan
 
@@ -87,11 +99,63 @@ def test_packing_puts_lexical_neighbours_together():
     order = rng.permutation(72)
     parts = [np.append(topics[i % 6][i // 6], 2) for i in order]
     windows = collections.defaultdict(set)
-    for doc, _, _, sequence, _ in plan(parts, 204):
+    for doc, _, _, sequence, _ in plan(*flat(parts), 204):
         windows[sequence].add(int(order[doc] % 6))
     assert np.mean([len(v) for v in windows.values()]) < 2.2
 
 
+def test_bm25_order_is_that_of_brute_force(monkeypatch):
+    from folio.llm import packing
+
+    rng = np.random.default_rng(1)
+    parts = [np.append(rng.integers(3, 40, rng.integers(0, 30)), 2).astype(np.uint16) for _ in range(60)]
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 100)
+    index, free = packing.Bm25(*flat(parts)), np.ones(60, bool)
+    texts = [p[:-1].tolist() for p in parts]
+    mean = np.mean([len(t) for t in texts])
+    df = collections.Counter(x for t in texts for x in set(t))
+
+    def scores(d):
+        out = {}
+        for j, t in enumerate(texts):
+            c = collections.Counter(t)
+            s = sum(np.log1p((60 - df[x] + 0.5) / (df[x] + 0.5)) * c[x] * 2.2 / (c[x] + 1.2 * (0.25 + 0.75 * len(t) / mean)) for x in set(texts[d]) if x in c)
+            if j != d and free[j] and s > 0:
+                out[j] = s
+        return out
+
+    for step in range(60):
+        want, got = scores(step), index.ranked(step, free).tolist()
+        assert set(got) == set(want) and all(want[a] >= want[b] - 1e-4 for a, b in zip(got, got[1:], strict=False))
+        free[rng.integers(0, 60)] = False
+        if step % 20 == 0:
+            index.forget(free)
+
+
+def test_packing_of_many_short_texts_takes_linear_time():
+    import time
+
+    from folio.llm import packing
+
+    def took(docs):
+        began = time.process_time()
+        for _ in range(docs // packing.SHARD_DOCS):
+            n = packing.SHARD_DOCS
+            assert sum(r[2] for r in packing.plan(np.full(n, 2, np.uint16), np.arange(n + 1), 4096)) == n
+        return time.process_time() - began
+
+    assert took(packing.SHARD_DOCS) < 20  # a shard holds no more documents, so that more of them take as many times as long
+
+
+def test_shards_are_cut_while_they_are_read(spark, monkeypatch):
+    from folio.llm.packing import pack
+
+    rows = [(i, "the same words in every copy " * 30) for i in range(300)] + [(1000, "long text " * 20_000)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), WORD_BPE, window=128, shard_tokens=2000).collect()
+    ids = whole(WORD_BPE)
+    assert sum(r.length for r in got) == sum(len(ids(t)) for _, t in rows) and len({r.doc_id for r in got}) == 301
+
+
 def test_chat(spark):
     from folio.llm.chat import END, HEAD, escape, format_conversations, parse, render
 
