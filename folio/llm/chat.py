@@ -14,63 +14,53 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: A turn: this header, the role, ":\n", the escaped text, the end mark. No escaped text holds "###" or "</turn>".
-HEAD, END = "### ", "</turn>\n"
-_TURN = re.compile(r"### ((?:\\.|[^\\:\n])*):\n((?:\\.|(?!</turn>)[^\\])*)</turn>\n", re.S)
+#: What stands before each role, before each text, and after the last one. It is a special token of the tokenizer, which is
+#: cut out of a text before anything else, so that no token holds both a part of it and of what is beside it.
+MARK = "<|endoftext|>"
 RESULT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long, formatted string, loss_mask array<boolean>"
 
 
 def escape(text: str) -> str:
-    r"""Backslashes doubled, "##" as "#\#" and "</" as "<\/", so that no control string stays."""
-    return text.replace("\\", "\\\\").replace("##", "#\\#").replace("</", "<\\/")
-
-
-def escape_role(role: str) -> str:
-    return re.sub(r"([\\:\n#<])", r"\\\1", role)
+    r"""Backslashes doubled, "<|" as "<\|", so that no mark stays."""
+    return text.replace("\\", "\\\\").replace("<|", "<\\|")
 
 
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
-def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, str]]]:
-    """The formatted conversation, and start, end and role of each turn's text in it."""
-    parts, spans, at = [], [], 0
-    for role, text in turns:
-        head, body = f"{HEAD}{escape_role(role)}:\n", escape(text)
-        parts += [head, body, END]
-        spans.append((at + len(head), at + len(head) + len(body), role))
-        at += len(head) + len(body) + len(END)
-    return "".join(parts), spans
+def render(turns: list[tuple[str, str]]) -> str:
+    """The formatted conversation: each turn's escaped role and text, marked."""
+    return MARK + "".join(f"{escape(role)}{MARK}{escape(text)}{MARK}" for role, text in turns)
 
 
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
     """Role, text, start and end of each turn, read from the formatted conversation; raises if anything else is in it."""
-    out, at = [], 0
-    while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
-            raise ValueError(f"no turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2]), m.start(2), m.end(2)))
-        at = m.end()
+    parts = formatted.split(MARK)
+    if len(parts) % 2 or parts[0] or parts[-1]:
+        raise ValueError("marks do not pair up")
+    out, at = [], len(MARK)
+    for role, text in zip(parts[1:-1:2], parts[2:-1:2], strict=True):
+        at += len(role) + len(MARK)
+        out.append((unescape(role), unescape(text), at, at + len(text)))
+        at += len(text) + len(MARK)
     return out
 
 
 def loss_tokens(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-    """Which tokens lie in a span, and for each span the character ranges under its tokens, clipped to it and joined.
+    """Which tokens lie in a span, and for each span the character ranges under its tokens, joined; raises if a token crosses a span's end.
 
     Token starts and ends ascend, so that a span's tokens are found by two binary searches.
     """
     mask = np.zeros(len(offsets), bool)
     covered = []
     for a, b in spans:
-        first, last = np.searchsorted(offsets[:, 1], a, "right"), np.searchsorted(offsets[:, 0], b, "left")
-        own = np.clip(offsets[first:last], a, b)
-        mask[first:last] = own[:, 1] > own[:, 0]
+        first, last = np.searchsorted(offsets[:, 0], a, "left"), np.searchsorted(offsets[:, 1], b, "right")
+        if (first and offsets[first - 1, 1] > a) or (last < len(offsets) and offsets[last, 0] < b):
+            raise ValueError(f"a token crosses the end of the span from {a} to {b}")
+        mask[first:last] = True
         runs: list[tuple[int, int]] = []
-        for s, e in own.tolist():
-            if e <= s:
-                continue
+        for s, e in offsets[first:last].tolist():
             if runs and s <= runs[-1][1]:
                 runs[-1] = (runs[-1][0], max(e, runs[-1][1]))
             else:
@@ -84,17 +74,18 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    if MARK not in {x.content for x in t.get_added_tokens_decoder().values() if x.special}:
+        raise ValueError(f"{MARK} is no special token of {path}")
     return t
 
 
 def format_conversation(conv_id, turns: list[tuple[str, str]], tokenizer: str, learn: str = "assistant") -> tuple:
-    formatted, _ = render(turns)
+    formatted = render(turns)
     back = parse(formatted)
     encoded = _tokenizer(tokenizer).encode(formatted, add_special_tokens=False)
     offsets = np.array(encoded.offsets, np.int64).reshape(-1, 2)
     mask, covered = loss_tokens(offsets, [(a, b) for role, _, a, b in back if role == learn])
-    # a token can begin before its span or end inside an escape; the ranges are clipped to spans and joined, so escapes stay whole
+    # a token can end inside an escape; a span's ranges are joined, so escapes stay whole
     loss = "".join(unescape("".join(formatted[s:e] for s, e in runs)) for runs in covered)
     digest = hashlib.sha256()
     for role, text, _, _ in back:

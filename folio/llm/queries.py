@@ -42,11 +42,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -7, i, case i when 0 then 'user' else 'assistant' end, '\### Assistant: </turn> ok' from range(0, 2) as t(i)),
-e as (select *, length(replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</', '<\/')) as n from c)
+e as (select *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) as r, length(replace(replace(text, '\', '\\'), '<|', '<\|')) as n from c)
 select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn, role, text)) as turns_sha256,
        cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-       cast(sum(4 + length(role) + 2 + n + 8) as bigint) as formatted_chars
+       cast(13 + sum(r + 13 + n + 13) as bigint) as formatted_chars
 from e group by conv_id
 """
 

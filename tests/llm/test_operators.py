@@ -157,10 +157,10 @@ def test_shards_are_cut_while_they_are_read(spark, monkeypatch):
 
 
 def test_chat(spark):
-    from folio.llm.chat import END, HEAD, escape, format_conversations, parse, render
+    from folio.llm.chat import MARK, escape, format_conversations, parse, render
 
     rng = random.Random(1)
-    bits = ["\\", "#", "##", "###", "</turn>", "<", "/", "turn>", "\n", ":", "a", " ", "é", "😀", "### assistant:", "ok"]
+    bits = ["\\", "#", "###", "</turn>", "<", "|", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "endoftext", "\n", "\n\nx", ":", "a", " ", "é", "😀", "p>", "(x)", "### assistant:", "ok"]
     rows = [(c, t, rng.choice(["user", "assistant", "sy:s\n#", None]), rng.choice([None, "".join(rng.choice(bits) for _ in range(9))]), 0) for c in range(60) for t in range(rng.randint(1, 5))]
     rows += [rows[0], (None, None, None, None, 1)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int")
@@ -175,8 +175,12 @@ def test_chat(spark):
         loss = "".join(t for r, t in pairs if r == "assistant")
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in pairs).encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        assert [(r, t) for r, t, _, _ in parse(render(pairs)[0])] == pairs
-        assert all(HEAD.strip() not in escape(t) and END.strip() not in escape(t) for _, t in pairs)
+        assert [(r, t) for r, t, _, _ in parse(render(pairs))] == pairs and got[c].formatted == render(pairs)
+        assert all(MARK not in escape(t) for _, t in pairs)
+        # the token mask covers the escaped texts and no character beside them
+        encoded = Tokenizer.from_file(BYTE_BPE).encode(got[c].formatted, add_special_tokens=False)
+        under = {i for (s, e), own in zip(encoded.offsets, got[c].loss_mask, strict=True) if own for i in range(s, e)}
+        assert under == {i for r, _, s, e in parse(got[c].formatted) if r == "assistant" for i in range(s, e)}
     assert format_conversations(df.limit(0), BYTE_BPE).count() == 0
 
 
@@ -290,6 +294,159 @@ def test_secrets(spark):
     assert find_secrets(df.limit(0)).count() == 0
 
 
+def base_by_hand(text):
+    """The base patterns, character by character."""
+    word = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    out, i = [], 0
+    while i < len(text):
+        end = None
+        for key in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(key, i):
+                j = i + len(key)
+                j += text[j : j + 1] in ("'", '"')
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] not in (":", "="):
+                    continue
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                j += text[j : j + 1] in ("'", '"')
+                k = j
+                while k < len(text) and text[k] in word:
+                    k += 1
+                if k > j:
+                    end = k
+                    if k - j >= 6:
+                        out.append((i, k, "assign"))
+                    break
+        i = end or i + 1
+    for first, chars, least, kind in (("AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, "access"), ("", "0123456789abcdef", 24, "hex")):
+        i = 0
+        while i < len(text):
+            j = i + len(first)
+            while text.startswith(first, i) and j < len(text) and text[j] in chars:
+                j += 1
+            if not text.startswith(first, i) or j == i + len(first):
+                i += 1
+                continue
+            if j - i >= least:
+                out.append((i, j, kind))
+            i = j
+    return sorted(out, key=lambda x: (x[0], ["assign", "access", "hex"].index(x[2])))
+
+
+def test_secrets_equal_brute_force():
+    from folio.llm.secrets import ORDER, scan
+
+    rng = random.Random(8)
+    bits = ["password", "PassWd", "token", "api_key", "APIkey", "secret", "=", ":", " ", '"', "'", "abc", "abcdef", "AKIA", "AKIA" + "X1" * 8, "a1b2c3d4e5f6" * 2, "ſecret", "\n", "\n\n", "é", "-.", "id: user77", "Xk9/aB3+Zq81mmPqLrTz", "db.internal", "https://x.y/z"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        base, spans = scan(text)
+        assert base == base_by_hand(text), text
+        assert set(base) <= set(spans) and spans == sorted(spans, key=lambda x: (x[0], ORDER.index(x[2])))
+        # each weak part has its complements in its own scope, by comparing all pairs
+        scope = lambda x: len(re.findall(r"\n[ \t]*\n", text[: x[0] + 1]))
+        side = {"assign": "s", "hex": "s", "weak_secret": "s", "access": "a", "weak_access": "a", "weak_endpoint": "e"}
+        for x in spans:
+            near = {side[y[2]] for y in spans if y != x and scope(y) == scope(x)}
+            assert x[2] in ORDER[:3] or {"weak_secret": {"a"}, "weak_access": {"s"}, "weak_endpoint": {"a", "s"}}[x[2]] <= near, text
+
+
+def test_secrets_have_no_reach_but_their_scope():
+    from folio.llm.secrets import scan
+
+    key, weak = "AKIA" + "B7" * 8, "Xk9/aB3+Zq81mmPqLrTzVwYs0kJhGfDc"
+    host = ".".join(f"a{i}" for i in range(40)) + ".internal:5432"
+    for gap in (10, 5000, 200_000):
+        text = key + " x" * gap + " " + weak + " x" * gap + " " + host
+        spans = scan(text)[1]
+        assert [k for _, _, k in spans] == ["access", "weak_secret", "weak_endpoint"] and text[spans[2][0] : spans[2][1]] == host
+    assert [k for _, _, k in scan(f"{key}\n \t\n{weak}")[1]] == ["access"]
+    assert [k for _, _, k in scan(f"{key} {weak} a.internal.example b.internalx")[1]] == ["access", "weak_secret"]
+    scan(f"{key} {weak} " + "a." * 200_000 + " " + "-" * 200_000)
+
+
+def test_redaction_keeps_other_columns(spark):
+    from folio.llm.secrets import redact_secrets
+
+    text = "token = abcdef123"
+    df = spark.createDataFrame([(1, text, 17, "x"), (1, text, 17, "x"), (2, "", 0, None), (3, None, None, None)], "doc_id long, text string, n_chars int, spans string")
+    assert sorted(map(str, (tuple(r) for r in redact_secrets(df).collect()))) == sorted(map(str, [(1, "[SECRET]", 8, "x")] * 2 + [(2, "", 0, None), (3, None, None, None)]))
+    odd = spark.createDataFrame([(text, "n")], "text string, n_chars string")
+    assert tuple(redact_secrets(odd).first()) == ("[SECRET]", "n") and redact_secrets(df.limit(0)).count() == 0
+
+
+def test_quality_gradients_equal_differences():
+    from folio.llm import quality_model as q
+
+    rng = np.random.default_rng(3)
+    x, starts, y = rng.normal(size=(9, q.FEATURES)), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
+    draw = lambda *shape: rng.normal(0, 0.4, shape)
+    model = q.AttentionModel(0, 1, {"W": draw(q.FEATURES, q.HIDDEN), "b": draw(q.HIDDEN), "V": draw(q.HIDDEN, q.GATE), "U": draw(q.HIDDEN, q.GATE), "w": draw(q.GATE), "c": draw(q.HIDDEN), "d": draw(1)})
+
+    def loss():
+        s = model.forward(x, starts)["s"]
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
+
+    for name, g in model.gradients(x, starts, y).items():
+        p = model.p[name]
+        for i in rng.integers(0, p.size, 5):
+            at = np.unravel_index(i, p.shape)
+            kept = p[at]
+            p[at] = kept + 1e-6
+            up = loss()
+            p[at] = kept - 1e-6
+            down = loss()
+            p[at] = kept
+            assert abs((up - down) / 2e-6 - g[at]) < 1e-5, name
+
+
+def test_quality_fit_is_bounded(spark, monkeypatch):
+    from folio.llm import quality_model as q
+
+    seen = []
+    monkeypatch.setattr(q, "train", lambda bags, y: seen.append((len(bags), sum(map(len, bags)))))
+    df = spark.createDataFrame([(i % 50, f"word{i} and so on " * (1 + 900 * (i == 7))) for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 50, i % 50 % 2) for i in range(100)], "doc_id long, quality int")
+    q.fit(df, labels, fit_rows=10)
+    q.fit(df, labels, fit_rows=50, fit_passages=30)
+    q.fit(df, labels.limit(0))
+    assert seen[0][0] == 10 and seen[1][1] <= 30 and seen[1][0] <= 50 and seen[2] == (0, 0)
+
+
+def test_quality_of_held_out_documents(spark):
+    """Accuracy and rank on the fifth of the labels that are never learned from."""
+    from folio.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r.score, r.predicted, labels[r.doc_id]) for r in QUERIES["op5_quality_model"](spark, sf).collect() if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, _, y in rows if y == 1], [s for s, _, y in rows if y == 0]
+    auc = np.mean([(a > b) + (a == b) / 2 for a in good for b in bad])
+    assert len(rows) > 30 and auc > 0.9 and np.mean([p == y for _, p, y in rows]) > 0.85
+
+
+def test_clashing_columns_pass_through(spark):
+    from folio.llm.decontamination import drop_contaminated
+    from folio.llm.quality_model import fit, score
+    from folio.llm.set_join import keep_first
+
+    texts = ["a b c d e f g", "a b c d e f g", None, "", "some other words here in a row of ten words or so"]
+    names = ["first", "score", "dk", "__dk", "comp", "ck", "n", "sig", "low"]
+    df = spark.createDataFrame([(i, t, *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)], ["doc_id", "text", *names])
+    bench = spark.createDataFrame([(1, "words here in a row of ten words or so", 2)], "item_id long, text string, dk long")
+    by = {r.doc_id: r for r in df.collect()}
+    kept = keep_first(df).collect()
+    assert {r.doc_id for r in kept} == {0, 2, 3, 4} and all(r == by[r.doc_id] for r in kept)
+    clean = drop_contaminated(df, bench).collect()
+    assert {r.doc_id for r in clean} == {0, 1, 2, 3} and all(r == by[r.doc_id] for r in clean)
+    scored = score(df, fit(df, spark.createDataFrame([], "doc_id long, quality int"))).collect()
+    assert {r.score for r in scored} == {0.5} and all(r.first == by[r.doc_id].first and r.text == by[r.doc_id].text for r in scored)
+
+
 def test_html():
     import json
 
