@@ -25,11 +25,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Weak parts, which count only beside their complements: identifiers, unlabelled random strings, hosts that take credentials.
 WEAK_ACCESS = re.compile(r"(?<![A-Z0-9])(?:ASIA|AGPA|AIDA|AROA)[A-Z0-9]{12,}|\b(?:client|account|access|user)_?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._-]{4,}")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
-WEAK_ENDPOINT = re.compile(r"\b(?:https?|s3|jdbc|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,8}\.(?:amazonaws\.com|internal)(?::\d+)?\b")
+URL = re.compile(r"\b(?:https?|s3|jdbc|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]+")
+#: A host of any number of labels, read once from its first letter; it takes credentials if it ends so.
+HOST = re.compile(r"(?<![\w.-])[a-z0-9-]++(?:\.[a-z0-9-]++)++(?::[0-9]++)?+(?!\w)")
+HOSTS = (".amazonaws.com", ".internal")
 SCOPE = re.compile(r"\n[ \t]*\n")
 ORDER = ("assign", "access", "hex", "weak_access", "weak_secret", "weak_endpoint")
-#: Characters between complementary parts.
-REACH = 400
 #: Bits a character that an unlabelled string must have.
 MIN_ENTROPY = 3.5
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_weak long"
@@ -46,49 +47,53 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], ORDER.index(x[2])))
 
 
-class _Side:
-    """Intervals of one role, sorted, for the nearest-neighbour test of the interval join."""
+def inside(spans: list[tuple[int, int, str]]):
+    """A test whether [a, b) meets one of the spans, by binary search."""
+    starts, ends = [a for a, _, _ in spans], []
+    for _, b, _ in spans:
+        ends.append(max(b, ends[-1]) if ends else b)
 
-    def __init__(self, spans: list[tuple[int, int]]):
-        self.spans = sorted(spans)
-        self.starts = [a for a, _ in self.spans]
-        self.ends: list[int] = []
-        for _, b in self.spans:
-            self.ends.append(max(b, self.ends[-1]) if self.ends else b)
+    def test(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)
+        return i > 0 and ends[i - 1] > a
 
-    def near(self, a: int, b: int, reach: int) -> bool:
-        """Whether an interval lies within reach of [a, b): the last that starts before b + reach reaches back to a - reach."""
-        i = bisect_left(self.starts, b + reach)
-        return i > 0 and self.ends[i - 1] > a - reach
+    return test
 
 
-def weak_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH) -> list[tuple[int, int, str]]:
-    """Weak parts whose complements lie in the same scope and within reach.
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs, and hosts outside them that take credentials."""
+    found = [(m.start(), m.end()) for m in URL.finditer(text)] if "://" in text else []
+    if any(x in text for x in HOSTS):
+        in_url = inside([(a, b, "") for a, b in found])
+        found += [(m.start(), m.end()) for m in HOST.finditer(text) if m[0].partition(":")[0].endswith(HOSTS) and not in_url(m.start(), m.end())]
+    return sorted(found)
 
-    A weak secret needs an identifier beside it, a weak identifier a secret, an endpoint both. Scopes end at blank lines.
+
+def weak_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Weak parts whose complements lie in the same scope, however far apart.
+
+    A weak secret needs an identifier in its scope, a weak identifier a secret, an endpoint both. Scopes end at blank lines;
+    parts are joined with them by binary search.
     """
-    covered = _Side([(a, b) for a, b, _ in base])
-    inside = lambda a, b: covered.near(a, b, 0)
-    weak = [(m.start(), m.end(), "weak_access") for m in WEAK_ACCESS.finditer(text) if not inside(m.start(), m.end())]
+    covered = inside(base)
+    weak = [(m.start(), m.end(), "weak_access") for m in WEAK_ACCESS.finditer(text) if not covered(m.start(), m.end())]
     if not weak and not any(k == "access" for _, _, k in base):
         return []  # every rule needs an identifier
-    weak += [(m.start(), m.end(), "weak_secret") for m in WEAK_SECRET.finditer(text) if not inside(m.start(), m.end()) and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and _entropy(m[0]) >= MIN_ENTROPY]
-    weak += [(m.start(), m.end(), "weak_endpoint") for m in WEAK_ENDPOINT.finditer(text) if not inside(m.start(), m.end())]
+    weak += [(m.start(), m.end(), "weak_secret") for m in WEAK_SECRET.finditer(text) if not covered(m.start(), m.end()) and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and _entropy(m[0]) >= MIN_ENTROPY]
+    weak += [(a, b, "weak_endpoint") for a, b in endpoints(text) if not covered(a, b)]
     cuts = [m.start() for m in SCOPE.finditer(text)]
-    parts: dict[int, dict[str, list[tuple[int, int]]]] = {}
     role = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "access": "access", "weak_access": "access", "weak_endpoint": "endpoint"}
-    for a, b, kind in [*base, *weak]:
-        parts.setdefault(bisect_left(cuts, a), {}).setdefault(role[kind], []).append((a, b))
-    sides = {scope: {k: _Side(v) for k, v in roles.items()} for scope, roles in parts.items()}
-    needs = {"weak_secret": ("access",), "weak_access": ("secret",), "weak_endpoint": ("access", "secret")}
-    none = _Side([])
-    return [(a, b, kind) for a, b, kind in weak if all(sides[bisect_left(cuts, a)].get(r, none).near(a, b, reach) for r in needs[kind])]
+    held: dict[int, set[str]] = {}
+    for a, _, kind in [*base, *weak]:
+        held.setdefault(bisect_left(cuts, a), set()).add(role[kind])
+    needs = {"weak_secret": {"access"}, "weak_access": {"secret"}, "weak_endpoint": {"access", "secret"}}
+    return [(a, b, kind) for a, b, kind in weak if needs[kind] <= held[bisect_left(cuts, a)]]
 
 
-def scan(text: str, reach: int = REACH) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans by start then kind."""
     base = base_spans(text)
-    weak = weak_spans(text, base, reach)
+    weak = weak_spans(text, base)
     return base, sorted([*base, *weak], key=lambda x: (x[0], ORDER.index(x[2]))) if weak else base
 
 
@@ -122,8 +127,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """A row for each row of docs with its spans in code points; a null text has none.
 
-    The interval join runs where the text is: both sides of a scope are sorted and searched, no pairs are made, nothing is
-    exchanged. Repeated rows get a row each; other columns are not read.
+    The interval join runs where the text is: parts are searched in the sorted scopes, no pairs are made, nothing is
+    exchanged, and a long text takes time in proportion. Repeated rows get a row each; other columns are not read; an empty
+    table gives no rows.
     """
     small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_scan, RESULT)
@@ -131,12 +137,20 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [None if t is None else redact(t, scan(t)[1]) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-        columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        i, n = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
+        texts = [None if t is None else redact(t, scan(t)[1]) for t in batch.column(i).to_pylist()]
+        columns = list(batch.columns)
+        columns[i] = pa.array(texts, batch.column(i).type)
+        if n >= 0 and pa.types.is_integer(batch.column(n).type):
+            columns[n] = pa.array([None if t is None else len(t) for t in texts], batch.column(n).type)
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with secrets and linked identifiers replaced in text, n_chars to match; every row stays."""
+    """docs with secrets and linked identifiers replaced in text; every row stays, repeated ones too, a null text stays null.
+
+    A column n_chars of whole numbers is set to match; one of another type, and all other columns, pass through. A long
+    text is one row; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     return docs.mapInArrow(_redact, docs.schema)
