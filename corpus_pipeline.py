@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import Scratch, table
+from folio.llm.common import Scratch, free_name, table
 from folio.llm.decontamination import drop_contaminated
 from folio.llm.packing import pack
 from folio.llm.quality_model import fit_folds, score
@@ -21,8 +21,8 @@ MIN_SCORE = 0.3
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among docs, gives MIN_SCORE or more."""
-    model = fit_folds(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where(F.col("score") >= MIN_SCORE).select(*docs.columns)
+    model, name = fit_folds(docs, table(spark, sf_dir, "labels")), free_name(docs.columns, "score")
+    return score(docs, model, name).where(F.col(name) >= MIN_SCORE).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,6 +79,14 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that none of the columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, on an array of unsigned 64-bit integers."""
     x = x.astype(np.uint64)

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, strings
+from .common import Scratch, mix64, small_batches, strings
 
 #: Words of one passage.
 PASSAGE_WORDS = 96
@@ -23,8 +23,8 @@ PASSAGE_WORDS = 96
 PIECE_CHARS = 200
 #: Characters whose features are made at once, and characters of words that are held between batches: both bound memory only.
 BLOCK_CHARS, HELD_CHARS = 1_000_000, 16_000_000
-#: Labelled rows that a fit reads at most: those with the smallest hashes of doc_id.
-FIT_ROWS = 6000
+#: Labelled documents that a fit reads at most, those with the smallest hashes of doc_id, and passages that they may have together.
+FIT_ROWS, FIT_PASSAGES = 6000, 300_000
 HASHED, HIDDEN, GATE = 24, 24, 12
 MARKS = re.compile(r"[#*$%&|<>!@^~=_+/\\{}\[\]]")
 #: Features of one word: a one, length, letters, digits, upper-case letters, marks, sentence end, comma end, only marks, all upper case, non-ASCII letters.
@@ -197,42 +197,55 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: i
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in batches:
-        x, starts = encode(strings(batch.column(0)), words)
+        x, starts = encode(strings(batch.column(1)), words)
         bags = [x[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch.column(1), batch.column(2)], names=["bag", "label", "place"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary()), pa.array(np.diff(starts)), *batch.columns[2:]], names=["doc_id", "bag", "size", "label", "place"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS) -> AttentionModel:
-    """Train on at most fit_rows labelled rows of docs; labels has doc_id and `label`, rows with nulls are left out.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS, fit_passages: int = FIT_PASSAGES) -> AttentionModel:
+    """Train on at most fit_rows labelled documents of docs; labels has doc_id and `label`, rows with nulls are left out.
 
-    The rows are those with the smallest hashes of doc_id, so a fit repeats. fit_rows bounds both the broadcast ids and
-    what the driver collects.
+    The documents are those with the smallest hashes of doc_id, so a fit repeats. Of rows that repeat a doc_id one is read,
+    that with the smallest features. Documents count in order of their hashes as long as they have at most fit_passages
+    passages together, which bounds what the driver collects, however long they are. Without rows or labels, scores are 0.5.
     """
-    small_batches(docs.sparkSession)
-    chosen = labels.select("doc_id", F.col(label).cast("double").alias("label")).dropna().withColumn("place", F.xxhash64("doc_id", "label")).orderBy("place", "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "place")
-    got = rows.mapInArrow(_features, "bag binary, label double, place long").toPandas().sort_values(["place", "bag"], kind="stable")
-    bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got["bag"]]
-    return train(bags, got["label"].to_numpy())
-
-
-def _score(model: AttentionModel):
+    spark = docs.sparkSession
+    small_batches(spark)
+    chosen = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("double").alias("label")).dropna().dropDuplicates(["doc_id", "label"])
+    chosen = chosen.withColumn("place", F.xxhash64("doc_id", "label")).orderBy("place", "doc_id").limit(fit_rows)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", "place")
+    bags = rows.mapInArrow(_features, "doc_id long, bag binary, size long, label double, place long")
+    bags = Scratch(spark, "bags").write(bags.groupBy("doc_id", "label", "place").agg(F.min(F.struct("bag", "size")).alias("x")).select("place", "doc_id", "label", "x.*"), "bags")
+    sizes = bags.select("place", "doc_id", F.sum("size").over(Window.orderBy("place", "doc_id")).alias("upto"))  # at most fit_rows rows
+    within = F.broadcast(sizes.where(F.col("upto") <= fit_passages).select("place", "doc_id"))
+    got = bags.join(within, ["place", "doc_id"]).select("place", "doc_id", "label", "bag").toPandas().sort_values(["place", "doc_id"], kind="stable")
+    return train([np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got["bag"]], got["label"].to_numpy())
+
+
+def _score(model: AttentionModel, at: int, keep: list[int], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            x, starts = encode(strings(batch.column(batch.schema.get_field_index("text"))), words)
+            x, starts = encode(strings(batch.column(at)), words)
             scores = np.round(model.scores(x, starts), 9)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(scores, pa.float64())], names=names)
 
     return run
 
 
-def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
-    """docs with a score from 0 to 1; only text is read for it, whole, runs without blanks in pieces. A null or empty text gets the score of a zero passage."""
+def score(docs: DataFrame, model: AttentionModel, name: str = "score") -> DataFrame:
+    """docs with a column `name` from 0 to 1; only text is read for it, whole, runs without blanks in pieces.
+
+    Equal texts get equal scores; a null or empty text gets the score of a zero passage. Repeated rows get a row each,
+    other columns pass through, one that is called `name` already is replaced. An empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(_score(model), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    keep = [i for i, f in enumerate(docs.schema.fields) if f.name.lower() != name.lower()]
+    fields = [*(docs.schema.fields[i] for i in keep), StructField(name, DoubleType())]
+    at = [f.name.lower() for f in docs.schema.fields].index("text")
+    return docs.mapInArrow(_score(model, at, keep, [f.name for f in fields]), StructType(fields))
 
 
 def held_out(doc_id: str = "doc_id"):
