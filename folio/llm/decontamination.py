@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_name
 
 WINDOW_WORDS = 10
 #: Rows of a side up to which it is broadcast; counted first, beyond it the join is shuffled. A row is under 100 bytes.
 BROADCAST_ROWS = 500_000
+#: Bytes of the terms up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -56,11 +58,14 @@ class PositionalIndex:
         terms = vocabulary.select("term").distinct()
         self.terms = self.scratch.write(terms.select("term", F.xxhash64("term").alias("tid")), "terms")
         own = self.terms.unionByName(docs.sparkSession.sql("select '' as term, 0L as tid"))
-        rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("dk"), words().alias("w"))
+        size = self.terms.agg(F.count("*"), F.sum(F.octet_length("term"))).first()
+        if size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_BYTES:
+            own = F.broadcast(own)
+        rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("dk"), words().alias("w"))
         none = F.array(F.lit(""))
         trios = F.arrays_zip(F.concat(none, F.col("w")).alias("term"), F.concat(F.col("w"), none).alias("after"), F.concat(none, none, F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("before"))
         each = rows.select("doc_id", "dk", F.size("w").alias("n_words"), F.posexplode(trios).alias("p", "x")).select("doc_id", "dk", "n_words", "p", "x.term", "x.before", "x.after")
-        found = each.join(bounded(own), "term").select(
+        found = each.join(own, "term").select(
             "dk", F.when(F.col("tid") == 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("tid") == 0, F.col("n_words")).alias("n_words"), (F.col("p") - 1).alias("pos"), "tid",
             F.when(F.col("tid") != 0, mark("before")).alias("before"), F.when(F.col("tid") != 0, mark("after")).alias("after"),
         )
@@ -80,7 +85,7 @@ class PositionalIndex:
         each = phrases.select("wid", "terms").dropDuplicates(["wid"]).select("wid", "terms", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term"))
         beside = lambda d: F.coalesce(F.get("terms", F.col("off") + d), F.lit(""))
         each = each.select("wid", "n", "off", "term", beside(-1).alias("l"), beside(1).alias("r")).select("wid", "n", "off", F.xxhash64("term").alias("tid"), mark("l").alias("l"), mark("r").alias("r"))
-        each = each.join(self.frequencies(), "tid")
+        each = each.join(bounded(self.scratch.write(self.frequencies(), "frequencies")), "tid")
         by = Window.partitionBy("wid")
         return each.withColumn("known", F.count("*").over(by)).where("known = n").withColumn("rank", F.row_number().over(by.orderBy("df", "off"))).select("wid", "n", "off", "tid", "rank", "l", "r")
 
@@ -126,7 +131,8 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW_WORDS) -> D
     """A row for each row of docs: n_words, n_hit, n_items, items_sha256, contaminated, and its key dk.
 
     docs: doc_id, text; items: item_id, text; null texts have no words, other columns are not read. Items whose ids are
-    null count as the item "". Without items, or documents, nothing is hit.
+    null count as the item "". Repeated rows get a row each with the same result; items that share a window are all found;
+    a long text is read whole, its postings lie in as many rows. Without items, or documents, nothing is hit.
     """
     return _contamination(docs, items, n)[0]
 
@@ -154,10 +160,16 @@ def _contamination(docs: DataFrame, items: DataFrame, n: int) -> tuple[DataFrame
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
-    """docs without the rows that hold a test window."""
+    """docs without the rows that hold a test window.
+
+    A null or empty text holds none and stays; equal rows go or stay together, whatever their number; columns other than
+    doc_id and text pass through, whatever their names; a long text is read whole. Without items all rows stay; an empty
+    table stays empty.
+    """
     marked, index = _contamination(docs, items, n)
     bad = Scratch(docs.sparkSession, "contaminated").write(marked.where("contaminated").select("dk").distinct(), "dk")
     index.scratch.keep()
     index.scratch.free_shuffles()
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    return docs.withColumn("__dk", key).join(bounded(bad.withColumnRenamed("dk", "__dk")), "__dk", "left_anti").select(*docs.columns)
+    name = free_name(docs.columns, "dk")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    return docs.withColumn(name, key).join(bounded(bad.withColumnRenamed("dk", name)), name, "left_anti").select(*docs.columns)
