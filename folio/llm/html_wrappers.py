@@ -1,8 +1,10 @@
 """Main-text extraction by union-free wrappers: pages of one host are aligned into one template with slots.
 
-A wrapper is a tree of structural elements, each once, optional or repeated, with text slots that are constant or vary. Two
-wrappers align child list by child list; what mismatches becomes optional, what recurs side by side becomes a repeated
-group, text that differs becomes a slot. A page is a wrapper too, so that any number of pages fold in any grouping.
+A wrapper is a union-free regular expression over tags: elements, each once, optional or repeated, around text slots that are
+constant or vary. Two wrappers are aligned tag stream by tag stream, from the page's down to each element's; what mismatches becomes
+optional, what recurs side by side becomes a repeated group, text that differs becomes a slot, and marks that differ from page to page become
+an attribute slot. A page is a wrapper too, so that any number of pages fold in any grouping. The main text is where the
+host's pages vary in prose: neither constants nor repeated groups of short slots, as menus are, count.
 """
 
 from __future__ import annotations
@@ -10,26 +12,36 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, strings
 
-#: Rows of wrappers up to which they are broadcast.
-BROADCAST_HOSTS = 5_000
+#: The wrappers of so many hosts, those with most pages, and of so many characters are broadcast; others are joined by host.
+BROADCAST_HOSTS, BROADCAST_CHARS = 5_000, 64 << 20
 #: Longer constants are held in wrappers as hashes, which compare as the texts do.
 LONGEST_CONSTANT = 40
 #: A constant is a host's own text once so many pages share it whose texts differ; copies of a page count once.
 SHARED_BY = 3
+#: Elements of one name at one place, none on every page, whose marks are so many become one element with any marks.
+MARK_VARIANTS = 8
+#: A repeated slot of fewer characters on average is a menu's; the main text is the deepest element that holds this share of the prose.
+MENU_CHARS, MAIN_SHARE = 25, 0.6
+#: Characters of wrappers that are sent on at once.
+EMIT_CHARS = 4_000_000
 #: Levels of the tree; what is nested deeper belongs to the deepest level, its blocks stay apart.
 MAX_DEPTH = 120
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|[^<]++|<""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Numbers of a page: any in an id, long ones in a class.
+_NUMBER, _LONG_NUMBER = re.compile("[0-9]+"), re.compile("[0-9]{4,}")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 #: Structural elements; all others are inline and dissolve into the text around them.
@@ -50,6 +62,10 @@ NOT_MAIN = re.compile(
     r"notices?|pagination|pager|popups?|promos?|promotions?|recommended|related|replies|respond|search|share|sharing|sidebars?|signup|skip|social|sponsors?|sponsored|subscribe|subscription|toolbar|widgets?|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
+#: Elements that can't be the main region themselves, but hold a part of it.
+PARTS = {"p", "li", "dd", "dt", "ul", "ol", "dl", "dir", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "header", "table", "tbody", "thead", "tfoot", "tr", "caption", "figure", "figcaption", "details", "summary", "address", "hr"}
+#: Elements that can't be the main region themselves, but hold a part of it.
+PARTS = {"p", "li", "dd", "dt", "ul", "ol", "dl", "dir", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "header", "table", "tbody", "thead", "tfoot", "tr", "caption", "figure", "figcaption", "details", "summary", "address", "hr"}
 MAIN = re.compile(r"\b(?:main|article|post|entry|story|content)\b")
 RESULT = "page_id long, url string, text string, n_chars long"
 
@@ -59,12 +75,12 @@ def digest(text: str) -> str:
 
 
 class Node:
-    __slots__ = ("children", "key", "optional", "pages", "repeated", "size", "text")
+    __slots__ = ("children", "count", "key", "optional", "pages", "repeated", "size", "text")
 
     def __init__(self, key: str, text: str | None = None):
         self.key, self.text, self.children = key, text, []
         self.optional = self.repeated = False
-        self.size = len(text or "")
+        self.size, self.count = len(text or ""), 1  # characters, and how many elements or texts are merged here
         self.pages: list[int] = []  # of a constant: the smallest SHARED_BY marks of pages that hold it
 
     @property
@@ -72,24 +88,29 @@ class Node:
         return self.key.split("|")[0]
 
     def dump(self) -> list:
-        return [self.key, self.text, int(self.optional) + 2 * int(self.repeated), self.size, [c.dump() for c in self.children], self.pages]
+        return [self.key, self.text, int(self.optional) + 2 * int(self.repeated), self.size, self.count, [c.dump() for c in self.children], self.pages]
 
     @classmethod
     def load(cls, x: list) -> Node:
         n = cls(x[0], x[1])
-        n.optional, n.repeated, n.size = bool(x[2] & 1), bool(x[2] & 2), x[3]
-        n.children, n.pages = [cls.load(c) for c in x[4]], x[5]
+        n.optional, n.repeated, n.size, n.count = bool(x[2] & 1), bool(x[2] & 2), x[3], x[4]
+        n.children, n.pages = [cls.load(c) for c in x[5]], x[6]
         return n
 
 
 @lru_cache(20_000)
 def mark_key(marked: str) -> str:
     """Class, id and role in a key: what the whole of them says ("-" is not the article, "+" may be its root), then they themselves, long ones as a hash."""
-    marked = re.sub(r"[0-9]+", "0", marked)
     said = ("-" if marked.startswith("hidden") or NOT_MAIN.search(marked) else "") + ("+" if MAIN.search(marked) else "")
     return f"{said}:{marked if len(marked) <= 80 else '#' + digest(marked)}".replace("/", "_")
 
 
+def any_marks(key: str) -> str:
+    """The key of the element with any marks that say the same."""
+    tag, _, marks = key.partition("|")
+    return f"{tag}|{marks.partition(':')[0]}:*" if marks else key
+
+
 def excluded(key: str, in_main: bool) -> bool:
     tag, _, marks = key.partition("|")
     return tag in EXCLUDED or (tag == "header" and not in_main) or marks.startswith("-")
@@ -153,9 +174,11 @@ def parse(html: str) -> Node:
             if name in _LIKE and (i := last(_LIKE[name])) > last(_LIKE_STOP):
                 close(i)
             marks = {a.lower(): (b or c or d or "") for a, b, c, d in _ATTRIBUTE.findall(attributes)} if attributes else {}
-            marked = " ".join(filter(None, ["hidden" if "hidden" in marks or marks.get("aria-hidden") == "true" else "", marks.get("class", ""), marks.get("id", ""), marks.get("role", "")]))
+            marked = " ".join(filter(None, ["hidden" if "hidden" in marks or marks.get("aria-hidden") == "true" else "", _LONG_NUMBER.sub("0", marks.get("class", "")), _NUMBER.sub("0", marks.get("id", "")), marks.get("role", "")]))
             node = Node(f"{name}|{mark_key(marked)}" if marked else name)
             if len(stack) < MAX_DEPTH:
+                if name in ("ul", "ol", "dl", "menu") and stack[-1].key in ("div", "section") and not stack[-1].children:
+                    stack[-1].key += "|:list"  # an unmarked element that begins with a list is of its own kind
                 stack[-1].children.append(node)
             if name not in VOID and not attributes.endswith("/"):
                 if len(stack) >= MAX_DEPTH:
@@ -169,10 +192,10 @@ def parse(html: str) -> Node:
     return root
 
 
-def merge(a: Node, b: Node) -> Node:
-    """The template of two nodes of one key."""
-    out = Node(a.key, a.text if a.text == b.text else None)
-    out.optional, out.repeated, out.size = a.optional or b.optional, a.repeated or b.repeated, a.size + b.size
+def merge(a: Node, b: Node, key: str | None = None) -> Node:
+    """The template of two nodes of one key, or of two that `key` stands for."""
+    out = Node(key or a.key, a.text if a.text == b.text else None)
+    out.optional, out.repeated, out.size, out.count = a.optional or b.optional, a.repeated or b.repeated, a.size + b.size, a.count + b.count
     if out.text is not None:
         out.pages = a.pages if a.pages == b.pages else sorted({*a.pages, *b.pages})[:SHARED_BY]
     out.children = align(a.children, b.children)
@@ -224,38 +247,84 @@ def _regroup(children: list[Node], other: list[Node]) -> list[Node]:
     return children
 
 
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of pairs with ascending first numbers, a longest chain whose second ones ascend too."""
+    tails, chain, before = [], [], []
+    for i, (_, y) in enumerate(pairs):
+        k = bisect_left(tails, y)
+        tails[k:] = [y]
+        chain[k:] = [i]
+        before.append(chain[k - 1] if k else -1)
+    out, i = [], chain[-1] if chain else -1
+    while i >= 0:
+        out.append(pairs[i])
+        i = before[i]
+    return out[::-1]
+
+
+def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal keys, ascending on both sides: keys that each side has once anchor the alignment, between them each key meets the next of its like."""
+    where: dict[str, list[int]] = {}
+    for j, k in enumerate(b):
+        where.setdefault(k, []).append(j)
+    times = Counter(a)
+    anchors = _rising([(i, where[k][0]) for i, k in enumerate(a) if times[k] == 1 and len(where.get(k, ())) == 1])
+    out, low, j = [], 0, 0
+    for i_end, j_end in [*anchors, (len(a), len(b))]:
+        for i in range(low, i_end):
+            own = where.get(a[i], ())
+            at = bisect_left(own, j)
+            if at < len(own) and own[at] < j_end:
+                out.append((i, own[at]))
+                j = own[at] + 1
+        out.append((i_end, j_end))
+        low, j = i_end + 1, j_end + 1
+    return out[:-1]
+
+
 def align(a: list[Node], b: list[Node]) -> list[Node]:
-    """Longest common subsequence of keys; what only one side has becomes optional."""
+    """Elements of equal keys merge in order; what only one side has becomes optional."""
     a, b = _regroup(a, b), _regroup(b, a)
-    head = 0
-    while head < min(len(a), len(b)) and a[head].key == b[head].key:
-        head += 1
-    out = [merge(x, y) for x, y in zip(a[:head], b[:head], strict=True)]
-    a, b = a[head:], b[head:]
-    if a and b:
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a) - 1, -1, -1):
-            for j in range(len(b) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if a[i].key == b[j].key else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        rest: list[tuple[Node, bool]] = []
-        while i < len(a) and j < len(b):
-            if a[i].key == b[j].key:
-                rest.append((merge(a[i], b[j]), False))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                rest.append((a[i], True))
-                i += 1
-            else:
-                rest.append((b[j], True))
-                j += 1
-        rest += [(x, True) for x in a[i:]] + [(x, True) for x in b[j:]]
-    else:
-        rest = [(x, True) for x in [*a, *b]]
-    for x, lone in rest:
-        x.optional = x.optional or lone
-        out.append(x)
-    return fold_repeats(out)
+    out, i, j = [], 0, 0
+    lone: list[Node] = []
+    for x, y in [*matched([n.key for n in a], [n.key for n in b]), (len(a), len(b))]:
+        lone += [*a[i:x], *b[j:y]]
+        out += [*a[i:x], *b[j:y]]
+        if x < len(a):
+            out.append(merge(a[x], b[y]))
+        i, j = x + 1, y + 1
+    for n in lone:
+        n.optional = True
+    return fold_repeats(_with_any_marks(out))
+
+
+def _with_any_marks(children: list[Node]) -> list[Node]:
+    """Optional elements of MARK_VARIANTS marks or more become one with any marks, repeated, where the first of them stands."""
+    kinds: dict[str, set[str]] = {}
+    for c in children:
+        if c.optional and "|" in c.key:
+            kinds.setdefault(any_marks(c.key), set()).add(c.key)
+    wide = {k for k, keys in kinds.items() if len(keys) >= MARK_VARIANTS or k in keys}
+    if not wide:
+        return children
+    out, place = [], {}
+    for c in children:
+        k = any_marks(c.key) if c.optional and "|" in c.key else None
+        if k not in wide:
+            out.append(c)
+        elif k in place:
+            out[place[k]] = merge(out[place[k]], c, k)
+            out[place[k]].repeated = True
+        else:
+            place[k] = len(out)
+            out.append(_renamed(c, k))
+    return out
+
+
+def _renamed(node: Node, key: str) -> Node:
+    out = Node(key, node.text)
+    out.optional, out.repeated, out.size, out.count, out.children, out.pages = node.optional, node.repeated, node.size, node.count, node.children, node.pages
+    return out
 
 
 def page_mark(page: Node) -> int:
@@ -279,132 +348,190 @@ def template(node: Node, mark: int | None = None) -> Node:
     return out
 
 
-def _walk(node: Node, path: str, dead: bool, main: bool, found: dict[str, dict]) -> int:
-    """Text under a node; found gets what each path is: excluded, main, how much varying text it holds, whether its text is constant over pages that differ."""
-    if node.key == "#text":
-        constant = node.text is not None and len(node.pages) >= SHARED_BY
-        x = found.setdefault(path + "/#text", {"dead": dead, "constant": constant, "size": 0})
-        x["constant"] = x["constant"] and constant
-        x["size"] += node.size
-        return 0 if dead else node.size
-    if node.key.startswith("#group "):
-        return sum(_walk(c, path, dead, main, found) for c in node.children)
-    path = f"{path}/{node.key}"
-    dead = dead or excluded(node.key, main)
-    main = main or node.tag in ("article", "main")
-    size = sum(_walk(c, path, dead, main, found) for c in node.children)
-    x = found.setdefault(path, {"dead": False, "size": 0})
-    x["dead"], x["size"] = dead, x["size"] + size
-    return size
-
-
-def rules(wrapper: Node) -> dict:
-    """What extraction needs of a wrapper: excluded paths, roots of the main text by preference, constant slots."""
-    found: dict[str, dict] = {}
-    total = sum(_walk(c, "", False, False, found) for c in wrapper.children)
-    live = {p: x for p, x in found.items() if not x["dead"] and not p.endswith("#text")}
-    tag = lambda p: p.rsplit("/", 1)[1].split("|")[0]
-    roots = [sorted(p for p in live if tag(p) == name) for name in ("article", "main")]
-    roots.append(sorted(p for p in live if "+" in p.rsplit("/", 1)[1].partition("|")[2].partition(":")[0]))
-    deepest = max((p for p, x in live.items() if x["size"] * 10 >= 6 * total), key=lambda p: p.count("/"), default="")
-    roots.append([deepest] if deepest else [])
-    return {"roots": roots, "constant": sorted(p for p, x in found.items() if p.endswith("#text") and x["constant"])}
-
-
-def extract(page: Node, known: dict, pages: int) -> str:
-    """Blocks under the page's main roots, by the wrapper's preference; outside article and main, text that pages of a host share goes, if they differ elsewhere."""
-    spans: list[tuple[str, str, bool]] = []
-    seen: set[str] = set()
-
-    def walk(node: Node, path: str, dead: bool, main: bool) -> None:
+class _Place:
+    """An element's place in a wrapper; groups dissolve into the places around them."""
+
+    __slots__ = ("constant", "dead", "inner", "key", "main", "prose", "texts")
+
+    def __init__(self, key: str, dead: bool, main: bool):
+        self.key, self.dead, self.main = key, dead, main  # main: inside an article or main element
+        self.inner: dict[str, _Place] = {}
+        self.prose = self.texts = 0
+        self.constant = True
+
+    @property
+    def tag(self) -> str:
+        return self.key.split("|")[0]
+
+    def at(self, key: str) -> _Place | None:
+        return self.inner.get(key) or self.inner.get(any_marks(key))
+
+
+def _fill(place: _Place, nodes: list[Node], repeated: bool) -> None:
+    for n in nodes:
+        if n.key == "#text":
+            same = n.text is not None and len(n.pages) >= SHARED_BY
+            place.constant, place.texts = place.constant and same, place.texts + 1
+            if not place.dead and not same and not (repeated and n.size < MENU_CHARS * n.count):
+                place.prose += n.size
+        elif n.key.startswith("#group "):
+            _fill(place, n.children, True)
+        else:
+            main = place.main or place.tag in ("article", "main")
+            own = place.inner.get(n.key)
+            if own is None:
+                own = place.inner[n.key] = _Place(n.key, place.dead or excluded(n.key, main), main)
+            before = own.prose
+            _fill(own, n.children, repeated or n.repeated)
+            place.prose += own.prose - before
+
+
+def rules(wrapper: Node) -> tuple[_Place, list[_Place]]:
+    """The wrapper's places, and the roots of the main text.
+
+    The region is the deepest element with MAIN_SHARE of the prose that varies, with the headings and other plain blocks beside it.
+    Names break ties: an article or main element around it, or else inside it, or one that is marked as content, takes its place.
+    """
+    top = _Place("#page", False, False)
+    _fill(top, wrapper.children, False)
+    path = [top]
+    while True:
+        below = [c for c in path[-1].inner.values() if not c.dead and c.prose >= MAIN_SHARE * top.prose > 0]
+        if not below:
+            break
+        path.append(max(below, key=lambda c: (c.prose, c.key)))
+    while path[-1].tag in PARTS:
+        path.pop()
+    for named in (lambda c: c.tag == "article", lambda c: c.tag == "main", lambda c: "+" in c.key.partition("|")[2].partition(":")[0]):
+        around = [c for c in path if named(c)]
+        if around:
+            return top, around[-1:]
+        inside = _below(path[-1], named, 1 if top.prose else 0)  # where nothing is prose, any text may be
+        if inside:
+            return top, inside
+    while len(path) > 1 and path[-2].tag not in ("#page", "html", "body") and all(c is path[-1] or c.dead or c.tag in PARTS or not c.inner for c in path[-2].inner.values()):
+        path.pop()
+    return top, [path[-1]]
+
+
+def _below(place: _Place, named, least: int) -> list[_Place]:
+    """The outermost elements so named with so much prose."""
+    found: list[_Place] = []
+    nodes = [place]
+    while nodes:
+        for c in nodes.pop().inner.values():
+            if not c.dead and c.prose >= least:
+                (found if named(c) else nodes).append(c)
+    return found
+
+
+def extract(page: Node, known: tuple[_Place, list[_Place]] | None) -> str:
+    """Blocks under the roots of the host's main text; outside article and main, text that pages of a host share goes, if they differ elsewhere.
+
+    A page that has none of the roots is read by its own tree.
+    """
+    own = known is None
+    top, roots = known or rules(template(page))
+    blocks: list[str] = []
+    met = False
+
+    def walk(node: Node, place: _Place | None, dead: bool, main: bool, root: _Place | None) -> None:
+        nonlocal met
         if node.key == "#text":
-            if not dead:
-                spans.append((path, node.text, path + "/#text" in constant))
+            if not dead and root is not None and not (place is not None and place.texts and place.constant and not root.main and root.tag not in ("article", "main")):
+                blocks.append(node.text)
             return
-        path = f"{path}/{node.key}"
         dead = dead or excluded(node.key, main)
-        if not dead:
-            seen.add(path)
+        place = place.at(node.key) if place is not None else None
+        if root is None and place is not None and any(place is r for r in roots):
+            root, met = place, True
         for c in node.children:
-            walk(c, path, dead, main or node.tag in ("article", "main"))
+            walk(c, place, dead, main or node.tag in ("article", "main"), root)
 
-    constant = set(known["constant"]) if pages > 2 else set()
+    whole = top if any(r is top for r in roots) else None
+    met = whole is not None
     for c in page.children:
-        walk(c, "", False, False)
-    for i, choice in enumerate(known["roots"]):
-        roots = [r for r in choice if r in seen]
-        if roots:
-            under = [(t, same) for p, t, same in spans if any(p == r or p.startswith(r + "/") for r in roots)]
-            return "\n\n".join(t for t, same in under if i < 2 or not same)
-    return "\n\n".join(t for _, t, same in spans if not same)
-
-
-_HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)")
+        walk(c, top, False, False, whole)
+    if not met and not own:
+        return extract(page, None)
+    return "\n\n".join(blocks)
 
 
-def host_of(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m[1].lower() if m else ""
+def host():
+    """The host of a url; that of a null or odd one is empty."""
+    return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
 def _packed(wrapper: Node) -> str:
     return json.dumps(wrapper.dump(), separators=(",", ":"))
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    folded: dict[str, tuple[Node, int]] = {}
+_SHAPE = "host string, wrapper string, pages long"
+
 
-    def emit() -> pa.RecordBatch:
-        rows = [(h, _packed(w), n) for h, (w, n) in folded.items()]
-        folded.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "wrapper", "pages"])
+def _rows(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["host", "wrapper", "pages"])
 
+
+def _emit(folded: dict[str, tuple[Node, int]]) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
+    for name, (wrapper, pages) in folded.items():
+        rows.append((name, _packed(wrapper), pages))
+        held += len(rows[-1][1])
+        if held > EMIT_CHARS:
+            yield _rows(rows)
+            rows, held = [], 0
+    folded.clear()
+    yield _rows(rows)
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    folded: dict[str, tuple[Node, int]] = {}
     for batch in batches:
-        for url, html in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
-            host, one = host_of(url), template(parse(html))
-            have = folded.get(host)
-            folded[host] = (merge(have[0], one), have[1] + 1) if have else (one, 1)
+        for name, html in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
+            one, have = template(parse(html)), folded.get(name)
+            folded[name] = (merge(have[0], one), have[1] + 1) if have else (one, 1)
         if len(folded) > 2000:
-            yield emit()
+            yield from _emit(folded)
     if folded:
-        yield emit()
+        yield from _emit(folded)
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host: wrappers of one host into one."""
-    host, wrapper, pages, out = None, None, 0, []
+    """Rows sorted by host: wrappers of one host into one; what is held is one host's."""
+    name, wrapper, pages = None, None, 0
     for batch in batches:
+        out = []
         for h, w, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             node = Node.load(json.loads(w))
-            if h != host and wrapper is not None:
-                out.append((host, _packed(wrapper), pages))
+            if h != name and wrapper is not None:
+                out.append((name, _packed(wrapper), pages))
                 wrapper, pages = None, 0
-            host, wrapper, pages = h, merge(wrapper, node) if wrapper is not None else node, pages + n
+            name, wrapper, pages = h, merge(wrapper, node) if wrapper is not None else node, pages + n
+        yield _rows(out)
     if wrapper is not None:
-        out.append((host, _packed(wrapper), pages))
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int64())], names=["host", "wrapper", "pages"])
+        yield _rows([(name, _packed(wrapper), pages)])
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper, pages of every host, from all its pages: folded where they are read, then in two rounds, so that a hot host's parts meet as few small rows."""
     small_batches(pages.sparkSession)
-    shape = "host string, wrapper string, pages long"
-    parts = pages.select("url", "html").mapInArrow(_fit, shape)
-    salted = parts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(32))).repartition("host", "part").sortWithinPartitions("host", "part", "wrapper")
-    half = salted.select("host", "wrapper", "pages").mapInArrow(_join, shape)
-    return half.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_join, shape)
+    parts = pages.select(host().alias("host"), "html").mapInArrow(_fit, _SHAPE).withColumn("part", F.spark_partition_id() % 32)
+    half = parts.repartition("host", "part").sortWithinPartitions("host", "part", "wrapper").select("host", "wrapper", "pages").mapInArrow(_join, _SHAPE)
+    return half.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_join, _SHAPE)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, dict] = {}
+    known: dict[str | None, tuple | None] = {None: None}
     for batch in batches:
         texts = []
-        for html, wrapper, pages in zip(strings(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+        for html, wrapper in zip(strings(batch.column(2)), batch.column(3).to_pylist(), strict=True):
             if wrapper not in known:
                 if len(known) > 2000:
-                    known.clear()
+                    known = {None: None}
                 known[wrapper] = rules(Node.load(json.loads(wrapper)))
-            texts.append(extract(parse(html), known[wrapper], pages))
+            texts.append(extract(parse(html), known[wrapper]))
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -412,12 +539,19 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """A row for each row of pages: the main text, from the whole html by its host's wrapper.
 
     A null html is empty, a null or odd url belongs to the host "". Repeated rows stay, and count as one page where text
-    that pages share is looked for; other columns are not read.
+    that pages share is looked for. A long page is one row; equal shares of prose go to the greater key; an empty table
+    gives no rows; other columns are not read. The wrappers of the hosts with most pages are broadcast, so that no task
+    gets all pages of one of them.
     """
     scratch = Scratch(pages.sparkSession, "wrappers")
-    wrappers = scratch.write(infer_wrappers(pages), "wrappers")
-    if wrappers.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        wrappers = F.broadcast(wrappers)
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host")).join(wrappers.withColumnRenamed("pages", "n"), "host")
-    return rows.select("page_id", "url", "html", "wrapper", "n").mapInArrow(_extract, RESULT)
+    wrappers = scratch.write(infer_wrappers(pages), "wrappers").select("host", "wrapper", "pages")
+    most = wrappers.orderBy(F.desc("pages"), "host").limit(BROADCAST_HOSTS)
+    upto = F.sum(F.length("wrapper")).over(Window.orderBy(F.desc("pages"), "host"))  # over BROADCAST_HOSTS rows at most
+    most = scratch.write(most.withColumn("upto", upto).where(F.col("upto") <= BROADCAST_CHARS).select("host", "wrapper"), "most")
+    rows = pages.select(F.col("page_id").cast("long"), "url", "html", host().alias("host"))
+    with_most = rows.join(F.broadcast(most), "host", "left")
+    if wrappers.count() > most.count():
+        hosts = F.broadcast(most.select("host"))
+        others = rows.join(hosts, "host", "left_anti").join(wrappers.join(hosts, "host", "left_anti").select("host", "wrapper"), "host", "left")
+        with_most = with_most.where("wrapper is not null").unionByName(others)
+    return with_most.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, RESULT)
