@@ -19,10 +19,13 @@ TERMINAL = (".", "!", "?", "…", ":", ";", '"', "'", ")", "»", "”", "。", "
 UNMARKED = re.compile(r"[\u0e00-\u0eff]")
 #: A line of so many words has end punctuation, at its end or after one in so many of its words (a paragraph that is cut off).
 PUNCTUATED_WORDS, WORDS_AN_END = 8, 30
-#: Phrases of navigation and boilerplate lines, lower case.
+#: Phrases of navigation and boilerplate lines in English, French, German and Spanish, lower case.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "javascript", "lorem ipsum",
     "click here", "read more", "sign in", "log in", "subscribe", "powered by", "copyright", "back to top", "share this",
+    "tous droits réservés", "politique de confidentialité", "politique de cookies", "conditions d'utilisation", "mentions légales", "cliquez ici", "lire la suite", "se connecter", "s'abonner",
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookie-richtlinie", "nutzungsbedingungen", "impressum", "hier klicken", "weiterlesen", "anmelden", "abonnieren", "nach oben",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "condiciones de uso", "términos de uso", "aviso legal", "haga clic aquí", "leer más", "iniciar sesión", "suscribirse",
 )
 #: A phrase begins a word; one of several words ends one too ("sign in", not "design in" or "sign instead").
 PHRASE = re.compile("|".join(rf"\b{x}\b" if " " in x else rf"\b{x}" for x in BOILERPLATE))
@@ -69,8 +72,6 @@ def line_fails(words: list[str], line: str) -> bool:
     if n >= PUNCTUATED_WORDS and not words[-1].endswith(TERMINAL) and not UNMARKED.search(line) and sum(w.endswith(TERMINAL) for w in words) * WORDS_AN_END < n:
         return True
     low = " ".join(words).lower()
-    if not any(x in low for x in BOILERPLATE):
-        return False
     return n <= WORDS_A_PHRASE_WORD * sum(len(x.split()) for x in PHRASE.findall(low))
 
 
@@ -114,7 +115,8 @@ def quality_rules(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     """A row for each row of docs: counts, base_failed, kept, and the cleaned text.
 
     A null or empty text has no words and fails the base rule. A line equal to an earlier one is removed once it repeats.
-    Repeated rows get a row each; other columns of docs are not read. One pass, no exchange.
+    A share of lost characters equal to max_lost is kept. Repeated rows get a row each; a long text is one row; other columns
+    of docs are not read; an empty table gives no rows. One pass, no exchange.
     """
     small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_run(max_lost), RESULT)
