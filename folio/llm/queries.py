@@ -59,41 +59,28 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of two tokenizer versions: estimates come first and are revised, then copies of a text go but for the first."""
-    from .rollup import TokenRollup
+    from .rollup import TokenRollup, token_counts
 
     scratch = Scratch(spark, "rollup")
-    text = F.coalesce("text", F.lit(""))
-    counts = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", F.md5(text.cast("binary")).alias("copy"), F.expr("(length(coalesce(text, '')) + 5) div 6").alias("guess"),
-        F.regexp_count(text, F.lit(r"[^ \t-\r]+")).cast("long").alias("words"), F.regexp_count(text, F.lit(r"[^ \t-\r.,;:!?]+|[.,;:!?]")).cast("long").alias("marks"),
-    )
-    counts = scratch.write(counts, "counts")
-    first = counts.groupBy("copy").agg(F.min_by(F.struct("source", "lang", "words", "marks"), F.struct("doc_id", "source", "lang")).alias("x")).select("x.*")
+    versions = {"byte_bpe_50k": _vocabulary("byte_bpe_50k.json"), "word_bpe_49k": _vocabulary("word_bpe_49k.json")}
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    copy, guess = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("copy"), F.expr("(length(coalesce(text, '')) + 3) div 4").alias("guess")
+    counts = scratch.write(token_counts(docs, versions).select("doc_id", "source", "lang", copy, guess, *versions), "counts")
+    first = counts.groupBy("copy").agg(F.min_by(F.struct("source", "lang", *versions), F.struct("doc_id", "source", "lang")).alias("x")).select("x.*")
     change = lambda df, op, version, tokens, old="null": df.selectExpr(f"'{op}' op", "source", "lang", f"'{version}' tokenizer_version", f"{tokens} tokens", f"cast({old} as long) old_tokens")
     rollup = TokenRollup(spark, f"{scratch.path}/state")
-    revised = change(counts, "revise", "words-1", "words", "guess")
-    rollup.commit("1-estimates", change(counts, "insert", "words-1", "guess"))
+    one, two = versions
+    revised = change(counts, "revise", one, one, "guess")
+    rollup.commit("1-estimates", change(counts, "insert", one, "guess"))
     rollup.commit("2-revised", revised)
     rollup.commit("2-revised", revised)  # a batch that is sent again changes nothing
-    rollup.commit("3-marks", change(counts, "insert", "marks-2", "marks"))
+    rollup.commit("3-second", change(counts, "insert", two, two))
     rollup.compact()
-    both = lambda df, op: change(df, op, "words-1", "words").unionByName(change(df, op, "marks-2", "marks"))
+    both = lambda df, op: change(df, op, one, one).unionByName(change(df, op, two, two))
     rollup.commit("4-copies", both(counts, "delete").unionByName(both(first, "insert")))
     return rollup.totals()
 
 
-OP4_SQL = r"""
-with d as (
-  select *, row_number() over (partition by coalesce(text, '') order by doc_id, source, lang) as copy_no,
-         len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) as words,
-         len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r.,;:!?]+|[.,;:!?]')) as marks
-  from documents),
-t as (select source, lang, 'words-1' as tokenizer_version, words as tokens from d where copy_no = 1
-      union all select source, lang, 'marks-2', marks from d where copy_no = 1)
-select source, lang, tokenizer_version, count(*) as docs, cast(sum(tokens) as bigint) as tokens from t group by all
-"""
-
-
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_model import fit_folds, held_out, score
 
@@ -164,4 +151,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op8_set_join": OP8_SQL, "op4_token_rollup": OP4_SQL, "op10_decontamination": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op8_set_join": OP8_SQL, "op10_decontamination": OP10_SQL}
