@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, small_batches, strings
+from .common import Scratch, free_name, mix64, small_batches, strings
 
 #: Rows of a side up to which it is broadcast, counted first; a row is two numbers.
 BROADCAST_ROWS = 500_000
 #: A key that so many classes hold is hot; a set skips its hot keys if its spare segments cover them.
 HOT = 32
 BITS = 1024
+#: Tasks to which the rows of one component are dealt where component names are not broadcast.
+SALTS = 16
 #: Keys before a key by which a pair that was made already is told; any number is exact, more make fewer repeats.
 KEYS_BEFORE = 12
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -244,10 +246,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     step = 0
     while True:
         step += 1
-        seen = both.join(labels.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("comp").alias("low"))
+        seen = both.join(bounded(labels.withColumnRenamed("v", "u")), "u").groupBy("v").agg(F.min("comp").alias("low"))
         low = labels.join(seen, "v").select("v", F.least("comp", "low").alias("next"), F.col("comp").alias("old"))
         up = labels.select(F.col("v").alias("next"), F.col("comp").alias("over"))
-        new = scratch.write(low.join(up, "next", "left").select("v", F.least("next", "over").alias("comp"), "old"), f"{name}-{step}")
+        new = scratch.write(low.join(bounded(up), "next", "left").select("v", F.least("next", "over").alias("comp"), "old"), f"{name}-{step}")
         if new.where("comp <> old").limit(1).count() == 0:
             return new.select("v", "comp")
         labels = new.select("v", "comp")
@@ -284,77 +286,129 @@ class SetJoin:
 
     def _near(self, x: str = "x", y: str = "y"):
         """Whether sizes, and the parity bits of two sets, allow a link; both bounds hold for every linked pair."""
-        differ = F.expr(f"aggregate(zip_with({x}.bits, {y}.bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
         both = F.col(f"{x}.n") + F.col(f"{y}.n")
         p = self.percent
-        return (F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * p) & (differ * (100 + p) <= both * (100 - p))
+        return (F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * p) & (self._differ(x, y) * (100 + p) <= both * (100 - p))
+
+    @staticmethod
+    def _differ(x: str = "x", y: str = "y"):
+        """Parity bits in which two sets differ: at most as many as shingles that only one has."""
+        return F.expr(f"aggregate(zip_with({x}.bits, {y}.bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
+
+    def _linked(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """Of the pairs (a, b), those whose sets link."""
+        left = pairs.join(sets.select(F.col("ck").alias("a"), F.col("h").alias("ha")), "a")
+        whole = left.join(sets.select(F.col("ck").alias("b"), F.col("h").alias("hb")), "b").select("a", "b", "ha", "hb")
+        return self.scratch.write(whole.mapInArrow(_verify(self.percent), "a long, b long"), f"{name}-links")
+
+    def _sets_of(self, classes: DataFrame, name: str) -> DataFrame:
+        """The sets of classes (ck), each read once from its class's text."""
+        who = self.index.select("ck", "doc_id").join(bounded(classes), "ck", "left_semi").groupBy("ck").agg(F.min("doc_id").alias("doc_id"))
+        who = bounded(self.scratch.write(who.withColumnRenamed("doc_id", "who"), f"{name}-who"))
+        texts = self.docs.join(who, F.col("doc_id").eqNullSafe(F.col("who")))
+        return self.scratch.write(texts.select("ck", "text").mapInArrow(_sets(self.n), "ck long, h binary").dropDuplicates(["ck"]), f"{name}-sets")
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Of the pairs (a, b), those that link, each set read once from its class's text."""
         pairs = self.scratch.write(pairs, f"{name}-pairs")
         ends = pairs.select(F.col("a").alias("ck")).unionByName(pairs.select(F.col("b").alias("ck"))).distinct()
-        who = self.index.select("ck", "doc_id").join(bounded(ends), "ck", "left_semi").groupBy("ck").agg(F.min("doc_id").alias("doc_id"))
-        who = bounded(self.scratch.write(who.withColumnRenamed("doc_id", "who"), f"{name}-who"))
-        texts = self.docs.join(who, F.col("doc_id").eqNullSafe(F.col("who")))
-        sets = self.scratch.write(texts.select("ck", "text").mapInArrow(_sets(self.n), "ck long, h binary"), f"{name}-sets").dropDuplicates(["ck"])
-        left = pairs.join(sets.select(F.col("ck").alias("a"), F.col("h").alias("ha")), "a")
-        whole = left.join(sets.select(F.col("ck").alias("b"), F.col("h").alias("hb")), "b").select("a", "b", "ha", "hb")
-        out = self.scratch.write(whole.mapInArrow(_verify(self.percent), "a long, b long"), f"{name}-links")
+        out = self._linked(pairs, self._sets_of(ends, name), name)
         self.scratch.drop(f"{name}-sets")
         return out
 
+    def _split(self, held: DataFrame, name: str) -> DataFrame:
+        """Of sig, ck, comp, the buckets that hold more than one component."""
+        split = held.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
+        return self.scratch.write(held.join(bounded(split), "sig", "left_semi"), name)
+
+    def _heads(self, held: DataFrame, facts: DataFrame, turn: int) -> DataFrame:
+        """Pairs (a, b) of each class with the likest head of its buckets in another component; a bucket's head changes with the turn."""
+        heads = held.groupBy("sig").agg(F.min_by(F.struct("ck", "comp"), F.struct(F.xxhash64("ck", F.lit(turn)), "ck")).alias("head"))
+        met = held.join(bounded(heads), "sig").where("comp <> head.comp").select("ck", F.col("head.ck").alias("head")).distinct()
+        x, y = facts.alias("x"), facts.alias("y")
+        near = met.join(x, F.col("x.ck") == met["ck"]).join(y, F.col("y.ck") == met["head"]).where(self._near())
+        return near.groupBy(met["ck"]).agg(F.min_by(met["head"], F.struct(self._differ(), met["head"])).alias("b")).select(F.col("ck").alias("a"), "b")
+
     def class_components(self) -> DataFrame:
         """v, comp for the classes that link with another.
 
-        First each class meets the class at the head of the bucket with which it shares most keys; then every pair of one
-        bucket that is not yet in one component is compared. Pairs inside a component are never made.
+        First each class meets the class at the head of the bucket with which it shares most keys. Then, turn by turn, the
+        buckets that hold several components get other heads, which their classes meet, as long as that joins an eighth of
+        the components; at last every pair of one bucket that is not yet in one component is compared. Pairs inside a
+        component are never made, and links are told as links of components, so that many like sets leave few of them.
         """
+        write = self.scratch.write
         facts = self.classes.select("ck", "n", "bits")
         star = self.buckets.where("pos > 0").groupBy("ck", "first").agg(F.count("*").alias("shared"))
         best = star.groupBy("ck").agg(F.max_by("first", F.struct("shared", "first")).alias("first"))
-        best = self.scratch.write(best, "star")
+        best = write(best, "star")
         x, y = facts.alias("x"), facts.alias("y")
         pairs = best.join(x, F.col("x.ck") == best["ck"]).join(y, F.col("y.ck") == best["first"]).where(self._near()).select(best["first"].alias("a"), best["ck"].alias("b"))
-        links = self._verified(pairs, "star")
-        comps = components(links, self.scratch, "star")
+        comps = components(self._verified(pairs, "star"), self.scratch, "star")
         self.scratch.free_shuffles()
-        cool = self._cool().join(comps.withColumnRenamed("v", "ck"), "ck", "left").select("sig", "ck", F.coalesce("comp", "ck").alias("comp"))
-        cool = self.scratch.write(cool, "cool")
-        split = cool.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
-        still = self.scratch.write(cool.join(split, "sig", "left_semi"), "open")
+        held = self._cool().join(comps.withColumnRenamed("v", "ck"), "ck", "left").select("sig", "ck", F.coalesce("comp", "ck").alias("comp"))
+        held = self._split(write(held, "cool"), "open")
+        facts = write(facts.join(bounded(held.select("ck").distinct()), "ck", "left_semi"), "open-facts")
+        turn, left = 0, held.select("comp").distinct().count()
+        joined = left
+        while joined * 8 >= left > 0:
+            turn += 1
+            links = self._verified(self._heads(held, facts, turn), f"turn{turn}")
+            comps, held, joined = self._contract(comps, held, links, f"turn{turn}")
+            left = held.select("comp").distinct().count()
+        if not left:
+            return comps
         # a pair is made at the smallest key that both hold: elsewhere some of the keys before it is theirs too
         before = F.collect_list("sig").over(Window.partitionBy("ck").orderBy("sig").rowsBetween(-KEYS_BEFORE, -1))
-        still = self.scratch.write(still.withColumn("before", before).join(facts, "ck"), "open-facts")
+        still = write(held.withColumn("before", before).join(facts, "ck"), "last")
         x, y = still.alias("x"), still.alias("y")
         pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & ~F.arrays_overlap("x.before", "y.before") & self._near()).select(F.col("x.ck").alias("a"), F.col("y.ck").alias("b")).distinct()
-        more = self._verified(pairs, "rest")
-        if more.limit(1).count() == 0:
-            return comps
-        return components(links.unionByName(more), self.scratch, "all")
+        return self._contract(comps, held, self._verified(pairs, "rest"), "rest")[0]
+
+    def _contract(self, comps: DataFrame, held: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int]:
+        """Components, and the buckets that still hold several, after the links of classes (a, b); and how many components are gone."""
+        of = bounded(held.select("ck", "comp").distinct())
+        edges = links.join(of.withColumnsRenamed({"ck": "a", "comp": "x"}), "a").join(of.withColumnsRenamed({"ck": "b", "comp": "y"}), "b").where("x <> y")
+        edges = self.scratch.write(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-joined")
+        if edges.limit(1).count() == 0:
+            return comps, held, 0
+        merged = components(edges, self.scratch, name).select(F.col("v").alias("comp"), F.col("comp").alias("next"))
+        gone = merged.where("comp <> next").count()
+        merged = bounded(merged)
+        renamed = lambda df: df.join(merged, "comp", "left").withColumn("comp", F.coalesce("next", "comp")).drop("next")
+        alone = merged.select(F.col("comp").alias("v")).join(comps, "v", "left_anti").select("v", F.col("v").alias("comp"))
+        comps = self.scratch.write(renamed(comps.unionByName(alone)).select("v", "comp"), f"{name}-comps")
+        return comps, self._split(renamed(held).select("sig", "ck", "comp"), f"{name}-open"), gone
 
     def members(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row; an empty set is its own component."""
         comps = self.class_components()
         rows = self.index.select("doc_id", "n", "ck").join(comps.withColumnRenamed("v", "ck"), "ck", "left").select("doc_id", "n", F.coalesce("comp", "ck").alias("comp"))
         rows = self.scratch.write(rows, "rows")
-        for table in ("buckets", "cool", "open", "open-facts", "gone", "index"):
-            self.scratch.drop(table)
+        self.scratch.keep("rows")
         self.scratch.free_shuffles()
         low = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).where("rows > 1").select("comp", "low")
-        out = rows.join(low, "comp", "left")
+        low = self.scratch.write(low, "low")
+        if low.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            out = rows.join(F.broadcast(low), "comp", "left")
+        else:  # a large component's rows are dealt to many tasks
+            salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["comp", "salt"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("low", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """docs with the row of the smallest doc_id of each component only; of rows with equal doc_id and text one stays.
 
-    Documents with different texts under one doc_id that head their components all stay, as do rows without doc_id.
+    Documents with different texts under one doc_id that head their components all stay, as do rows without doc_id, and
+    those without words. Columns other than doc_id and text pass through, whatever their names; a long text is one set as
+    any other; an empty table stays empty.
     """
     joined = SetJoin(docs, n, percent)
+    first = free_name(docs.columns, "first")
     rows = joined.scratch.write(joined.members(), "members")
-    ids = joined.scratch.write(rows.where("doc_id <=> component_id").select(F.col("doc_id").alias("first")).distinct(), "first")
+    ids = joined.scratch.write(rows.where("doc_id <=> component_id").select(F.col("doc_id").alias(first)).distinct(), "first")
     repeated = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     joined.scratch.keep("first")
     joined.scratch.free_shuffles()
-    kept = docs.join(bounded(ids), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    kept = docs.join(bounded(ids), docs["doc_id"].cast("long").eqNullSafe(ids[first]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
