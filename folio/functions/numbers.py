@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
@@ -49,19 +50,21 @@ def roman(n: Column) -> Column:
     return F.when(n.between(1, 3999), F.concat(*parts)).otherwise(n.cast("string"))
 
 
-def format_number(n: Column, system: Column) -> Column:
-    """A counter in one of the nine numeral systems."""
-    return (
-        F.when(system == "syllable", syllable(n))
-        .when(system == "consonant", F.substring(F.lit(CONSONANTS), ((F.greatest(n, F.lit(1)) - 1) % 14 + 1).cast("int"), F.lit(1)))
-        .when(system == "circled", F.when(n.between(1, 20), character(0x245F + n)).otherwise(n.cast("string")))
-        .when(system == "circled_syllable", F.when(n.between(1, 14), character(0x326D + n)).otherwise(syllable(n)))
-        .when(system == "latin_upper", latin(n, ascii_uppercase))
-        .when(system == "latin_lower", latin(n, ascii_lowercase))
-        .when(system == "roman_upper", F.upper(roman(n)))
-        .when(system == "roman_lower", roman(n))
-        .otherwise(n.cast("string"))
-    )
+def format_number(n: Column, system: Column | str) -> Column:
+    """A counter in one of the nine numeral systems; a system named in Python is the only one in the plan."""
+    made = {
+        "syllable": lambda: syllable(n),
+        "consonant": lambda: F.substring(F.lit(CONSONANTS), ((F.greatest(n, F.lit(1)) - 1) % 14 + 1).cast("int"), F.lit(1)),
+        "circled": lambda: F.when(n.between(1, 20), character(0x245F + n)).otherwise(n.cast("string")),
+        "circled_syllable": lambda: F.when(n.between(1, 14), character(0x326D + n)).otherwise(syllable(n)),
+        "latin_upper": lambda: latin(n, ascii_uppercase),
+        "latin_lower": lambda: latin(n, ascii_lowercase),
+        "roman_upper": lambda: F.upper(roman(n)),
+        "roman_lower": lambda: roman(n),
+    }
+    if isinstance(system, str):
+        return made[system]() if system in made else n.cast("string")
+    return reduce(lambda out, name: F.when(system == name, made[name]()).otherwise(out), made, n.cast("string"))
 
 
 def page_number(n: Column, code: Column, user: Column, prefix: Column, suffix: Column) -> Column:
@@ -79,24 +82,39 @@ def filetime_seconds(ft: Column) -> Column:
     return F.floor(ft / F.lit(10_000_000)).cast("long") - EPOCH
 
 
+def _day(seconds: Column) -> Column:
+    return F.date_from_unix_date(F.floor(seconds / 86400).cast("int"))
+
+
+def _clock(seconds: Column, unit: int, size: int) -> Column:
+    return F.lpad(F.floor(F.pmod(seconds, F.lit(86400)) / unit % size).cast("string"), 2, "0")
+
+
 def filetime_iso(ft: Column) -> Column:
-    return F.when(ft != 0, F.date_format(F.timestamp_seconds(filetime_seconds(ft)), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    """UTC, whatever the session's zone."""
+    t = filetime_seconds(ft)
+    return F.when(ft != 0, F.concat(_day(t).cast("string"), F.lit("T"), _clock(t, 3600, 24), F.lit(":"), _clock(t, 60, 60), F.lit(":"), _clock(t, 1, 60), F.lit("Z")))
 
 
 def filetime_korean(ft: Column) -> Column:
-    """Twelve-hour text in Korean standard time."""
-    t = F.timestamp_seconds(filetime_seconds(ft) + 9 * 3600)
-    day = _pick(tuple("일월화수목금토"), F.dayofweek(t) - 1)
-    hour = F.hour(t)
+    """Twelve-hour text in Korean standard time, whatever the session's zone."""
+    t = filetime_seconds(ft) + 9 * 3600
+    d = _day(t)
+    day = _pick(tuple("일월화수목금토"), F.dayofweek(d) - 1)
+    hour = F.floor(F.pmod(t, F.lit(86400)) / 3600).cast("int")
     text = F.concat(
-        F.year(t), F.lit("년 "), F.month(t), F.lit("월 "), F.dayofmonth(t), F.lit("일 "), day, F.lit("요일 "), F.when(hour < 12, "오전").otherwise("오후"),
-        F.lit(" "), F.when(hour % 12 == 0, 12).otherwise(hour % 12), F.date_format(t, ":mm:ss"),
+        F.year(d), F.lit("년 "), F.month(d), F.lit("월 "), F.dayofmonth(d), F.lit("일 "), day, F.lit("요일 "), F.when(hour < 12, "오전").otherwise("오후"),
+        F.lit(" "), F.when(hour % 12 == 0, 12).otherwise(hour % 12), F.lit(":"), _clock(t, 60, 60), F.lit(":"), _clock(t, 1, 60),
     )
     return F.when(ft != 0, text)
 
 
 def iso_to_filetime(s: Column) -> Column:
-    return (F.unix_timestamp(F.to_timestamp(s, "yyyy-MM-dd'T'HH:mm:ss'Z'")) + EPOCH) * F.lit(10_000_000)
+    """Of YYYY-MM-DDThh:mm:ssZ; null for other texts and days that do not exist."""
+    part = lambda at: F.substring(s, at, 2).try_cast("long")
+    seconds = F.unix_date(F.substring(s, 1, 10).try_cast("date")).cast("long") * 86400 + part(12) * 3600 + part(15) * 60 + part(18)
+    good = s.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z$")
+    return F.when(good, (seconds + EPOCH) * F.lit(10_000_000))
 
 
 def is_iso_date(s: Column) -> Column:

@@ -137,6 +137,5 @@ def html(cells: DataFrame) -> DataFrame:
 
 def clone(cells: DataFrame, keep_text: bool) -> DataFrame:
     """A copy of each table under new ids above the largest, blank or with its texts."""
-    top = cells.agg(F.max("table_id").alias("_top"))
-    copy = cells.join(F.broadcast(top)).withColumn("table_id", F.col("table_id") + F.col("_top") + 1).drop("_top")
+    copy = cells.withColumn("table_id", F.col("table_id") + cells.select(F.max("table_id")).scalar() + 1)
     return cells.unionByName(copy if keep_text else copy.withColumn("text", F.lit("")))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Names of one block of a manifest.
+BLOCK = 1000
+
 #: Distinct samples that an issue bucket keeps: the first seen, shown in order of value.
 SAMPLES = 4
 
@@ -82,3 +85,14 @@ def capped(rows: DataFrame, part: str, order: str, size: str, count: int, total:
     """The first rows of each part while they are at most `count` and their sizes at most `total`."""
     over = Window.partitionBy(part).orderBy(order)
     return rows.withColumn("_n", F.row_number().over(over)).withColumn("_b", F.sum(size).over(over.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("_n") <= count) & (F.col("_b") <= total)).drop("_n", "_b")
+
+
+def manifest(artifacts: DataFrame, part: str, name: str, digest: str, size: str) -> DataFrame:
+    """artifacts, bytes and a digest of each part's artifacts (whole number `name`, their digest, size).
+
+    Names are hashed in blocks of BLOCK and the blocks' hashes once more, so that no task holds all artifacts of a part.
+    """
+    joined = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x["v"]), ",")
+    line = F.concat(F.col(name), F.lit(":"), F.col(digest)).alias("v")
+    blocks = artifacts.groupBy(part, F.floor(F.col(name) / BLOCK).alias("_b")).agg(F.count("*").alias("_n"), F.sum(size).alias("_s"), F.sha2(joined(name, line), 256).alias("v"))
+    return blocks.groupBy(part).agg(F.sum("_n").alias("artifacts"), F.sum("_s").alias("bytes"), F.sha2(joined("_b", F.col("v")), 256).alias("manifest"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -68,7 +69,8 @@ def expand(scalars: DataFrame, items: DataFrame, nodes: list[Node], key: str, or
     """
 
     def filled(node: Node) -> Column:
-        return reduce(lambda t, f: F.replace(t, F.lit("${" + f + "}"), F.coalesce(F.col(f).cast("string"), F.lit(""))), [f for f in fields if "${" + f + "}" in node.text], F.lit(node.text))
+        parts = re.split(r"(\$\{[^}]*\})", node.text)  # slots of the template alone: what a value holds is never one
+        return F.concat(*(F.coalesce(F.col(x[2:-1]).cast("string"), F.lit("")) if x[:2] == "${" and x[2:-1] in fields else F.lit(x) for x in parts))
 
     def blocks(chosen: list[tuple[int, Node]]) -> Column:
         made = []

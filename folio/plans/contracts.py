@@ -59,22 +59,19 @@ def apply_meta(spark, sf):
     return table(spark, sf, "documents").select("doc_id", op.apply_meta(F.col("source"), "title", spec).alias("title"))
 
 
-@query("font_rule", """select user_id, list_sort(list_filter([case when bool_or(event_type not in ('view', 'click', 'purchase', 'signup')) then 'font_not_allowed' end, case when bool_or(value > 90) then 'font_substituted' end, case when bool_or(value < 0.3) then 'font_missing' end], lambda x: x is not null)) as reasons from events where event_id % 3 = 0 group by 1""")
+@query("font_rule", """select user_id, list_sort(list_filter([case when bool_or(event_type not in ('view', 'click', 'purchase', 'signup')) then 'font_not_allowed' end, case when bool_or(value > 90) then 'font_substituted' end, case when bool_or(value < 0.3) then 'font_missing' end], lambda x: x is not null)) as reasons from events group by 1""")
 def font_rule(spark, sf):
-    fonts = table(spark, sf, "events").where("event_id % 3 = 0").select("user_id", F.col("event_type").alias("name"), (F.col("value") > 90).alias("substituted"), (F.col("value") < 0.3).alias("missing"))
-    return op.font_rule(fonts, "user_id", ["view", "click", "purchase", "signup"])
-
-
-@query("font_rule_all", """select user_id, list_sort(list_filter([case when bool_or(event_type not in ('view', 'click', 'purchase', 'signup')) then 'font_not_allowed' end, case when bool_or(value > 90) then 'font_substituted' end, case when bool_or(value < 0.3) then 'font_missing' end], lambda x: x is not null)) as reasons from events group by 1""")
-def font_rule_all(spark, sf):
     fonts = table(spark, sf, "events").select("user_id", F.col("event_type").alias("name"), (F.col("value") > 90).alias("substituted"), (F.col("value") < 0.3).alias("missing"))
     return op.font_rule(fonts, "user_id", ["view", "click", "purchase", "signup"])
 
 
-@query("corpus_gate", "select source, count(*) * 2 as runs, count(distinct lang) = 1 as deterministic from documents group by 1")
+@query("corpus_gate", "select doc_id, count(*) * 2 as runs, doc_id % 3 <> 0 and count(distinct text) <= 1 as deterministic from documents group by 1")
 def corpus_gate(spark, sf):
-    docs = table(spark, sf, "documents").select("source", F.sha2("lang", 256).alias("digest"))
-    return op.two_runs(docs.unionByName(docs), "source", "digest")
+    """Two runs of a case, a document; the second one of every third differs."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    again = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    runs = docs.unionByName(again).select("doc_id", F.sha2("text", 256).alias("digest"))
+    return op.two_runs(runs, "doc_id", "digest")
 
 
 @query("delete_objects", "select event_id, user_id, event_type from events e where not exists (select 1 from (select user_id, min(event_id) as first from events where event_type = 'error' group by 1) f where f.user_id = e.user_id and f.first = e.event_id)")

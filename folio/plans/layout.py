@@ -121,20 +121,10 @@ def html_document(spark, sf):
     return paras(spark, sf).groupBy("doc_id").agg(F.concat(F.lit("<body>"), body, F.lit("</body>")).alias("html"), F.min_by("text", "para_idx").alias("title"))
 
 
-@query("list_items", """select conv_id as doc_id, turn as ord, concat(repeat('  ', cast(length(text) % 3 as int)), case when role = 'user' then concat(turn + 1, '. ') else '- ' end, left(text, 20)) as line, coalesce(lag(role) over (partition by conv_id order by turn) <> role, false) as breaks from conversations""")
+@query("list_items", """select conv_id as doc_id, turn as ord, concat(repeat('  ', cast(length(text) % 3 as int)), case when role = 'user' then concat(turn + 1, '. ') else '- ' end, text) as line, coalesce(lag(role) over (partition by conv_id order by turn) <> role, false) as breaks from conversations""")
 def list_items(spark, sf):
     from pyspark.sql import Window
 
-    marker = F.when(F.col("role") == "user", F.concat(F.col("turn") + 1, F.lit(". "))).otherwise("- ")
-    line = F.concat(F.repeat(F.lit("  "), (F.length("text") % 3).cast("int")), marker, F.substring("text", 1, 20))
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), line.alias("line"), F.coalesce(before != F.col("role"), F.lit(False)).alias("breaks"))
-
-
-@query("list_items_whole", """select conv_id as doc_id, turn as ord, concat(repeat('  ', cast(length(text) % 3 as int)), case when role = 'user' then concat(turn + 1, '. ') else '- ' end, text) as line, coalesce(lag(role) over (partition by conv_id order by turn) <> role, false) as breaks from conversations""")
-def list_items_whole(spark, sf):
-    from pyspark.sql import Window
-
     marker = F.when(F.col("role") == "user", F.concat(F.col("turn") + 1, F.lit(". "))).otherwise("- ")
     line = F.concat(F.repeat(F.lit("  "), (F.length("text") % 3).cast("int")), marker, "text")
     before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))

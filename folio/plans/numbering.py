@@ -79,35 +79,23 @@ def prefix_sums(spark, sf):
 def _numerals() -> str:
     x = "n"
     syllable = _syllable("n")
-    roman = "concat(list_extract(['', 'm', 'mm', 'mmm'], cast(n // 1000 + 1 as int)), list_extract(['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'], cast(n // 100 % 10 + 1 as int)), list_extract(['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'], cast(n // 10 % 10 + 1 as int)), list_extract(['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'], cast(n % 10 + 1 as int)))"
-    latin = "case when n <= 26 then chr(cast(64 + n as int)) when n <= 702 then concat(chr(cast(64 + (n - 1) // 26 as int)), chr(cast(65 + (n - 1) % 26 as int))) else concat(chr(cast(64 + ((n - 1) // 26 - 1) // 26 as int)), chr(cast(65 + ((n - 1) // 26 - 1) % 26 as int)), chr(cast(65 + (n - 1) % 26 as int))) end"
+    roman = "case when n > 3999 then cast(n as varchar) else concat(list_extract(['', 'm', 'mm', 'mmm'], cast(n // 1000 + 1 as int)), list_extract(['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'], cast(n // 100 % 10 + 1 as int)), list_extract(['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'], cast(n // 10 % 10 + 1 as int)), list_extract(['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'], cast(n % 10 + 1 as int))) end"
+    latin = "case when n <= 26 then chr(cast(64 + n as int)) when n <= 702 then concat(chr(cast(64 + (n - 1) // 26 as int)), chr(cast(65 + (n - 1) % 26 as int))) when n <= 18278 then concat(chr(cast(64 + ((n - 1) // 26 - 1) // 26 as int)), chr(cast(65 + ((n - 1) // 26 - 1) % 26 as int)), chr(cast(65 + (n - 1) % 26 as int))) else concat(chr(cast(64 + (((n - 1) // 26 - 1) // 26 - 1) // 26 as int)), chr(cast(65 + (((n - 1) // 26 - 1) // 26 - 1) % 26 as int)), chr(cast(65 + ((n - 1) // 26 - 1) % 26 as int)), chr(cast(65 + (n - 1) % 26 as int))) end"
     return f"""select {x}, cast(n as varchar) as digit, {syllable} as syllable, substr('ㄱㄴㄷㄹㅁㅂㅅㅇㅈㅊㅋㅌㅍㅎ', cast((n - 1) % 14 + 1 as int), 1) as consonant, case when n <= 20 then chr(cast(9311 + n as int)) else cast(n as varchar) end as circled,
     case when n <= 14 then chr(cast(12909 + n as int)) else {syllable} end as circled_syllable, {latin} as latin_upper, lower({latin}) as latin_lower, upper({roman}) as roman_upper, {roman} as roman_lower
-    from (select distinct p_partkey + 1 as n from part where p_partkey < 3999)"""
+    from (select distinct p_partkey + 1 as n from part)"""
 
 
 @query("format_number", _numerals())
 def format_number(spark, sf):
-    n = table(spark, sf, "part").where("p_partkey < 3999").select((F.col("p_partkey") + 1).alias("n")).distinct()
-    return n.select("n", *(fn.format_number(F.col("n"), F.lit(s)).alias(s) for s in fn.SYSTEMS))
-
-
-@query("format_number_all")
-def format_number_all(spark, sf):
-    """All rows of part, Roman numerals beyond 3999 included; held by a test, without SQL."""
+    """All rows of part, Roman numerals beyond 3999 included."""
     n = table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("n")).distinct()
-    return n.select("n", *(fn.format_number(F.col("n"), F.lit(s)).alias(s) for s in fn.SYSTEMS))
+    return n.select("n", *(fn.format_number(F.col("n"), s).alias(s) for s in fn.SYSTEMS))
 
 
-@query("page_number_text", "select p_partkey, concat('- ', case p_size % 4 when 0 then cast(p_size as varchar) when 1 then case when p_size <= 20 then chr(9311 + p_size) else cast(p_size as varchar) end when 2 then chr(cast(12593 as int)) else '*' end, ' -') as text from part where p_size % 4 <> 2")
-def page_number_text(spark, sf):
-    code = F.when(F.col("p_size") % 4 == 3, 7).otherwise(F.col("p_size") % 4)
-    return table(spark, sf, "part").where("p_size % 4 <> 2").select("p_partkey", fn.page_number(F.col("p_size"), code, F.lit("*"), F.lit("- "), F.lit(" -")).alias("text"))
-
-
-@query("page_number_text_all", """select p_partkey, concat('- ', case p_size % 4 when 0 then cast(p_size as varchar) when 1 then case when p_size between 1 and 20 then chr(cast(9311 + p_size as int)) else cast(p_size as varchar) end
+@query("page_number_text", """select p_partkey, concat('- ', case p_size % 4 when 0 then cast(p_size as varchar) when 1 then case when p_size between 1 and 20 then chr(cast(9311 + p_size as int)) else cast(p_size as varchar) end
 when 2 then concat(list_extract(['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'], cast(p_size // 10 + 1 as int)), list_extract(['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'], cast(p_size % 10 + 1 as int))) else '*' end, ' -') as text from part""")
-def page_number_text_all(spark, sf):
+def page_number_text(spark, sf):
     code = F.when(F.col("p_size") % 4 == 3, 7).otherwise(F.col("p_size") % 4)
     return table(spark, sf, "part").select("p_partkey", fn.page_number(F.col("p_size"), code, F.lit("*"), F.lit("- "), F.lit(" -")).alias("text"))
 

@@ -12,7 +12,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: The base views in the oracle's dialect.
 VIEWS = {
-    "paras": "select doc_id, i - 1 as para_idx, p[i] as text from (select doc_id, string_split(text, chr(10)) as p from documents), unnest(range(1, len(p) + 1)) as t(i)",
+    "paras": "select doc_id, i - 1 as para_idx, p[i] as text from (select doc_id, string_split(coalesce(text, ''), chr(10)) as p from documents), unnest(range(1, len(p) + 1)) as t(i)",
     "heads": "select conv_id as doc_id, turn as ord, 1 + length(text) % 3 as level, role, text from conversations",
     "lines": "select l_orderkey as table_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 as row_idx, l_partkey, l_suppkey from lineitem",
     "cells": """select table_id, row_idx, col_idx, 1 as row_span, case when col_idx = 0 then 1 + l_partkey % 3 else 1 end as col_span,
@@ -43,8 +43,8 @@ def query(name: str, oracle: str | None = None, views: tuple[str, ...] = ()):
 
 
 def paras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, para_idx, text: a document's lines as paragraphs; one scan, no exchange."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_idx", "text")).withColumn("para_idx", F.col("para_idx").cast("long"))
+    """doc_id, para_idx, text: a document's lines as paragraphs, one empty one where text is null; one scan, no exchange."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("para_idx", "text")).withColumn("para_idx", F.col("para_idx").cast("long"))
 
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,9 +28,13 @@ def package_entries(spark, sf):
     return found.select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.name", "e.idx")
 
 
-@query("package_validate", "select doc_id, true as valid, true as type_first, 1::bigint as sections from documents")
+@query("package_validate", "select doc_id, doc_id % 3 <> 0 as valid, doc_id % 3 <> 0 as type_first, case when doc_id % 3 <> 0 then 1 else 0 end::bigint as sections from documents")
 def package_validate(spark, sf):
-    each = package_entries(spark, sf)
+    """Every third package is of another kind, whose entries are not the ones that must be there."""
+    docs = paras(spark, sf)
+    other = F.col("doc_id") % 3 == 0
+    found = frames.zip_entries(frames.to_files(docs.where(~other), "hwpx").unionByName(frames.to_files(docs.where(other), "docx")))
+    each = found.select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.name", "e.idx")
     per = each.groupBy("doc_id").agg(F.collect_set("name").alias("n"), F.min_by("name", "idx").alias("first"), F.count_if(F.col("name").rlike("^Contents/section[0-9]+\\.xml$")).alias("sections"))
     missing = F.array_except(F.array(*map(F.lit, ("mimetype", "version.xml", "Contents/content.hpf"))), "n")
     return per.select("doc_id", ((F.size(missing) == 0) & (F.col("sections") > 0)).alias("valid"), (F.col("first") == "mimetype").alias("type_first"), "sections")
@@ -57,17 +61,8 @@ def broken_containers(spark, sf):
     return frames.read_files(files).select("doc_id", F.when(k == 0, F.col("error")).when(F.col("error").isNotNull(), "broken").alias("error"))
 
 
-@query("markdown_blocks", """select doc_id, para_idx as ord, case when para_idx % 3 = 0 then 'heading' when para_idx % 3 = 1 then 'bullet' else 'quote' end as kind from paras where regexp_matches(text, '^\\w')""", ("paras",))
+@query("markdown_blocks", """select doc_id, para_idx as ord, case when para_idx % 3 = 0 then 'heading' when para_idx % 3 = 2 then 'quote' when regexp_matches(text, '^[ \\t]*(-[ \\t]*){2,}$') then 'rule' else 'bullet' end as kind from paras""", ("paras",))
 def markdown_blocks(spark, sf):
-    markup.register(spark)
-    k = F.col("para_idx") % 3
-    lines = paras(spark, sf).where(F.col("text").rlike("^[0-9A-Za-z_]")).withColumn("md", F.concat(F.when(k == 0, "# ").when(k == 1, "- ").otherwise("> "), "text"))
-    lines.createOrReplaceTempView("folio_md_lines")
-    return spark.sql("select doc_id, para_idx as ord, b.kind from folio_md_lines, lateral md_blocks(md) b")
-
-
-@query("markdown_blocks_all", """select doc_id, para_idx as ord, case when para_idx % 3 = 0 then 'heading' when para_idx % 3 = 2 then 'quote' when regexp_matches(text, '^[ \\t]*(-[ \\t]*){2,}$') then 'rule' else 'bullet' end as kind from paras""", ("paras",))
-def markdown_blocks_all(spark, sf):
     """All lines, empty ones and those that begin with marks or accents too."""
     markup.register(spark)
     k = F.col("para_idx") % 3
@@ -76,17 +71,9 @@ def markdown_blocks_all(spark, sf):
     return spark.sql("select doc_id, para_idx as ord, b.kind from folio_md_all_lines, lateral md_blocks(md) b")
 
 
-@query("html_fragments", "select doc_id, 'p' as tag, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from documents where not regexp_matches(text, '[&<>\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')")
-def html_fragments(spark, sf):
-    markup.register(spark)
-    docs = table(spark, sf, "documents").where(~F.col("text").rlike("[&<>\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]")).select("doc_id", F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("html"))
-    docs.createOrReplaceTempView("folio_fragments")
-    return spark.sql("select doc_id, b.tag, b.text from folio_fragments, lateral html_blocks(html) b")
-
-
-@query("html_fragments_all", """select doc_id, case when not regexp_matches(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') then 'p' end as tag, case when not regexp_matches(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') then trim(regexp_replace(t, '[\\s\\x{85}\\pZ]+', ' ', 'g')) end as text
+@query("html_fragments", """select doc_id, case when not regexp_matches(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') then 'p' end as tag, case when not regexp_matches(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') then trim(regexp_replace(t, '[\\s\\x{85}\\pZ]+', ' ', 'g')) end as text
 from (select doc_id, coalesce(text, '') as t from documents)""")
-def html_fragments_all(spark, sf):
+def html_fragments(spark, sf):
     """All documents, escaped; one with characters that XML has not is a row that was refused."""
     markup.register(spark)
     docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("<p>"), escape_xml(F.coalesce("text", F.lit(""))), F.lit("</p>")).alias("html"))
@@ -94,10 +81,13 @@ def html_fragments_all(spark, sf):
     return spark.sql("select doc_id, b.tag, b.text from folio_all_fragments, lateral html_blocks(html) b")
 
 
-@query("html_rejects", "select page_id, true as refused from pages")
+@query("html_rejects", "select page_id, page_id % 2 = 1 as refused from pages")
 def html_rejects(spark, sf):
+    """Whole raw pages, which are no fragments, and the same pages as the escaped text of one."""
     markup.register(spark)
-    table(spark, sf, "pages").createOrReplaceTempView("folio_pages")
+    clean = F.regexp_replace(F.coalesce("html", F.lit("")), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ufffe\\uffff]", "")
+    html = F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("<main>"), clean)).otherwise(F.concat(F.lit("<p>"), escape_xml(clean), F.lit("</p>")))
+    table(spark, sf, "pages").select("page_id", html.alias("html")).createOrReplaceTempView("folio_pages")
     return spark.sql("select page_id, bool_or(b.error is not null) refused from folio_pages, lateral html_blocks(html) b group by page_id")
 
 

@@ -150,10 +150,12 @@ def text_required(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.contains("License").alias("licensed"), (F.length(t) >= 500).alias("long_enough"), (F.size(F.split(t, "\n")) >= 3).alias("paragraphs"))
 
 
-@query("determinism", """select lang, count(*) as documents, count(distinct sha256(text)) as digests, true as equal from documents group by lang""")
+@query("determinism", """select lang, count(*) as documents, count(distinct sha256(coalesce(text, ''))) as digests, count(*) filter (where doc_id % 100 = 7) = 0 as equal from documents group by lang""")
 def determinism(spark, sf):
-    """Two runs of one digest over all documents, compared as sets."""
-    runs = [table(spark, sf, "documents").select("lang", "doc_id", F.sha2("text", 256).alias("d")) for _ in range(2)]
+    """Two runs of one digest over all documents, compared as sets; the second run differs in one of a hundred."""
+    docs = table(spark, sf, "documents").select("lang", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    other = docs.withColumn("text", F.when(F.col("doc_id") % 100 == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    runs = [d.select("lang", "doc_id", F.sha2("text", 256).alias("d")) for d in (docs, other)]
     both = runs[0].join(runs[1].withColumnRenamed("d", "e"), ["lang", "doc_id"])
     return both.groupBy("lang").agg(F.count("*").alias("documents"), F.count_distinct("d").alias("digests"), F.bool_and(F.col("d") == F.col("e")).alias("equal"))
 

@@ -101,35 +101,45 @@ def paragraphs(read: DataFrame, *keys: str) -> DataFrame:
     return read.select(*keys, F.posexplode("paragraphs").alias("para_idx", "text")).withColumn("para_idx", F.col("para_idx").cast("long"))
 
 
-def zip_entries(files: DataFrame) -> DataFrame:
-    def read(rows: list) -> pa.Array:
-        kind = pa.list_(pa.struct([("idx", pa.int32()), ("name", pa.string()), ("size", pa.int64()), ("packed", pa.int64())]))
-        return pa.array([[dict(zip(("idx", "name", "size", "packed"), e, strict=True)) for e in packages.entries(d)] for d in rows], kind)
+def _guarded(df: DataFrame, read: Callable[[bytes], list], column: str, out: str, kind: pa.DataType, ddl: str) -> DataFrame:
+    """df with `out` and error instead of a binary column; hostile bytes give null and what was wrong, no task fails on them."""
 
-    return map_column(files, read, "content", "entries", "array<struct<idx: int, name: string, size: bigint, packed: bigint>>").drop("content")
+    def each(rows: list) -> pa.Array:
+        made = []
+        for data in rows:
+            try:
+                made.append({"value": read(data or b""), "error": None})
+            except Exception as e:
+                made.append({"value": None, "error": str(e)[:200] or type(e).__name__})
+        return pa.array(made, pa.struct([("value", kind), ("error", pa.string())]))
 
+    found = map_column(df, each, column, "_read", f"struct<value: {ddl}, error: string>").drop(column)
+    return found.withColumn(out, F.col("_read.value")).withColumn("error", F.col("_read.error")).drop("_read")
+
+
+def zip_entries(files: DataFrame) -> DataFrame:
+    kind = pa.list_(pa.struct([("idx", pa.int32()), ("name", pa.string()), ("size", pa.int64()), ("packed", pa.int64())]))
+    read = lambda data: [dict(zip(("idx", "name", "size", "packed"), e, strict=True)) for e in packages.entries(data)]
+    return _guarded(files, read, "content", "entries", kind, "array<struct<idx: int, name: string, size: bigint, packed: bigint>>")
 
-def streams(files: DataFrame) -> DataFrame:
-    def read(rows: list) -> pa.Array:
-        kind = pa.list_(pa.struct([("name", pa.string()), ("data", pa.binary())]))
-        return pa.array([[{"name": n, "data": s} for n, s in compound.read_streams(d).items()] for d in rows], kind)
 
-    return map_column(files, read, "content", "streams", "array<struct<name: string, data: binary>>").drop("content")
+def streams(files: DataFrame) -> DataFrame:
+    kind = pa.list_(pa.struct([("name", pa.string()), ("data", pa.binary())]))
+    read = lambda data: [{"name": n, "data": s} for n, s in compound.read_streams(data).items()]
+    return _guarded(files, read, "content", "streams", kind, "array<struct<name: string, data: binary>>")
 
 
 def scan_records(df: DataFrame, column: str) -> DataFrame:
     """Records of a deflated body stream with their parents."""
 
-    def read(rows: list) -> pa.Array:
-        kind = pa.list_(pa.struct([("idx", pa.int32()), ("tag", pa.int32()), ("level", pa.int32()), ("size", pa.int64()), ("parent", pa.int32()), ("warning", pa.string())]))
-        out = []
-        for data in rows:
-            found = records.scan(records.inflate(data))
-            up = records.parents([r[2] for r in found])
-            out.append([{"idx": i, "tag": t, "level": v, "size": len(p), "parent": q, "warning": w} for (i, t, v, p, w), q in zip(found, up, strict=True)])
-        return pa.array(out, kind)
+    kind = pa.list_(pa.struct([("idx", pa.int32()), ("tag", pa.int32()), ("level", pa.int32()), ("size", pa.int64()), ("parent", pa.int32()), ("warning", pa.string())]))
+
+    def read(data: bytes) -> list:
+        found = records.scan(records.inflate(data))
+        up = records.parents([r[2] for r in found])
+        return [{"idx": i, "tag": t, "level": v, "size": len(p), "parent": q, "warning": w} for (i, t, v, p, w), q in zip(found, up, strict=True)]
 
-    return map_column(df, read, column, "records", "array<struct<idx: int, tag: int, level: int, size: bigint, parent: int, warning: string>>").drop(column)
+    return _guarded(df, read, column, "records", kind, "array<struct<idx: int, tag: int, level: int, size: bigint, parent: int, warning: string>>")
 
 
 def summaries(df: DataFrame, column: str) -> DataFrame:

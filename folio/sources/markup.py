@@ -130,10 +130,6 @@ class FragmentBlocks:
             yield -1, None, None, str(e)[:200]
 
 
-def entities(text: str) -> str:
-    return unescape(text)
-
-
 def register(spark) -> None:
     importable(spark)
     spark.udtf.register("md_blocks", MarkdownBlocks)

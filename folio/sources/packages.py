@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, unescape
 
@@ -42,6 +43,18 @@ def check(data: bytes, limits: dict[str, int] = LIMITS) -> None:
         raise PackageError("an entry breaks a limit")
 
 
+def part(z: zipfile.ZipFile, name: str, limits: dict[str, int] = LIMITS) -> ElementTree.Element:
+    """The root of an XML entry that keeps the limit."""
+    if z.getinfo(name).file_size > limits["xml_bytes"]:
+        raise PackageError(f"{name} is too large")
+    return ElementTree.fromstring(z.read(name))
+
+
+def encrypted(z: zipfile.ZipFile, limits: dict[str, int] = LIMITS) -> bool:
+    """Whether the manifest has an element that says how an entry is encrypted."""
+    return "META-INF/manifest.xml" in z.namelist() and any(x.tag.rsplit("}", 1)[-1] == "encryption-data" for x in part(z, "META-INF/manifest.xml", limits).iter())
+
+
 def intact(data: bytes) -> bool:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         return z.testzip() is None
@@ -73,13 +86,11 @@ def read_sections(data: bytes, limits: dict[str, int] = LIMITS) -> list[list[str
         check(data, limits)
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             names = sorted((n for n in z.namelist() if re.fullmatch(r"Contents/section\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-            if any("encryption" in z.read(n).decode("utf-8", "replace") for n in z.namelist() if n == "META-INF/manifest.xml"):
+            if encrypted(z, limits):
                 raise PackageError("encrypted")
             out = []
             for n in names:
-                if z.getinfo(n).file_size > limits["xml_bytes"]:
-                    raise PackageError("section is too large")
-                root = ElementTree.fromstring(z.read(n))
+                root = part(z, n, limits)
                 out.append(["".join("".join(t.itertext()) for t in p.iter(f"{{{PARA_NS}}}t")) for p in root.iter(f"{{{PARA_NS}}}p")])
             return out
     except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, NotImplementedError, EOFError) as e:
@@ -87,23 +98,55 @@ def read_sections(data: bytes, limits: dict[str, int] = LIMITS) -> list[list[str
 
 
 def metadata(data: bytes) -> dict[str, str]:
+    check(data)
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         if "Contents/content.hpf" not in z.namelist():
             return {}
-        root = ElementTree.fromstring(z.read("Contents/content.hpf"))
+        root = part(z, "Contents/content.hpf")
     return {x.tag.rsplit("}", 1)[1]: x.text or "" for x in root.iter() if x.tag.startswith("{http://purl.org/dc/elements/1.1/}")}
 
 
 def replace_in_package(data: bytes, old: str, new: str) -> bytes:
-    """Text of sections replaced; every other entry keeps its bytes."""
+    """Text of sections replaced; every other entry, and a section without the text, keeps its bytes as they are packed."""
+    check(data)
+    changed = {}
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        files = []
         for n in z.namelist():
-            raw = z.read(n)
             if re.fullmatch(r"Contents/section\d+\.xml", n):
-                raw = re.sub(r"(<hp:t[^>]*>)(.*?)(</hp:t>)", lambda m: m[1] + xml_text(unescape(m[2], {"&#13;": "\r"}).replace(old, new)) + m[3], raw.decode(), flags=re.S).encode()
-            files.append((n, raw))
-    return zipped(files)
+                raw = z.read(n)
+                text = re.sub(r"(<hp:t[^>]*>)(.*?)(</hp:t>)", lambda m: m[1] + xml_text(unescape(m[2], {"&#13;": "\r"}).replace(old, new)) + m[3], raw.decode(), flags=re.S).encode()
+                if text != raw:
+                    changed[n] = text
+    return rewritten(data, changed)
+
+
+def rewritten(data: bytes, changed: dict[str, bytes]) -> bytes:
+    """The package with the changed entries packed anew in their places; local headers, data and directory records of the others are copied."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        infos, directory = z.infolist(), z.start_dir
+    ends = dict(zip(sorted(x.header_offset for x in infos), [*sorted(x.header_offset for x in infos)[1:], directory], strict=True))
+    out, records, at = bytearray(), bytearray(), directory
+    for info in infos:
+        sizes = [int.from_bytes(data[at + k : at + k + 2], "little") for k in (28, 30, 32)]
+        record = bytearray(data[at : at + 46 + sum(sizes)])
+        at += len(record)
+        record[42:46] = len(out).to_bytes(4, "little")
+        if info.filename in changed:
+            text = changed[info.filename]
+            packed = text if info.compress_type == zipfile.ZIP_STORED else zlib.compress(text, wbits=-15)
+            crc, size, full = (x.to_bytes(4, "little") for x in (zlib.crc32(text), len(packed), len(text)))
+            record[8:10] = (info.flag_bits & ~8).to_bytes(2, "little")  # sizes stand in the header, not behind the data
+            record[16:28] = crc + size + full
+            name = record[46 : 46 + sizes[0]]
+            out += b"PK\x03\x04" + record[6:16] + crc + size + full + len(name).to_bytes(2, "little") + b"\0\0" + name + packed
+        else:
+            out += data[info.header_offset : ends[info.header_offset]]
+        records += record
+    tail = bytearray(data[at:])
+    if tail[:4] != b"PK\x05\x06":
+        raise PackageError("a directory that can't be copied")
+    tail[12:20] = len(records).to_bytes(4, "little") + len(out).to_bytes(4, "little")
+    return bytes(out + records + tail)
 
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -119,8 +162,9 @@ def write_docx(paragraphs: list[str]) -> bytes:
 
 
 def read_docx(data: bytes) -> list[str]:
+    check(data)
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        root = ElementTree.fromstring(z.read("word/document.xml"))
+        root = part(z, "word/document.xml")
     return ["".join(t.text or "" for t in p.iter(f"{{{_W}}}t")) for p in root.iter(f"{{{_W}}}p")]
 
 
@@ -138,8 +182,11 @@ def write_odt(paragraphs: list[str]) -> bytes:
 
 
 def read_odt(data: bytes) -> list[str]:
+    check(data)
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        root = ElementTree.fromstring(z.read("content.xml"))
+        if encrypted(z):
+            raise PackageError("encrypted")
+        root = part(z, "content.xml")
 
     def text(e) -> str:
         own = " " * int(e.get(f"{{{_TEXT}}}c", "1")) if e.tag == f"{{{_TEXT}}}s" else "\t" if e.tag == f"{{{_TEXT}}}tab" else e.text or ""

@@ -32,28 +32,28 @@ def tables(spark, tmp_path):
 
 def test_all_numbers(spark, tables):
     sf = tables("part", [(k, k % 50 + 1) for k in range(20_000)], "p_partkey long, p_size int")
-    got = {r.n: r for r in QUERIES["format_number_all"](spark, sf).collect()}
+    got = {r.n: r for r in QUERIES["format_number"](spark, sf).collect()}
     assert sorted(got) == list(range(1, 20_001))
     assert all((r.digit, r.roman_lower, r.roman_upper, r.latin_lower, r.latin_upper) == (str(n), roman(n), roman(n).upper(), latin(n), latin(n).upper()) for n, r in got.items())
-    text = {r.p_partkey: r.text for r in QUERIES["page_number_text_all"](spark, sf).collect()}
+    text = {r.p_partkey: r.text for r in QUERIES["page_number_text"](spark, sf).collect()}
     assert len(text) == 20_000 and [text[k] for k in (1, 2, 3, 4, 24, 49)] == ["- II -", "- * -", "- 4 -", "- ⑤ -", "- 25 -", "- L -"]
 
 
 def test_all_fonts(spark, tables):
     rows = [(1, 7, "odd", 1.0), (2, 7, "view", 95.0), (3, 8, "view", 0.1), (4, 9, "view", 5.0)]
     sf = tables("events", rows, "event_id long, user_id long, event_type string, value double")
-    assert {r.user_id: r.reasons for r in QUERIES["font_rule_all"](spark, sf).collect()} == {7: ["font_not_allowed", "font_substituted"], 8: ["font_missing"], 9: []}
+    assert {r.user_id: r.reasons for r in QUERIES["font_rule"](spark, sf).collect()} == {7: ["font_not_allowed", "font_substituted"], 8: ["font_missing"], 9: []}
 
 
 def test_whole_list_items(spark, tables):
     long = "a text of more than twenty characters"
     sf = tables("conversations", [(1, 0, "user", long), (1, 1, "assistant", long + "é")], "conv_id long, turn long, role string, text string")
-    assert [r.line.strip() for r in QUERIES["list_items_whole"](spark, sf).orderBy("ord").collect()] == [f"1. {long}", f"- {long}é"]
+    assert [r.line.strip() for r in QUERIES["list_items"](spark, sf).orderBy("ord").collect()] == [f"1. {long}", f"- {long}é"]
 
 
 def test_all_markup(spark, tables):
     sf = tables("documents", [(1, "a & b\n<c> d"), (2, "é\n- -\n*x"), (3, ""), (4, "a\x01b")], "doc_id long, text string")
-    found = {r.doc_id: (r.tag, r.text) for r in QUERIES["html_fragments_all"](spark, sf).collect()}
+    found = {r.doc_id: (r.tag, r.text) for r in QUERIES["html_fragments"](spark, sf).collect()}
     assert found == {1: ("p", "a & b <c> d"), 2: ("p", "é - - *x"), 3: ("p", ""), 4: (None, None)}
-    kinds = sorted((r.doc_id, r.ord, r.kind) for r in QUERIES["markdown_blocks_all"](spark, sf).collect())
+    kinds = sorted((r.doc_id, r.ord, r.kind) for r in QUERIES["markdown_blocks"](spark, sf).collect())
     assert kinds == [(1, 0, "heading"), (1, 1, "bullet"), (2, 0, "heading"), (2, 1, "rule"), (2, 2, "quote"), (3, 0, "heading"), (4, 0, "heading")]
