@@ -74,3 +74,38 @@ def font_rule(fonts: DataFrame, part: str, allowed: list[str]) -> DataFrame:
 def two_runs(runs: DataFrame, case: str, digest: str) -> DataFrame:
     """Whether the runs of each case gave one digest."""
     return runs.groupBy(case).agg(F.count("*").alias("runs"), (F.count_distinct(digest) == 1).alias("deterministic"))
+
+
+def parse_char_format(spec: Column) -> Column:
+    """find:prop=value,..: what is looked for, and a map of the properties; the last colon before a property parts them."""
+    pattern = r"^([\s\S]+):([a-z_]+=[^=,]*(?:,[a-z_]+=[^=,]*)*)$"
+    return F.when(spec.rlike(pattern), F.struct(F.regexp_extract(spec, pattern, 1).alias("find"), F.str_to_map(F.regexp_extract(spec, pattern, 2), F.lit(","), F.lit("=")).alias("props")))
+
+
+def parse_image_size(spec: Column) -> Column:
+    """path@WxH in mm; a tail that is no size belongs to the path."""
+    number = r"[ ]*([0-9]+(?:\.[0-9]+)?)[ ]*"
+    pattern = f"^([\\s\\S]*)@{number}[xX]{number}$"
+    part = lambda i: F.regexp_extract(spec, pattern, i)
+    sized = spec.rlike(pattern)
+    return F.struct(F.when(sized, part(1)).otherwise(spec).alias("path"), F.when(sized, part(2)).cast("double").alias("width"), F.when(sized, part(3)).cast("double").alias("height"))
+
+
+def parse_clone_table(spec: Column) -> Column:
+    """table=>anchor[=>blank|keep]; null for other texts."""
+    parts = F.split(spec, "=>", 3)
+    at = lambda i: F.trim(F.coalesce(F.get(parts, F.lit(i)), F.lit("")))
+    mode = F.when(at(2) == "", "blank").otherwise(at(2))
+    good = at(0).rlike("^[0-9]+$") & (at(1) != "") & mode.isin("blank", "keep")
+    return F.when(good, F.struct(at(0).cast("int").alias("table_id"), at(1).alias("anchor"), mode.alias("mode")))
+
+
+def delete_objects(objects: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """objects without the chosen ones."""
+    return objects.join(chosen.select(*keys).distinct(), keys, "left_anti").select(objects.columns)
+
+
+def document_info(docs: DataFrame, part: str, kind: str, size: str, name: str) -> DataFrame:
+    """Documents, kinds, the largest size and its document, ties by the smallest name, of each part."""
+    longest = F.max_by(name, F.struct(size, -F.col(name)))
+    return docs.groupBy(part).agg(F.count("*").alias("documents"), F.array_sort(F.collect_set(kind)).alias(f"{kind}s"), F.max(size).alias("longest"), longest.alias("longest_id"))

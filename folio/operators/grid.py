@@ -139,3 +139,52 @@ def clone(cells: DataFrame, keep_text: bool) -> DataFrame:
     """A copy of each table under new ids above the largest, blank or with its texts."""
     copy = cells.withColumn("table_id", F.col("table_id") + cells.select(F.max("table_id")).scalar() + 1)
     return cells.unionByName(copy if keep_text else copy.withColumn("text", F.lit("")))
+
+
+#: Width of the text body in units, which a new table's columns share; what a row takes whose height nothing says.
+BODY_WIDTH, ROW_HEIGHT = 42_520, 1_700
+
+
+def extents(cells: DataFrame, at: str, span: str, size: str, count: int | str, fallback: int = ROW_HEIGHT) -> DataFrame:
+    """table_id, idx, extent of each row or column: the largest unspanned cell; spanned cells, in order of their places, share what they need
+    among those still unknown, the last one with the remainder; what is unknown then takes the average, or the fallback.
+
+    One fold a table over its spanned cells; `count` is a column with the number of rows or columns, or that number.
+    """
+    n = F.col(count) if isinstance(count, str) else F.lit(count)
+    one = F.struct(F.col(at).cast("long").alias("at"), F.col(span).cast("long").alias("span"), F.col(size).cast("long").alias("size"))
+    per = cells.groupBy("table_id").agg(F.max(n).cast("int").alias("_n"), F.collect_list(F.when(F.col(span) <= 1, one)).alias("_single"), F.array_sort(F.collect_list(F.when(F.col(span) > 1, F.struct("row_idx", "col_idx", one.alias("c"))))).alias("_wide"))
+    known = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.coalesce(F.array_max(F.transform(F.filter("_single", lambda c: c["at"] == i), lambda c: c["size"])), F.lit(0).cast("long")))
+
+    def spread(h, w):
+        c = w["c"]
+        covered = lambda i: (i >= c["at"]) & (i < c["at"] + c["span"])
+        places = F.sequence(F.lit(0), F.col("_n") - 1)
+        open_ = F.filter(places, lambda i: covered(i) & (F.element_at(h, i + 1) == 0))
+        taken = F.aggregate(F.filter(places, covered), F.lit(0).cast("long"), lambda s, i: s + F.element_at(h, i + 1))
+        rest = F.greatest(c["size"] - taken, F.lit(0).cast("long"))
+        each = F.floor(rest / F.greatest(F.size(open_), F.lit(1))).cast("long")
+        share = lambda i: F.when(i == F.array_max(open_), rest - each * (F.size(open_) - 1)).otherwise(each)
+        return F.transform(h, lambda x, i: F.when(F.array_contains(open_, i), share(i)).otherwise(x))
+
+    filled = F.aggregate("_wide", known, spread)
+    total = F.aggregate("_h", F.lit(0).cast("long"), lambda s, x: s + x)
+    rest = F.when(total > 0, F.greatest(F.floor(total / F.col("_n")), F.lit(1))).otherwise(fallback)
+    out = per.withColumn("_h", filled).withColumn("_rest", rest.cast("long"))
+    return out.select("table_id", F.posexplode(F.transform("_h", lambda x: F.when(x == 0, F.col("_rest")).otherwise(x))).alias("idx", "extent")).withColumn("idx", F.col("idx").cast("long"))
+
+
+def add_tables(rows: DataFrame) -> DataFrame:
+    """Cells of new tables from ragged rows (table_id, row_idx, texts): as many columns as the widest row, missing texts empty, columns of one width."""
+    widest = F.greatest(F.max(F.size("texts")).over(Window.partitionBy("table_id")), F.lit(1))
+    each = rows.withColumn("_n", widest).withColumn("col_idx", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    text = F.coalesce(F.get("texts", F.col("col_idx")), F.lit(""))
+    return each.select("table_id", "row_idx", F.col("col_idx").cast("long").alias("col_idx"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), F.floor(BODY_WIDTH / F.col("_n")).cast("int").alias("width"), text.alias("text"))
+
+
+def fill_rows(data: DataFrame, table: str, order: list[str], columns: list[str], header: int, size: int) -> DataFrame:
+    """Rows of data put below a table's header rows: table, row_idx, the columns as texts c0, c1 .., and by how many rows the table of `size` grows."""
+    over = Window.partitionBy(table)
+    place = header + F.row_number().over(over.orderBy(*order)) - 1
+    grown = F.greatest(F.lit(0), header + F.count("*").over(over) - size)
+    return data.select(F.col(table).alias("table_id"), place.cast("long").alias("row_idx"), *(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)), grown.cast("long").alias("grown"))

@@ -68,3 +68,87 @@ def justify(widths: DataFrame, measure: int) -> DataFrame:
     last = F.col("line") == F.max("line").over(Window.partitionBy("doc_id", "para_idx"))
     slack = F.lit(measure) - F.length("text")
     return widths.select("doc_id", "para_idx", "line", F.when(last | (gaps == 0), 0.0).otherwise(F.round(slack / gaps, 6)).alias("stretch"))
+
+
+#: Kinds of alignment, by their codes.
+ALIGNMENTS = ("justify", "left", "right", "center", "distribute", "divide")
+
+
+def wrap_words(paras: DataFrame, columns: int) -> DataFrame:
+    """doc_id, para_idx, line, text: words put on lines of at most `columns` code points, greedily; a longer word is cut. A line's end has no spaces.
+
+    One fold a paragraph over its words; runs of spaces inside a line stay.
+    """
+    words = F.regexp_extract_all("text", F.lit(r"( *[^ ]+)"), 1)
+    room = F.lit(columns)
+    begun = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(acc, word):
+        bare = F.ltrim(word)
+        fits = F.length(acc["open"]) + F.length(word) <= room
+        cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(bare) / columns).cast("int"), F.lit(1)) - 1), lambda i: F.substring(bare, i * columns + 1, room))
+        closed = F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+        moved = F.struct(F.concat(closed, F.slice(cuts, F.lit(1), F.size(cuts) - 1)).alias("done"), F.element_at(cuts, -1).alias("open"))
+        return F.when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["open"], word).alias("open"))).otherwise(moved)
+
+    lines = F.aggregate(words, begun, step, lambda acc: F.when((F.size(acc["done"]) > 0) & (acc["open"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+    return paras.select("doc_id", "para_idx", F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
+
+
+def align(lines: DataFrame, kind: str, measure: float, advance: float = 1.0) -> DataFrame:
+    """shift of each line (doc_id, para_idx, line, text), and what each stretched gap gains, by kind of alignment.
+
+    justify gives a paragraph's lines but the last their slack, at most their own width, by the spaces before the last visible character, or by all gaps if there are
+    none; distribute shares it among all characters, the last one too, divide among those before the last visible one.
+    """
+    natural = F.length("text") * advance
+    slack = F.greatest(F.lit(measure) - natural, F.lit(0.0))
+    visible = F.length(F.rtrim("text"))  # characters up to the last visible one
+    spaces = F.length(F.rtrim("text")) - F.length(F.replace(F.rtrim("text"), F.lit(" "), F.lit("")))
+    last = F.col("line") == F.max("line").over(Window.partitionBy("doc_id", "para_idx"))
+    gaps = F.greatest(visible - 1, F.lit(1))
+    none = F.lit(0.0)
+    n = F.length("text")
+    shift = {"right": slack, "center": slack / 2}.get(kind, none)
+    share = {
+        "justify": F.when(last | (n < 2), none).otherwise(F.least(slack, F.greatest(natural, F.lit(1.0))) / F.when(spaces > 0, spaces).otherwise(gaps)),
+        "distribute": F.when(n < 1, none).otherwise(slack / F.greatest(n, F.lit(1))),
+        "divide": F.when(n < 2, none).otherwise(slack / gaps),
+    }.get(kind, none)
+    if kind not in ALIGNMENTS:
+        raise ValueError(f"unknown alignment {kind}")
+    return lines.select("doc_id", "para_idx", "line", F.round(shift, 6).alias("shift"), F.round(share, 6).alias("gain"))
+
+
+def page_body(blocks: DataFrame, key: str, tags: dict[int, str], other: str = "p") -> DataFrame:
+    """One HTML body a document of its paragraphs (para_idx, text) in order, and the first one's text as title."""
+    tag = F.lit(other)
+    for i, name in tags.items():
+        tag = F.when(F.col("para_idx") == i, name).otherwise(tag)
+    block = F.concat(F.lit("<"), tag, F.lit(">"), escape_xml(F.col("text")), F.lit("</"), tag, F.lit(">"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", block.alias("b")))), lambda x: x["b"]), "")
+    return blocks.groupBy(key).agg(F.concat(F.lit("<body>"), body, F.lit("</body>")).alias("html"), F.min_by("text", "para_idx").alias("title"))
+
+
+def table_rows(rows: DataFrame, per_page: int, header: int) -> DataFrame:
+    """page and y of a table's rows (table_id, row_idx, height): header rows stand on every page, a row that does not fit begins a page.
+
+    One fold a table; a row higher than a page has one of its own. repeated marks header rows of later pages.
+    """
+    listed = F.array_sort(F.collect_list(F.struct(F.col("row_idx").cast("long").alias("row_idx"), F.col("height").cast("long").alias("height"))))
+    per = rows.groupBy("table_id").agg(listed.alias("_r"))
+    heads, body = F.filter("_r", lambda r: r["row_idx"] < header), F.filter("_r", lambda r: r["row_idx"] >= header)
+    high = F.aggregate(heads, F.lit(0).cast("long"), lambda s, r: s + r["height"])
+    begun = F.struct(F.lit(0).cast("long").alias("page"), F.col("_h").alias("used"), F.lit(False).alias("any"), F.array().cast("array<struct<row_idx: bigint, page: bigint, y: bigint>>").alias("out"))
+
+    def step(acc, r):
+        over = acc["any"] & (acc["used"] + r["height"] > per_page)
+        page, y = acc["page"] + F.when(over, F.lit(1)).otherwise(0), F.when(over, F.col("_h")).otherwise(acc["used"])
+        return F.struct(page.cast("long").alias("page"), (y + r["height"]).alias("used"), F.lit(True).alias("any"), F.concat(acc["out"], F.array(F.struct(r["row_idx"].alias("row_idx"), page.cast("long").alias("page"), y.alias("y")))).alias("out"))
+
+    placed = per.withColumn("_h", high).withColumn("_o", F.aggregate(body, begun, step)["out"])
+    pages = F.sequence(F.lit(0).cast("long"), F.coalesce(F.array_max(F.transform("_o", lambda o: o["page"])), F.lit(0).cast("long")))
+    tops = F.transform(heads, lambda r, i: F.struct(r["row_idx"].alias("row_idx"), F.aggregate(F.slice(heads, F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x["height"]).alias("y")))
+    repeated = F.flatten(F.transform(pages, lambda p: F.transform(tops, lambda t: F.struct(t["row_idx"].alias("row_idx"), p.alias("page"), t["y"].alias("y")))))
+    out = placed.select("table_id", F.explode(F.concat(repeated, "_o")).alias("x")).select("table_id", "x.*")
+    return out.withColumn("repeated", (F.col("row_idx") < header) & (F.col("page") > 0))

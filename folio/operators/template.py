@@ -28,7 +28,7 @@ def json_type(json: Column, path: str) -> Column:
 
 
 def validate(values: DataFrame, variables: list[dict]) -> DataFrame:
-    """Issues of each row's JSON `data` against variables (name, type, required, default, min, max, pattern): key, name, code."""
+    """Issues of each row's JSON `data` against variables (name, type, required, default, min, max, pattern, min_length, max_length, values): key, name, code."""
     checks = []
     for v in variables:
         path, name = f"$.{v['name']}", v["name"]
@@ -42,6 +42,11 @@ def validate(values: DataFrame, variables: list[dict]) -> DataFrame:
             code = code.when(number > v["max"], "above_maximum") if "max" in v else code
         if v["type"] in ("string", "enum") and "pattern" in v:
             code = code.when(~F.try_variant_get(parsed, path, "string").rlike(v["pattern"]), "pattern_mismatch")
+        if v["type"] in ("string", "enum"):
+            size = F.length(F.try_variant_get(parsed, path, "string"))
+            code = code.when(size < v["min_length"], "too_short") if "min_length" in v else code
+            code = code.when(size > v["max_length"], "too_long") if "max_length" in v else code
+            code = code.when(~F.try_variant_get(parsed, path, "string").isin(v["values"]), "not_a_value") if "values" in v else code
         checks.append(F.struct(F.lit(name).alias("name"), code.alias("code")))
     return values.select("key", F.explode(F.array(*checks)).alias("i")).select("key", "i.*").where("code is not null")
 
@@ -125,3 +130,95 @@ def effects(before: DataFrame, after: DataFrame) -> DataFrame:
     signed = before.select("doc_id", "text", F.lit(-1).alias("d")).unionByName(after.select("doc_id", "text", F.lit(1).alias("d")))
     net = signed.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.sum("d").alias("n"))
     return net.groupBy("doc_id").agg(F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("gone"), F.sum(F.greatest("n", F.lit(0))).alias("new"))
+
+
+# Keys of a document whose values a binding may give.
+BINDING_TARGETS = [
+    "text", "value", "title", "author", "subject", "keywords", "description", "script", "width_mm", "height_mm", "margin_left_mm", "margin_right_mm", "margin_top_mm", "margin_bottom_mm",
+    "margin_header_mm", "margin_footer_mm", "gutter_mm", "font_size_pt", "bold", "italic", "underline", "strike", "color", "background", "spacing_before_pt", "spacing_after_pt",
+    "line_height_percent", "keep_with_next", "start",
+]
+#: Nodes and bytes of an expansion, rounds of one, and items of a list.
+LIMITS = {"nodes": 250_000, "bytes": 16 << 20, "iterations": 100_000, "items": 10_000}
+
+
+def scalar_text(value: Column) -> Column:
+    """The text of a JSON scalar, a VARIANT: strings as they are, numbers and booleans as written; null for other values."""
+    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN"), F.to_json(value))
+
+
+def splice(blocks: DataFrame, rich: DataFrame, key: str) -> DataFrame:
+    """Blocks (key, ord, text, slot) where one whose slot names a value gives way to that value's blocks (key, slot, k, text), none of which may be there.
+
+    Order is numbered anew; blocks without a slot stay.
+    """
+    held = rich.groupBy(key, "slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("_rich"))
+    met = blocks.join(held, [key, "slot"], "left")
+    own = F.when(F.col("slot").isNull(), F.array("text")).otherwise(F.coalesce("_rich", F.array().cast("array<string>")))
+    each = met.select(key, "ord", F.posexplode(own).alias("_k", "text"))
+    return each.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("ord", "_k")) - 1).cast("long").alias("ord"), "text")
+
+
+def budget_issues(expanded: DataFrame, items: DataFrame, key: str, limits: dict[str, int] = LIMITS) -> DataFrame:
+    """key, code, used for each limit that an expansion (key, text) or its lists (key) break; nothing is cut, the expansion is refused."""
+    nodes = expanded.groupBy(key).agg(F.count("*").alias("nodes"), F.sum(F.octet_length("text")).alias("bytes"))
+    rounds = items.groupBy(key).agg(F.count("*").alias("items"))
+    used = nodes.join(rounds, key, "full")
+    broken = F.array_compact(F.array(*(F.when(F.coalesce(n, F.lit(0)) > limits[n], F.struct(F.lit(f"{n}_exceeded").alias("code"), F.col(n).alias("used"))) for n in ("nodes", "bytes", "items"))))
+    return used.select(key, F.explode(broken).alias("i")).select(key, "i.*")
+
+
+def binding_issues(nodes: DataFrame) -> DataFrame:
+    """pointer and code of bindings (pointer, node, region) that are not safe: a value may stand only under a key of BINDING_TARGETS or as a block, if and each only
+    as a block or a row, and no part of a pointer above may be bound."""
+    parts = F.split("pointer", "/")
+    last, before = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2))
+    listed = last.rlike("^[0-9]+$")
+    blocks = before.isin("blocks") | (before.isin("default", "first", "odd", "even") & F.try_element_at(parts, F.lit(-3)).isin("header", "footer"))
+    rows = before == "rows"
+    code = (
+        F.when((F.col("node") == "value") & ~(last.isin(BINDING_TARGETS) | (listed & blocks)), "binding_target")
+        .when(F.col("node").isin("if", "each") & ~(listed & (blocks | rows)), "control_context").when(~F.col("node").isin("value", "if", "each"), "unknown_node")
+    )
+    return nodes.select("pointer", code.alias("code")).where("code is not null")
+
+
+def missing_values(paras: DataFrame, values: dict[str, str]) -> DataFrame:
+    """doc_id, name of each {{name}} that no value fills, and of each value that no text names (doc_id null)."""
+    named = paras.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\{\{\s*([^{}]+?)\s*\}\}"), 1)).alias("name")).distinct()
+    given = paras.sparkSession.createDataFrame([(k,) for k in values], "name string")
+    unfilled = named.join(F.broadcast(given), "name", "left_anti").select("doc_id", "name")
+    unused = F.broadcast(given).join(named.select("name").distinct(), "name", "left_anti").select(F.lit(None).cast(paras.schema["doc_id"].dataType).alias("doc_id"), "name")
+    return unfilled.unionByName(unused)
+
+
+def fill_all(paras: DataFrame, values: dict[str, str], partial: bool = False) -> DataFrame:
+    """Every {{name}} filled in one pass, so that a value is never filled again; a name without a value, or a value without a name, raises unless partial."""
+    if not partial and (found := missing_values(paras, values).limit(3).collect()):
+        raise ValueError(f"not filled: {found}")
+    if not values:
+        return paras
+    names = "|".join(re.escape(k) for k in sorted(values, key=len, reverse=True))
+    pattern = r"\{\{\s*(?:" + names + r")\s*\}\}"
+    found = F.regexp_extract_all("text", F.lit(pattern), 0)
+    table = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+    pieces = F.split("text", pattern, -1)
+    put = lambda slot: table[F.trim(F.substring(slot, F.lit(3), F.length(slot) - 4))]
+    joined = F.array_join(F.zip_with(pieces, F.transform(found, put), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return paras.withColumn("text", F.when(F.size(found) > 0, joined).otherwise(F.col("text")))
+
+
+def grid_issues(rows: DataFrame, table: str, cells: str, most: int) -> DataFrame:
+    """Codes of tables whose rows (table, number of cells) differ in length or are too many."""
+    per = rows.groupBy(table).agg(F.max(cells).alias("w"), F.min(cells).alias("n"), F.count("*").alias("rows"))
+    codes = F.array_compact(F.array(F.when(F.col("w") != F.col("n"), "ragged_rows"), F.when(F.col("rows") > most, "too_many_rows")))
+    return per.select(table, F.explode(codes).alias("code"))
+
+
+def certify(facts: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """Number of rules, of those that failed, and the status of each row of facts; a rule without a verdict has failed."""
+    rule = lambda name, ok: F.struct(F.lit(name).alias("id"), F.when(F.coalesce(ok, F.lit(False)), "passed").otherwise("failed").alias("status"))
+    out = facts.withColumn("rules", F.array(*(rule(*x) for x in rules.items())))
+    failed = F.size(F.filter("rules", lambda r: r["status"] == "failed")).cast("long")
+    return out.select(key, F.size("rules").cast("long").alias("rules"), failed.alias("failed"), F.when(failed > 0, "failed").otherwise("passed").alias("status"))

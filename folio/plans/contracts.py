@@ -78,18 +78,28 @@ def corpus_gate(spark, sf):
 def delete_objects(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
     chosen = events.where("event_type = 'error'").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    return events.join(chosen, ["user_id", "event_id"], "left_anti").select("event_id", "user_id", "event_type")
+    return op.delete_objects(events, chosen, ["user_id", "event_id"])
 
 
 @query("fill_tables", "select o_custkey as table_id, 2 + row_number() over (partition by o_custkey order by o_orderkey) - 1 as row_idx, o_orderstatus as c0, cast(o_orderkey as varchar) as c1, greatest(0, 2 + count(*) over (partition by o_custkey) - 5) as grown from orders")
 def fill_tables(spark, sf):
     """Data rows from row 2 of tables of five rows; tables grow by what does not fit."""
-    data = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("rows"))
-    each = data.select(F.col("o_custkey").alias("table_id"), F.greatest(F.lit(0), 2 + F.size("rows") - 5).cast("long").alias("grown"), F.posexplode("rows").alias("k", "r"))
-    return each.select("table_id", (2 + F.col("k")).cast("long").alias("row_idx"), F.col("r.o_orderstatus").alias("c0"), F.col("r.o_orderkey").cast("string").alias("c1"), "grown")
+    from ..operators import grid
+
+    return grid.fill_rows(table(spark, sf, "orders"), "o_custkey", ["o_orderkey"], ["o_orderstatus", "o_orderkey"], 2, 5)
 
 
 @query("document_info", "select source, count(*) as documents, list(distinct lang order by lang) as langs, max(n_chars) as longest, arg_max(doc_id, n_chars * 1000000 - doc_id) as longest_id from documents group by 1")
 def document_info(spark, sf):
-    longest = F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id")))
-    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.array_sort(F.collect_set("lang")).alias("langs"), F.max("n_chars").alias("longest"), longest.alias("longest_id"))
+    return op.document_info(table(spark, sf, "documents"), "source", "lang", "n_chars", "doc_id")
+
+
+@query("edit_grammars", """select p_partkey, case when p_size % 2 = 0 then concat('a:', p_brand) end as find, case when p_size % 2 = 0 then cast(p_size as varchar) end as bold, case when p_size % 3 = 0 then concat('dir/', p_brand, '.png') else concat('dir/x@', p_size, 'by2.png') end as path,
+case when p_size % 3 = 0 then p_size * 1.0::double end as width, case when p_size % 3 = 0 then 2.5::double end as height, case when p_size % 5 <> 0 then p_size end as table_id, case when p_size % 5 = 1 then 'keep' when p_size % 5 <> 0 then 'blank' end as mode from part""")
+def edit_grammars(spark, sf):
+    s = F.col("p_size")
+    form = F.when(s % 2 == 0, F.concat(F.lit("a:"), "p_brand", F.lit(":bold="), s, F.lit(",size=3"))).otherwise("no properties")
+    image = F.when(s % 3 == 0, F.concat(F.lit("dir/"), "p_brand", F.lit(".png@"), s, F.lit(" x 2.5"))).otherwise(F.concat(F.lit("dir/x@"), s, F.lit("by2.png")))
+    clone = F.concat(s, F.when(s % 5 == 0, F.lit("=> ")).otherwise(F.lit(" => spot")), F.when(s % 5 == 1, F.lit("=>keep")).otherwise(F.lit("")))
+    rows = table(spark, sf, "part").select("p_partkey", op.parse_char_format(form).alias("f"), op.parse_image_size(image).alias("i"), op.parse_clone_table(clone).alias("c"))
+    return rows.select("p_partkey", "f.find", F.col("f.props")["bold"].alias("bold"), "i.path", "i.width", "i.height", "c.table_id", "c.mode")

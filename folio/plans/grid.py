@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import grid as op
-from .registry import cells, query
+from .registry import cells, query, table
 
 C = ("cells",)
 _SPLIT = "s as (select table_id, row_idx, c as col_idx, case when c = col_idx then text else '' end as text from cells, unnest(range(col_idx, col_idx + col_span)) as t(c))"
@@ -107,3 +108,20 @@ def row_major_sort(spark, sf):
 def pivot_rows(spark, sf):
     wide = cells(spark, sf).groupBy("table_id", "row_idx").pivot("col_idx", [0, 1, 2, 3]).agg(F.max("text"))
     return wide.toDF("table_id", "row_idx", "c0", "c1", "c2", "c3")
+
+
+@query("add_table", "select o_custkey as table_id, r as row_idx, c as col_idx, 1 as row_span, 1 as col_span, 42520 // w as width, case when c = 0 then cast(o_orderkey as varchar) when c <= o_orderkey % 3 then concat(o_orderstatus, c) else '' end as text from (select *, unnest(range(0, w)) as c from (select *, 1 + max(o_orderkey % 3) over (partition by o_custkey) as w, row_number() over (partition by o_custkey order by o_orderkey) - 1 as r from orders))")
+def add_table(spark, sf):
+    """Orders as ragged rows of one to three texts, customers as tables."""
+    place = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long")
+    more = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.when(i <= F.col("o_orderkey") % 3, F.concat("o_orderstatus", i)))
+    texts = F.concat(F.array(F.col("o_orderkey").cast("string")), F.array_compact(more))
+    return op.add_tables(table(spark, sf, "orders").select(F.col("o_custkey").alias("table_id"), place.alias("row_idx"), texts.alias("texts")))
+
+
+@query("row_heights")
+def row_heights(spark, sf):
+    """Heights by the length of texts, every third cell over two rows; held by a test against a plain fold."""
+    c = cells(spark, sf).withColumn("row_span", F.when((F.col("row_idx") + F.col("col_idx")) % 3 == 0, 2).otherwise(1)).withColumn("height", F.length("text") * 100)
+    rows = c.withColumn("n_rows", F.max("row_idx").over(Window.partitionBy("table_id")) + 1)
+    return op.extents(rows, "row_idx", "row_span", "height", "n_rows").select("table_id", F.col("idx").alias("row_idx"), F.col("extent").alias("height"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import layout as op
@@ -113,19 +114,39 @@ def preset_aliases(spark, sf):
 @query("html_document", """select doc_id, concat('<body>', string_agg(case when para_idx = 0 then concat('<h1>', e, '</h1>') else concat('<p>', e, '</p>') end, '' order by para_idx), '</body>') as html, arg_min(text, para_idx) as title
 from (select doc_id, para_idx, text, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as e from paras) group by doc_id""", ("paras",))
 def html_document(spark, sf):
-    from ..functions.text import escape_xml
-
-    e = escape_xml(F.col("text"))
-    block = F.when(F.col("para_idx") == 0, F.concat(F.lit("<h1>"), e, F.lit("</h1>"))).otherwise(F.concat(F.lit("<p>"), e, F.lit("</p>")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", block.alias("b")))), lambda x: x["b"]), "")
-    return paras(spark, sf).groupBy("doc_id").agg(F.concat(F.lit("<body>"), body, F.lit("</body>")).alias("html"), F.min_by("text", "para_idx").alias("title"))
+    return op.page_body(paras(spark, sf), "doc_id", {0: "h1"})
 
 
 @query("list_items", """select conv_id as doc_id, turn as ord, concat(repeat('  ', cast(length(text) % 3 as int)), case when role = 'user' then concat(turn + 1, '. ') else '- ' end, text) as line, coalesce(lag(role) over (partition by conv_id order by turn) <> role, false) as breaks from conversations""")
 def list_items(spark, sf):
-    from pyspark.sql import Window
-
     marker = F.when(F.col("role") == "user", F.concat(F.col("turn") + 1, F.lit(". "))).otherwise("- ")
     line = F.concat(F.repeat(F.lit("  "), (F.length("text") % 3).cast("int")), marker, "text")
     before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
     return table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), line.alias("line"), F.coalesce(before != F.col("role"), F.lit(False)).alias("breaks"))
+
+
+@query("align_modes", """with l as (select conv_id as doc_id, turn as para_idx, i as line, substr(text, i * 30 + 1, 30) as text, i = (greatest(length(text), 1) - 1) // 30 as last from conversations, unnest(range(0, (greatest(length(text), 1) - 1) // 30 + 1)) as t(i)),
+m as (select *, length(text) as n, greatest(40.0::double - length(text), 0) as slack, length(rtrim(text, ' ')) as visible, length(rtrim(text, ' ')) - length(replace(rtrim(text, ' '), ' ', '')) as spaces from l)
+select doc_id, para_idx, line, round(slack, 6) as right, round(slack / 2, 6) as center, case when last or n < 2 then 0 else round(least(slack, greatest(n, 1)) / case when spaces > 0 then spaces else greatest(visible - 1, 1) end, 6) end as justify,
+case when n < 1 then 0 else round(slack / greatest(n, 1), 6) end as distribute, case when n < 2 then 0 else round(slack / greatest(visible - 1, 1), 6) end as divide from m""")
+def align_modes(spark, sf):
+    rows = op.lines(table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("para_idx"), "text"), 30)
+    keys = ["doc_id", "para_idx", "line"]
+    made = [op.align(rows, k, 40.0).select(*keys, F.col("shift" if k in ("right", "center") else "gain").alias(k)) for k in ("right", "center", "justify", "distribute", "divide")]
+    out = made[0]
+    for m in made[1:]:
+        out = out.join(m, keys)
+    return out
+
+
+@query("wrap_words")
+def wrap_words(spark, sf):
+    """Held by a test against a loop over words."""
+    return op.wrap_words(paras(spark, sf), 40)
+
+
+@query("table_pages")
+def table_pages(spark, sf):
+    """Orders as tables with a header row on each page; held by a test against a loop over rows."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("table_id"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")) - 1).alias("row_idx"), (1 + F.col("l_partkey") % 4).alias("height"))
+    return op.table_rows(rows, 8, 1)

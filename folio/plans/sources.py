@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_xml
-from ..sources import frames, markup
-from .registry import paras, query, table
+from ..sources import frames, markup, records
+from .registry import cells, paras, query, table
 
 _TEXTS = "select doc_id, para_idx, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') as text from paras"
 
@@ -109,3 +110,44 @@ def para_text_decode(spark, sf):
     found = frames.decode_texts(table(spark, sf, "conversations").select("conv_id", "turn", body.alias("data")), "data")
     last = F.element_at("elements", -1)["at"] + 1
     return found.select("conv_id", "turn", F.size("elements").cast("long").alias("elements"), last.cast("long").alias("units"), F.size(F.filter("elements", lambda e: e["kind"] == "inline")).cast("long").alias("inline"))
+
+
+@query("record_dump", """select doc_id, unnest([para_idx * 2, para_idx * 2 + 1]) as idx, unnest(['PARA_HEADER', 'PARA_TEXT']) as name, unnest([2, 1]) as nodes, unnest([44, 4 * length(text) + 4]) as digits from paras""", ("paras",))
+def record_dump(spark, sf):
+    body = frames.streams(frames.to_files(paras(spark, sf), "hwp5")).select("doc_id", F.filter("streams", lambda s: s["name"] == "/BodyText/Section0")[0]["data"].alias("data"))
+    return frames.dump(body, "data").select("doc_id", "idx", "name", "nodes", F.length("payload").alias("digits"))
+
+
+@query("record_rewrite", "select doc_id, doc_id % 4 <> 0 as same, case when doc_id % 4 = 0 then 1 else 0 end as errors from documents")
+def record_rewrite(spark, sf):
+    """Streams read as forests and written again; every fourth one is cut off."""
+    k = F.col("doc_id") % 4
+    body = frames.streams(frames.to_files(paras(spark, sf), "hwp5")).select("doc_id", F.filter("streams", lambda s: s["name"] == "/BodyText/Section0")[0]["data"].alias("data"))
+    given = body.withColumn("kept", F.when(k == 0, F.unhex(F.lit("FFFF"))).otherwise(F.col("data")))
+    again = frames.rewrite_records(given.withColumn("data", F.col("kept")), "data").select("doc_id", "stream", "error")
+    plain = frames.map_column(body, lambda rows: pa.array([records.inflate(x) for x in rows], pa.binary()), "data", "plain", "binary").select("doc_id", "plain")
+    met = again.join(plain, "doc_id")
+    return met.select("doc_id", F.coalesce(F.col("stream") == F.col("plain"), F.lit(False)).alias("same"), F.when(F.col("error").isNotNull(), 1).otherwise(0).alias("errors"))
+
+
+@query("table_records", "select table_id, 0 as table, row_idx, col_idx, row_span, col_span, 1000 * col_span as width, 500 as height, text from cells", ("cells",))
+def table_records(spark, sf):
+    """Tables written as records of body streams and read again, spans and sizes included."""
+    return frames.read_cells(frames.table_streams(cells(spark, sf)), "content").drop("error")
+
+
+@query("header_gate", "select doc_id, case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then '5.0.3.0' else '5.0.3.0' end as version, case when doc_id % 3 = 1 then 'compressed' when doc_id % 3 = 2 then 'compressed,distribution' end as flags, case when doc_id % 3 = 0 then null else true end as readable, case when doc_id % 3 = 0 then 1 else 0 end as errors from documents")
+def header_gate(spark, sf):
+    """Plain and distribution files, and packages, which have no such header."""
+    docs, k = paras(spark, sf), F.col("doc_id") % 3
+    files = frames.to_files(docs.where(k == 1), "hwp5").unionByName(frames.to_files(docs.where(k == 2), "distribution")).unionByName(frames.to_files(docs.where(k == 0), "hwpx"))
+    return frames.gate(files).select("doc_id", "version", F.array_join("flags", ",").alias("flags"), "readable", F.when(F.col("error").isNotNull(), 1).otherwise(0).alias("errors"))
+
+
+@query("preview_text", "select conv_id, turn, text from conversations")
+def preview_text(spark, sf):
+    """Previews as UTF-16 with and without a mark, and as UTF-8."""
+    k, t = F.col("turn") % 3, F.col("text")
+    raw = F.when(k == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(t, "UTF-16LE"))).when(k == 1, F.encode(t, "UTF-16LE")).otherwise(F.encode(t, "UTF-8"))
+    docs = table(spark, sf, "conversations").select("conv_id", "turn", raw.alias("raw"))
+    return docs.select("conv_id", "turn", frames.previews(docs, "raw").alias("text"))

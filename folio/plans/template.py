@@ -81,19 +81,14 @@ def certify(spark, sf):
     """Rules of all documents at once: one aggregate, one lookup, rules as an array of structs."""
     stats = paras(spark, sf).groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.count_if(F.col("text").contains("http")).alias("links"))
     facts = stats.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    rule = lambda name, ok: F.struct(F.lit(name).alias("id"), F.when(F.coalesce(ok, F.lit(False)), "passed").otherwise("failed").alias("status"))
-    rules = facts.withColumn("rules", F.array(rule("structure", F.col("paragraphs") >= 2), rule("links", F.col("links") == 0), rule("quality", F.col("quality") == 1)))
-    failed = F.size(F.filter("rules", lambda r: r["status"] == "failed")).cast("long")
-    return rules.select("doc_id", F.size("rules").cast("long").alias("rules"), failed.alias("failed"), F.when(failed > 0, "failed").otherwise("passed").alias("status"))
+    return op.certify(facts, "doc_id", {"structure": F.col("paragraphs") >= 2, "links": F.col("links") == 0, "quality": F.col("quality") == 1})
 
 
 @query("spec_issues", """with b as (select l_orderkey as table_id, l_linenumber as row_idx, count(*) as cells from lineitem group by all), t as (select table_id, max(cells) as widest, min(cells) as narrowest, count(*) as n_rows from b group by 1)
 select table_id, 'ragged_rows' as code from t where widest <> narrowest union all select table_id, 'too_many_rows' from t where n_rows > 5""")
 def spec_issues(spark, sf):
     rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("table_id"), "l_linenumber").agg(F.count("*").alias("cells"))
-    per = rows.groupBy("table_id").agg(F.max("cells").alias("w"), F.min("cells").alias("n"), F.count("*").alias("rows"))
-    codes = F.array_compact(F.array(F.when(F.col("w") != F.col("n"), "ragged_rows"), F.when(F.col("rows") > 5, "too_many_rows")))
-    return per.select("table_id", F.explode(codes).alias("code"))
+    return op.grid_issues(rows, "table_id", "cells", 5)
 
 
 @query("windows_tumbling", "select time_bucket(interval '10 minutes', ts) as start, event_type, count(*) as n from events group by all")
@@ -109,3 +104,54 @@ def windows_session(spark, sf):
     from ..streaming.folds import sessions
 
     return sessions(table(spark, sf, "events"), "30 minutes").select("user_id", "start", "n")
+
+
+@query("string_issues", "select event_id as key, 'name' as name, case when length(event_type) < 5 then 'too_short' when length(event_type) > 7 then 'too_long' end as code from events where length(event_type) not between 5 and 7 union all select event_id, 'kind', 'not_a_value' from events where event_type not in ('view', 'click')")
+def string_issues(spark, sf):
+    data = table(spark, sf, "events").select(F.col("event_id").alias("key"), F.to_json(F.struct(F.col("event_type").alias("name"), F.col("event_type").alias("kind"))).alias("data"))
+    return op.validate(data, [{"name": "name", "type": "string", "min_length": 5, "max_length": 7}, {"name": "kind", "type": "enum", "values": ["view", "click"]}])
+
+
+@query("scalar_text", "select event_id, case event_id % 4 when 0 then event_type when 1 then cast(event_id as varchar) when 2 then 'true' end as text from events")
+def scalar_text(spark, sf):
+    e = F.col("event_id") % 4
+    json = F.when(e == 0, F.concat(F.lit('{"v": "'), "event_type", F.lit('"}'))).when(e == 1, F.concat(F.lit('{"v": '), "event_id", F.lit("}"))).when(e == 2, '{"v": true}').otherwise('{"v": [1]}')
+    return table(spark, sf, "events").select("event_id", op.scalar_text(F.variant_get(F.parse_json(json), "$.v", "variant")).alias("text"))
+
+
+@query("rich_blocks", """with b as (select doc_id, para_idx * 10 as ord, text from paras where para_idx % 3 <> 1 union all select q.doc_id, q.para_idx * 10 + k, concat(k, text) from (select doc_id, para_idx, text, unnest(range(0, para_idx % 4)) as k from paras where para_idx % 3 = 1) q)
+select doc_id, row_number() over (partition by doc_id order by ord) - 1 as ord, text from b""", ("paras",))
+def rich_blocks(spark, sf):
+    """Every third paragraph is a slot for none to three blocks."""
+    p, i = paras(spark, sf), F.col("para_idx")
+    blocks = p.select("doc_id", i.alias("ord"), "text", F.when(i % 3 == 1, F.concat(F.lit("s"), i)).alias("slot"))
+    rich = p.where(i % 3 == 1).select("doc_id", F.concat(F.lit("s"), i).alias("slot"), "text", F.explode(F.sequence(F.lit(0), (i % 4).cast("int"))).alias("k")).where((F.col("k") < F.regexp_extract("slot", "[0-9]+", 0).cast("int") % 4))
+    return op.splice(blocks, rich.withColumn("text", F.concat("k", "text")), "doc_id")
+
+
+@query("expansion_budgets", """with n as (select doc_id, count(*) as nodes, cast(sum(octet_length(encode(text))) as bigint) as bytes from paras group by 1) select doc_id, 'nodes_exceeded' as code, nodes as used from n where nodes > 12 union all select doc_id, 'bytes_exceeded', bytes from n where bytes > 2000 union all select doc_id, 'items_exceeded', nodes from n where nodes > 30""", ("paras",))
+def expansion_budgets(spark, sf):
+    p = paras(spark, sf).select("doc_id", "text")
+    return op.budget_issues(p, p.select("doc_id"), "doc_id", {"nodes": 12, "bytes": 2000, "items": 30})
+
+
+@query("binding_safety", """with n as (select event_id, concat('/sections/0/', case event_id % 6 when 0 then 'blocks/3/text' when 1 then 'blocks/3' when 2 then 'id' when 3 then 'blocks/2/rows/1' when 4 then 'header/odd/0' else 'styles/0' end, '?', event_id) as pointer, list_extract(['value', 'if', 'each', 'other'], cast(event_id // 6 % 4 + 1 as int)) as node from events)
+select pointer, code from (select split_part(pointer, '?', 1) as pointer, case when node = 'value' and event_id % 6 in (2, 3, 5) then 'binding_target' when node in ('if', 'each') and event_id % 6 in (0, 2, 5) then 'control_context' when node = 'other' then 'unknown_node' end as code from n) where code is not null""")
+def binding_safety(spark, sf):
+    e = F.col("event_id")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    pointer = F.concat(F.lit("/sections/0/"), pick(["blocks/3/text", "blocks/3", "id", "blocks/2/rows/1", "header/odd/0", "styles/0"], e % 6))
+    return op.binding_issues(table(spark, sf, "events").select(pointer.alias("pointer"), pick(["value", "if", "each", "other"], F.floor(e / 6) % 4).alias("node")))
+
+
+@query("fill_all", "select doc_id, para_idx, case when para_idx % 2 = 0 then concat('{{b}} or ', text, ' {{c}}') else text end as text from paras", ("paras",))
+def fill_all(spark, sf):
+    """A value that looks like a name stays as it is; names without a value stay, as this fill is partial."""
+    text = F.when(F.col("para_idx") % 2 == 0, F.concat(F.lit("{{ a }}"), "text", F.lit(" {{c}}"))).otherwise(F.col("text"))
+    return op.fill_all(paras(spark, sf).withColumn("text", text), {"a": "{{b}} or ", "b": "never"}, partial=True)
+
+
+@query("missing_values", "select distinct doc_id, 'c' as name from paras where para_idx % 2 = 1 union all select null, 'b'", ("paras",))
+def missing_values(spark, sf):
+    text = F.when(F.col("para_idx") % 2 == 1, F.lit("{{a}} {{ c }}")).otherwise(F.regexp_replace("text", "[{}]", ""))
+    return op.missing_values(paras(spark, sf).withColumn("text", text), {"a": "1", "b": "2"})

@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import importable
@@ -168,3 +168,85 @@ def decode_texts(df: DataFrame, column: str) -> DataFrame:
         return pa.array([[dict(zip(("at", "kind", "code", "ch"), e, strict=True)) for e in records.decode_text(x or b"")] for x in rows], kind)
 
     return map_column(df, read, column, "elements", "array<struct<at: int, kind: string, code: int, ch: string>>").drop(column)
+
+
+def dump(df: DataFrame, column: str) -> DataFrame:
+    """Records as rows with their tags' names, payloads in hex, and how many records each one is the root of."""
+    found = scan_payloads(df, column)
+    names = F.create_map(*(F.lit(x) for kv in records.TAG_NAMES.items() for x in kv))
+    each = found.select(*[c for c in df.columns if c != column], "error", F.explode_outer("records").alias("r"))
+    return each.select(*[c for c in df.columns if c != column], "error", "r.idx", "r.tag", F.coalesce(names[F.col("r.tag")], F.concat(F.lit("TAG_"), "r.tag")).alias("name"), "r.level", "r.nodes", F.hex("r.data").alias("payload"))
+
+
+def scan_payloads(df: DataFrame, column: str) -> DataFrame:
+    kind = pa.list_(pa.struct([("idx", pa.int32()), ("tag", pa.int32()), ("level", pa.int32()), ("nodes", pa.int32()), ("data", pa.binary())]))
+
+    def read(data: bytes) -> list:
+        found = records.scan(records.inflate(data))
+        nodes = records.count_under(records.parents([r[2] for r in found]))
+        return [{"idx": i, "tag": t, "level": v, "nodes": n, "data": p} for (i, t, v, p, _), n in zip(found, nodes, strict=True)]
+
+    return _guarded(df, read, column, "records", kind, "array<struct<idx: int, tag: int, level: int, nodes: int, data: binary>>")
+
+
+def rewrite_records(df: DataFrame, column: str) -> DataFrame:
+    """A body stream read as a forest of records and written again, levels from depths: what was well formed has the same bytes."""
+
+    def again(data: bytes) -> bytes:
+        found = records.scan(records.inflate(data), strict=True)
+        up = records.parents([r[2] for r in found])
+        return records.serialize([(q, t, p) for (_, t, _, p, _), q in zip(found, up, strict=True)])
+
+    return _guarded(df, again, column, "stream", pa.binary(), "binary")
+
+
+def table_streams(cells: DataFrame) -> DataFrame:
+    """table_id, content: each table's cells (row_idx, col_idx, row_span, col_span, text) as records of a body stream."""
+    one = cells.groupBy("table_id", "row_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "text", "row_span", "col_span"))), lambda x: F.struct(x["text"].alias("t"), x["row_span"].alias("r"), x["col_span"].alias("c"))).alias("line"))
+    per = one.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "line"))), lambda x: x["line"]).alias("rows"))
+
+    def write(tables: list) -> pa.Array:
+        return pa.array([records.deflate(b"".join(records.encode_record(tag, level, data) for level, tag, data in records.write_table([[(x["t"], x["r"], x["c"]) for x in row] for row in rows]))) for rows in tables], pa.binary())
+
+    return map_column(per, write, "rows", "content", "binary").drop("rows")
+
+
+def read_cells(streams_: DataFrame, column: str) -> DataFrame:
+    """Cells of the tables in body streams: table (its place in the stream), row_idx, col_idx, spans, size and text; broken streams have an error."""
+    kind = pa.list_(pa.struct([("table", pa.int32()), ("row_idx", pa.int64()), ("col_idx", pa.int64()), ("row_span", pa.int32()), ("col_span", pa.int32()), ("width", pa.int64()), ("height", pa.int64()), ("text", pa.string())]))
+
+    def read(data: bytes) -> list:
+        names = ("row", "col", "row_span", "col_span", "width", "height")
+        return [dict(zip(("row_idx", "col_idx", *names[2:]), (c[n] for n in names), strict=True)) | {"table": i, "text": "\n".join(c["paragraphs"])} for i, t in enumerate(records.read_tables(records.inflate(data))) for c in t["cells"]]
+
+    found = _guarded(streams_, read, column, "cells", kind, "array<struct<table: int, row_idx: bigint, col_idx: bigint, row_span: int, col_span: int, width: bigint, height: bigint, text: string>>")
+    keys = [c for c in streams_.columns if c != column]
+    return found.select(*keys, "error", F.explode_outer("cells").alias("c")).select(*keys, "error", "c.*")
+
+
+def gate(files: DataFrame) -> DataFrame:
+    """Header facts of compound files: version, the flags that are set, and whether a body can be read; others have an error."""
+    kind = pa.struct([("version", pa.string()), ("flags", pa.list_(pa.string())), ("readable", pa.bool_())])
+
+    def read(data: bytes) -> dict:
+        head = compound.read_streams(data).get("/FileHeader", b"")
+        if len(head) < 40 or not head.startswith(b"HWP Document File"):
+            raise compound.CompoundError("no file header")
+        bits = int.from_bytes(head[36:40], "little")
+        flags = [name for i, name in FLAGS.items() if bits >> i & 1]
+        return {"version": ".".join(str(x) for x in reversed(head[32:36])), "flags": flags, "readable": not bits & 0x112 and head[35] == 5}
+
+    found = _guarded(files, read, "content", "head", kind, "struct<version: string, flags: array<string>, readable: boolean>")
+    return found.select(*[c for c in files.columns if c != "content"], "head.*", "error")
+
+
+# Bits of the file header.
+FLAGS = {0: "compressed", 1: "encrypted", 2: "distribution", 3: "script", 4: "drm", 5: "xml_template", 6: "history", 7: "signed", 8: "certificate_encrypted", 9: "signature_spare", 10: "certificate_drm", 11: "ccl"}
+
+
+def previews(df: DataFrame, column: str) -> Column:
+    """The text of a preview stream: UTF-16 with or without its mark, or UTF-8; no body is parsed."""
+    raw = F.col(column)
+    marked = F.hex(F.substring(raw, 1, 2)) == "FFFE"
+    wide = (F.octet_length(raw) % 2 == 0) & (marked | (F.hex(F.substring(raw, 2, 1)) == "00") | F.try_validate_utf8(F.decode(raw, "ISO-8859-1")).isNull())
+    return F.when(marked, F.decode(F.substring(raw, 3, 1 << 30), "UTF-16LE")).when(wide, F.decode(raw, "UTF-16LE")).otherwise(F.decode(raw, "UTF-8"))

@@ -116,3 +116,74 @@ def stream_paragraphs(stream: bytes) -> list[str]:
         elif tag == PARA_TEXT and out:
             out[-1] = plain(payload)
     return out
+
+
+def serialize(records: list[tuple[int, int, bytes]]) -> bytes:
+    """A stream of records (parent, tag, payload), parents first, each level its depth in the forest."""
+    depth: list[int] = []
+    for parent, _, _ in records:
+        depth.append(depth[parent] + 1 if parent >= 0 else 0)
+    return b"".join(encode_record(tag, level, data) for (_, tag, data), level in zip(records, depth, strict=True))
+
+
+def count_under(parent: list[int]) -> list[int]:
+    """How many records each one is the root of, itself included; parents come first."""
+    sizes = [1] * len(parent)
+    for i in range(len(parent) - 1, -1, -1):
+        if parent[i] >= 0:
+            sizes[parent[i]] += sizes[i]
+    return sizes
+
+
+# Tags of controls, list headers and tables; names of tags in listings.
+CTRL_HEADER, LIST_HEADER, TABLE = 71, 72, 77
+TAG_NAMES = {66: "PARA_HEADER", 67: "PARA_TEXT", 68: "PARA_CHAR_SHAPE", 69: "PARA_LINE_SEG", 71: "CTRL_HEADER", 72: "LIST_HEADER", 73: "PAGE_DEF", 77: "TABLE"}
+
+
+def write_table(rows: list[list[tuple[str, int, int]]], level: int = 1) -> list[tuple[int, int, bytes]]:
+    """Records (level, tag, payload) of a table whose rows hold (text, row span, column span); cells stand at the first free column of their row."""
+    taken: set[tuple[int, int]] = set()
+    cells = []
+    for r, row in enumerate(rows):
+        c = 0
+        for text, high, wide in row:
+            while (r, c) in taken:
+                c += 1
+            taken |= {(r + i, c + j) for i in range(high) for j in range(wide)}
+            cells.append((r, c, high, wide, text))
+    columns = max((c for _, c in taken), default=-1) + 1
+    head = struct.pack("<IHHH", 0, len(rows), columns, 0) + b"\0" * 8 + b"".join(struct.pack("<H", len(row)) for row in rows) + struct.pack("<H", 1)
+    out = [(level - 1, CTRL_HEADER, b" lbt"), (level, TABLE, head)]
+    for r, c, high, wide, text in cells:
+        out.append((level, LIST_HEADER, struct.pack("<HIHHHHHII4HH", 1, 0, 0, c, r, wide, high, 1000 * wide, 500 * high, 0, 0, 0, 0, 1)))
+        out += [(level, PARA_HEADER, struct.pack("<I", len(text) + 1) + b"\0" * 18), (level + 1, PARA_TEXT, text.encode("utf-16-le") + b"\r\0")]
+    return out
+
+
+def read_tables(data: bytes) -> list[dict]:
+    """Tables of a record stream: rows, columns and the cells with place, spans, size and paragraphs. A cell that is cut off is left out, with a warning."""
+    found = scan(data)
+    up = parents([r[2] for r in found])
+    out: list[dict] = []
+    cell = None
+    for (_, tag, _level, payload, _), parent in zip(found, up, strict=True):
+        if tag == TABLE:
+            rows, columns = struct.unpack_from("<HH", payload, 4) if len(payload) >= 8 else (0, 0)
+            out.append({"rows": rows, "cols": columns, "cells": [], "warnings": [], "parent": parent})
+            cell = None
+        elif out and tag == LIST_HEADER and parent == out[-1]["parent"]:
+            if len(payload) < 24:
+                out[-1]["warnings"].append("cell header is cut off")
+                cell = None
+                continue
+            c, r, wide, high = struct.unpack_from("<4H", payload, 8)
+            width, height = struct.unpack_from("<2I", payload, 16)
+            cell = {"row": r, "col": c, "row_span": high, "col_span": wide, "width": width, "height": height, "paragraphs": []}
+            out[-1]["cells"].append(cell)
+        elif cell is not None and tag == PARA_TEXT:
+            cell["paragraphs"].append("".join(e[3] or "" for e in decode_text(payload)))
+        elif out and parent < out[-1]["parent"]:
+            cell = None
+    for t in out:
+        del t["parent"]
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,3 +55,38 @@ def list_counters(rows: DataFrame, levels: int = 3) -> DataFrame:
 
     importable(rows.sparkSession)
     return rows.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, ord long, marker string", "counts array<int>", "append", "NoTimeout")
+
+
+#: Issues and infos that are recorded, and samples of each code.
+MOST_ISSUES, MOST_SAMPLES = 10_000, 4
+
+
+def issue_totals(issues: DataFrame, most: int = MOST_ISSUES, samples: int = MOST_SAMPLES) -> DataFrame:
+    """key, code, count, sample hashes (the first distinct ones, sorted), whether they are all, and whether all issues were recorded, after each batch of issues (key, code, detail).
+
+    State is one key's counts and samples, so it stays small however many issues come; what is over the limit only clears `recorded`.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        total, held = (state.get[0], json.loads(state.get[1])) if state.exists else (0, {})
+        whole = held.pop("", True)
+        for code, detail in pd.concat(list(batches))[["code", "detail"]].itertuples(index=False):
+            if total >= most:
+                whole = False
+                continue
+            total += 1
+            digest = hashlib.sha256((detail or "").encode()).hexdigest()
+            count, seen, complete = held.get(code, (0, [], True))
+            if digest not in seen:
+                if len(seen) < samples:
+                    seen = sorted([*seen, digest])
+                else:
+                    complete = False
+            held[code] = (count + 1, seen, complete)
+        state.update((total, json.dumps(held | {"": whole})))
+        rows = [(key[0], code, count, seen, complete, whole) for code, (count, seen, complete) in held.items()]
+        yield pd.DataFrame(rows, columns=["key", "code", "count", "samples", "complete", "recorded"])
+
+    importable(issues.sparkSession)
+    shape = "key long, code string, count long, samples array<string>, complete boolean, recorded boolean"
+    return issues.groupBy("key").applyInPandasWithState(step, shape, "total long, held string", "update", "NoTimeout")
