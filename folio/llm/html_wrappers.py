@@ -133,7 +133,7 @@ def parse(html: str) -> Node:
     places: dict[str, list[int]] = {}  # where in the stack each name is open
 
     def last(names) -> int:
-        return max((places[x][-1] for x in names if places.get(x)), default=0)
+        return max([at[-1] for name, at in places.items() if at and name in names], default=0)
 
     def close(i: int) -> None:
         while len(stack) > i:
@@ -204,6 +204,8 @@ def merge(a: Node, b: Node, key: str | None = None) -> Node:
 
 def fold_repeats(children: list[Node], longest: int = 3) -> list[Node]:
     """Like neighbours become one repeated node, recurring sequences of two or three a repeated group."""
+    if len({c.key for c in children}) == len(children):
+        return children
     out: list[Node] = []
     for c in children:
         if out and out[-1].key == c.key:
@@ -285,9 +287,14 @@ def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 def align(a: list[Node], b: list[Node]) -> list[Node]:
     """Elements of equal keys merge in order; what only one side has becomes optional."""
     a, b = _regroup(a, b), _regroup(b, a)
-    out, i, j = [], 0, 0
+    i = 0
+    while i < len(a) and i < len(b) and a[i].key == b[i].key:
+        i += 1
+    j, out = i, [merge(x, y) for x, y in zip(a[:i], b[:i], strict=True)]
+    if i == len(a) == len(b):
+        return fold_repeats(_with_any_marks(out))
     lone: list[Node] = []
-    for x, y in [*matched([n.key for n in a], [n.key for n in b]), (len(a), len(b))]:
+    for x, y in [*((x + i, y + i) for x, y in matched([n.key for n in a[i:]], [n.key for n in b[i:]])), (len(a), len(b))]:
         lone += [*a[i:x], *b[j:y]]
         out += [*a[i:x], *b[j:y]]
         if x < len(a):
