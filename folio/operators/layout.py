@@ -6,10 +6,15 @@ count of lines. Proportional fonts need a shaper, which is not part of this engi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import escape_xml
+from ..workers import importable
 
 
 def lines(paras: DataFrame, columns: int) -> DataFrame:
@@ -26,17 +31,29 @@ def paginate(rows: DataFrame, per_page: int) -> DataFrame:
 
 
 def keep_together(rows: DataFrame, per_page: int) -> DataFrame:
-    """Pages of blocks (doc_id, ord, height) that are not cut: a block that does not fit begins a page. A fold of each document's heights."""
-    sorted_ = F.array_sort(F.collect_list(F.struct("ord", "height")))
-    start = F.struct(F.lit(0).cast("long").alias("page"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<ord: bigint, page: bigint, y: bigint>>").alias("out"))
-
-    def step(acc, x):
-        over = (acc["used"] > 0) & (acc["used"] + x["height"] > per_page)
-        page, y = acc["page"] + F.when(over, 1).otherwise(0), F.when(over, F.lit(0).cast("long")).otherwise(acc["used"])
-        return F.struct(page.cast("long").alias("page"), (y + x["height"]).cast("long").alias("used"), F.concat(acc["out"], F.array(F.struct(x["ord"].cast("long").alias("ord"), page.cast("long").alias("page"), y.cast("long").alias("y")))).alias("out"))
+    """Pages of blocks (doc_id, ord, height) that are not cut: a block that does not fit begins a page.
 
-    folded = rows.groupBy("doc_id").agg(F.aggregate(sorted_, start, step)["out"].alias("o"))
-    return folded.select("doc_id", F.explode("o").alias("b")).select("doc_id", "b.*")
+    A document's blocks come sorted to one task and are placed as they stream by; what is held is a page and a height.
+    """
+    importable(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, page, used = None, 0, 0
+        for batch in batches:
+            pages, tops = [], []
+            for doc, height in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (doc,) != open_:
+                    open_, page, used = (doc,), 0, 0
+                if used > 0 and used + height > per_page:
+                    page, used = page + 1, 0
+                pages.append(page)
+                tops.append(used)
+                used += height
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pages, pa.int64()), pa.array(tops, pa.int64())], names=["doc_id", "ord", "page", "y"])
+
+    one = rows.select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("height").cast("long").alias("height"))
+    shape = StructType([one.schema["doc_id"], *(StructField(n, LongType()) for n in ("ord", "page", "y"))])
+    return one.repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInArrow(run, shape)
 
 
 def display_items(paged: DataFrame, advance: float = 6.0, leading: float = 12.0) -> DataFrame:

@@ -151,3 +151,42 @@ def preview_text(spark, sf):
     raw = F.when(k == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(t, "UTF-16LE"))).when(k == 1, F.encode(t, "UTF-16LE")).otherwise(F.encode(t, "UTF-8"))
     docs = table(spark, sf, "conversations").select("conv_id", "turn", raw.alias("raw"))
     return docs.select("conv_id", "turn", frames.previews(docs, "raw").alias("text"))
+
+
+@query("package_tables", "select table_id, 0 as table, row_idx, col_idx, row_span, col_span, 1000 * col_span as width, 500 * row_span as height, text from cells", ("cells",))
+def package_tables(spark, sf):
+    """Tables written into packages and read again, spans and sizes included."""
+    return frames.package_cells(frames.packages_of(cells(spark, sf))).drop("error")
+
+
+@query("package_structure", "select doc_id, 0 as section, count(*) as paragraphs, 0 as tables, 0 as pictures, cast(sum(length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'))) as bigint) as chars from paras group by doc_id", ("paras",))
+def package_structure(spark, sf):
+    return frames.structures(frames.to_files(paras(spark, sf), "hwpx")).drop("error")
+
+
+@query("archive_limits", "select doc_id, doc_id % 2 = 0 and count(*) < 200 as kept from paras group by doc_id having count(*) < 200", ("paras",))
+def archive_limits(spark, sf):
+    """Archives of three and of four entries against a limit of three."""
+    docs = paras(spark, sf)
+    short = docs.join(docs.groupBy("doc_id").count().where("count < 200").select("doc_id"), "doc_id", "left_semi")
+    files = frames.to_files(short.where("doc_id % 2 = 0"), "docx").unionByName(frames.to_files(short.where("doc_id % 2 = 1"), "hwpx"))
+    return frames.limited(files, {"entries": 3}).select("doc_id", "kept")
+
+
+@query("package_replace", "select doc_id, para_idx, replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), 'an', '<and>') as text from paras", ("paras",))
+def package_replace(spark, sf):
+    """A text replaced inside packages, then read again."""
+    files = frames.replaced(frames.to_files(paras(spark, sf), "hwpx"), "an", "<and>")
+    return frames.paragraphs(frames.read_files(files.drop("error")), "doc_id")
+
+
+@query("place_spans", "select table_id, row_idx, col_idx, row_span, col_span from cells", ("cells",))
+def place_spans(spark, sf):
+    """Cells of HTML rows, which say spans but no columns, put into their first free slots."""
+    rows = cells(spark, sf).groupBy("table_id", "row_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "row_span", "col_span"))), lambda x: F.struct(x["row_span"].cast("int").alias("r"), x["col_span"].cast("int").alias("c"))).alias("spans"))
+    per = rows.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "spans"))), lambda x: x["spans"]).alias("rows"))
+    kind = pa.list_(pa.struct([("row_idx", pa.int64()), ("col_idx", pa.int64()), ("row_span", pa.int64()), ("col_span", pa.int64())]))
+    names = ("row_idx", "col_idx", "row_span", "col_span")
+    put = lambda tables: pa.array([[dict(zip(names, p, strict=True)) for p in markup.place_spans([[(s["r"], s["c"]) for s in row] for row in t])] for t in tables], kind)
+    found = frames.map_column(per, put, "rows", "places", "array<struct<row_idx: bigint, col_idx: bigint, row_span: bigint, col_span: bigint>>")
+    return found.select("table_id", F.explode("places").alias("p")).select("table_id", "p.*")

@@ -250,3 +250,43 @@ def previews(df: DataFrame, column: str) -> Column:
     marked = F.hex(F.substring(raw, 1, 2)) == "FFFE"
     wide = (F.octet_length(raw) % 2 == 0) & (marked | (F.hex(F.substring(raw, 2, 1)) == "00") | F.try_validate_utf8(F.decode(raw, "ISO-8859-1")).isNull())
     return F.when(marked, F.decode(F.substring(raw, 3, 1 << 30), "UTF-16LE")).when(wide, F.decode(raw, "UTF-16LE")).otherwise(F.decode(raw, "UTF-8"))
+
+
+def packages_of(cells: DataFrame) -> DataFrame:
+    """table_id, content: each table's cells as a package with one table."""
+    names = {"row": "row_idx", "col": "col_idx", "row_span": "row_span", "col_span": "col_span", "text": "text"}
+    per = cells.groupBy("table_id").agg(F.collect_list(F.struct(*(F.col(c).alias(k) for k, c in names.items()))).alias("cells"))
+    return map_column(per, lambda rows: pa.array([packages.write_tables([cells]) for cells in rows], pa.binary()), "cells", "content", "binary").drop("cells")
+
+
+def package_cells(files: DataFrame) -> DataFrame:
+    """Cells of the tables of packages: table (its place in the package), row_idx, col_idx, spans, size and text; what can't be read has an error."""
+    kind = pa.list_(pa.struct([("table", pa.int32()), ("row", pa.int64()), ("col", pa.int64()), ("row_span", pa.int32()), ("col_span", pa.int32()), ("width", pa.int64()), ("height", pa.int64()), ("text", pa.string())]))
+    read = lambda data: [c | {"table": i} for i, t in enumerate(packages.read_tables(data)) for c in t]
+    found = _guarded(files, read, "content", "cells", kind, "array<struct<table: int, row: bigint, col: bigint, row_span: int, col_span: int, width: bigint, height: bigint, text: string>>")
+    keys = [c for c in files.columns if c != "content"]
+    return found.select(*keys, "error", F.explode_outer("cells").alias("c")).select(*keys, "error", "c.*").withColumnsRenamed({"row": "row_idx", "col": "col_idx"})
+
+
+def structures(files: DataFrame) -> DataFrame:
+    """Counts of each section of packages, without their text."""
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("paragraphs", "tables", "pictures", "chars")]))
+    found = _guarded(files, packages.structure, "content", "sections", kind, "array<struct<paragraphs: bigint, tables: bigint, pictures: bigint, chars: bigint>>")
+    keys = [c for c in files.columns if c != "content"]
+    return found.select(*keys, "error", F.posexplode_outer("sections").alias("section", "s")).select(*keys, "error", "section", "s.*")
+
+
+def limited(files: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Whether each package keeps the limits, before anything is inflated."""
+
+    def read(data: bytes) -> bool:
+        packages.check(data, packages.LIMITS | limits)
+        return True
+
+    found = _guarded(files, read, "content", "kept", pa.bool_(), "boolean")
+    return found.withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+def replaced(files: DataFrame, old: str, new: str) -> DataFrame:
+    """Packages with a text replaced in their sections, other entries as they are packed; broken ones have an error."""
+    return _guarded(files, lambda data: packages.replace_in_package(data, old, new), "content", "content_", pa.binary(), "binary").withColumnRenamed("content_", "content")

@@ -80,6 +80,95 @@ def write_sections(sections: list[list[str]], title: str = "") -> bytes:
     return zipped(files)
 
 
+def _paragraph_texts(p: ElementTree.Element) -> list[str]:
+    """A paragraph's own text, then those of the paragraphs inside it, as in cells."""
+    own, inner, nodes = [], [], [p]
+    while nodes:
+        for x in nodes.pop():
+            if x.tag == f"{{{PARA_NS}}}t":
+                own.append("".join(x.itertext()))
+            elif x.tag == f"{{{PARA_NS}}}tbl":
+                inner += [text for q in _cell_paragraphs(x) for text in _paragraph_texts(q)]
+            else:
+                nodes.append(x)
+    return ["".join(own), *inner]
+
+
+def _inside(node: ElementTree.Element, name: str, stop: str) -> list[ElementTree.Element]:
+    """Elements of a name under a node in order, not those inside a `stop`."""
+    out = []
+    for x in node:
+        if x.tag == f"{{{PARA_NS}}}{name}":
+            out.append(x)
+        elif x.tag != f"{{{PARA_NS}}}{stop}":
+            out += _inside(x, name, stop)
+    return out
+
+
+def _cell_paragraphs(table: ElementTree.Element) -> list[ElementTree.Element]:
+    return [p for cell in _inside(table, "tc", "tbl") for p in _inside(cell, "p", "tbl")]
+
+
+def table_xml(cells: list[dict]) -> str:
+    """A table element of cells (row, col, row_span, col_span, text); a text's lines are its paragraphs."""
+    rows: dict[int, list[dict]] = {}
+    for c in sorted(cells, key=lambda c: (c["row"], c["col"])):
+        rows.setdefault(c["row"], []).append(c)
+    paragraph = lambda t: f'<hp:p><hp:run><hp:t xml:space="preserve">{xml_text(t)}</hp:t></hp:run></hp:p>'
+    cell = lambda c: (
+        f'<hp:tc><hp:subList>{"".join(map(paragraph, c["text"].split(chr(10))))}</hp:subList><hp:cellAddr colAddr="{c["col"]}" rowAddr="{c["row"]}"/>'
+        f'<hp:cellSpan colSpan="{c["col_span"]}" rowSpan="{c["row_span"]}"/><hp:cellSz width="{1000 * c["col_span"]}" height="{500 * c["row_span"]}"/></hp:tc>'
+    )
+    high = max((c["row"] + c["row_span"] for c in cells), default=0)
+    wide = max((c["col"] + c["col_span"] for c in cells), default=0)
+    return f'<hp:tbl rowCnt="{high}" colCnt="{wide}">{"".join("<hp:tr>" + "".join(map(cell, r)) + "</hp:tr>" for r in rows.values())}</hp:tbl>'
+
+
+def write_tables(tables: list[list[dict]]) -> bytes:
+    """A package whose one section has a paragraph for each table."""
+    body = "".join(f'<hp:p id="{i}" styleIDRef="0"><hp:run charPrIDRef="0">{table_xml(t)}</hp:run></hp:p>' for i, t in enumerate(tables))
+    section = f'<?xml version="1.0" encoding="UTF-8"?><hs:sec xmlns:hs="{SECTION_NS}" xmlns:hp="{PARA_NS}">{body}</hs:sec>'
+    manifest = '<?xml version="1.0" encoding="UTF-8"?><opf:package xmlns:opf="http://www.idpf.org/2007/opf/"><opf:manifest><opf:item id="section0" href="Contents/section0.xml"/></opf:manifest></opf:package>'
+    return zipped([("mimetype", MIMETYPE), ("version.xml", '<?xml version="1.0" encoding="UTF-8"?><version major="5" minor="1"/>'), ("Contents/section0.xml", section), ("Contents/content.hpf", manifest)])
+
+
+def _sections(data: bytes, limits: dict[str, int]) -> list[ElementTree.Element]:
+    check(data, limits)
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        if encrypted(z, limits):
+            raise PackageError("encrypted")
+        names = sorted((n for n in z.namelist() if re.fullmatch(r"Contents/section\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        return [part(z, n, limits) for n in names]
+
+
+def read_tables(data: bytes, limits: dict[str, int] = LIMITS) -> list[list[dict]]:
+    """Cells (row, col, spans, width, height, text) of every table of a package in order, nested ones after the one that holds them."""
+    out = []
+    number = lambda x, name, key, other: int((x.find(f"{{{PARA_NS}}}{name}") if x.find(f"{{{PARA_NS}}}{name}") is not None else {}).get(key, other))
+    for root in _sections(data, limits):
+        for table in root.iter(f"{{{PARA_NS}}}tbl"):
+            cells = []
+            for c in _inside(table, "tc", "tbl"):
+                text = "\n".join(_paragraph_texts(p)[0] for p in _inside(c, "p", "tbl"))
+                cells.append({"row": number(c, "cellAddr", "rowAddr", 0), "col": number(c, "cellAddr", "colAddr", 0), "row_span": number(c, "cellSpan", "rowSpan", 1), "col_span": number(c, "cellSpan", "colSpan", 1), "width": number(c, "cellSz", "width", 0), "height": number(c, "cellSz", "height", 0), "text": text})
+            out.append(cells)
+    return out
+
+
+def structure(data: bytes, limits: dict[str, int] = LIMITS) -> list[dict]:
+    """Paragraphs, tables, pictures and characters of each section, no text kept."""
+    count = lambda root, name: sum(1 for _ in root.iter(f"{{{PARA_NS}}}{name}"))
+    return [{"paragraphs": count(r, "p"), "tables": count(r, "tbl"), "pictures": count(r, "pic"), "chars": sum(len("".join(t.itertext())) for t in r.iter(f"{{{PARA_NS}}}t"))} for r in _sections(data, limits)]
+
+
+def manifest(data: bytes) -> list[tuple[str, str]]:
+    """(id, href) of the items that a package lists."""
+    check(data)
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        root = part(z, "Contents/content.hpf")
+    return [(x.get("id", ""), x.get("href", "")) for x in root.iter() if x.tag.rsplit("}", 1)[-1] == "item"]
+
+
 def read_sections(data: bytes, limits: dict[str, int] = LIMITS) -> list[list[str]]:
     """Paragraph texts by section, sections in numeric order; broken or oversized packages raise PackageError."""
     try:
@@ -91,7 +180,7 @@ def read_sections(data: bytes, limits: dict[str, int] = LIMITS) -> list[list[str
             out = []
             for n in names:
                 root = part(z, n, limits)
-                out.append(["".join("".join(t.itertext()) for t in p.iter(f"{{{PARA_NS}}}t")) for p in root.iter(f"{{{PARA_NS}}}p")])
+                out.append([text for p in root.findall(f"{{{PARA_NS}}}p") for text in _paragraph_texts(p)])
             return out
     except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, NotImplementedError, EOFError) as e:
         raise PackageError(str(e)) from e

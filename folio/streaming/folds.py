@@ -39,22 +39,25 @@ def stream_table(spark, path: str, files_per_trigger: int = 1) -> DataFrame:
 def list_counters(rows: DataFrame, levels: int = 3) -> DataFrame:
     """doc_id, ord, marker for paragraphs (doc_id, ord, level) that arrive in document order, batch by batch.
 
-    State is a document's counters; a row adds one to its level and clears the deeper ones.
+    State is a document's counters and the last place seen; a row adds one to its level and clears the deeper ones. A row
+    that comes after one of a later place fails the stream, as markers that were sent can't be taken back.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        counts = list(state.get[0]) if state.exists else [0] * levels
+        counts, last = (list(state.get[0]), state.get[1]) if state.exists else ([0] * levels, None)
         rows = pd.concat(list(batches)).sort_values("ord")
+        if last is not None and len(rows) and rows["ord"].iloc[0] < last:
+            raise ValueError(f"paragraph {rows['ord'].iloc[0]} of document {key[0]} comes after {last}")
         out = []
         for o, level in zip(rows["ord"], rows["level"], strict=True):
             counts[level - 1] += 1
             counts[level:] = [0] * (levels - level)
             out.append((key[0], o, ".".join(str(max(c, 1)) for c in counts[:level]) + "."))
-        state.update((counts,))
+        state.update((counts, int(rows["ord"].iloc[-1])))
         yield pd.DataFrame(out, columns=["doc_id", "ord", "marker"])
 
     importable(rows.sparkSession)
-    return rows.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, ord long, marker string", "counts array<int>", "append", "NoTimeout")
+    return rows.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, ord long, marker string", "counts array<int>, last long", "append", "NoTimeout")
 
 
 #: Issues and infos that are recorded, and samples of each code.
