@@ -1,6 +1,8 @@
 """A cleaning pipeline over documents: each stage works on what the stage before it kept.
 
-Quality classifier, n-gram Jaccard join, benchmark decontamination, secret scans, packing.
+Quality classifier, n-gram Jaccard join, benchmark decontamination, secret scans, packing. In all of them a null text is
+empty, a long text is read whole, an empty table gives an empty one, and columns other than doc_id and text pass through
+unread, whatever their names, but for n_chars, which follows redacted texts.
 """
 
 from __future__ import annotations
@@ -20,28 +22,34 @@ MIN_SCORE = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among docs, gives MIN_SCORE or more."""
+    """Documents that the classifier, fitted on the labelled ones among docs, gives MIN_SCORE or more.
+
+    A score of MIN_SCORE stays. Equal texts get one score, so repeated rows stay or go together; empty ones are scored as any.
+    """
     model, name = fit_folds(docs, table(spark, sf_dir, "labels")), free_name(docs.columns, "score")
     return score(docs, model, name).where(F.col(name) >= MIN_SCORE).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each component of linked documents."""
+    """One document, that with the smallest doc_id, of each component of linked documents.
+
+    Rows that repeat doc_id and text are one; empty texts link with nothing and all stay.
+    """
     return keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; empty ones hold none, equal ones go or stay together."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets and linked identifiers replaced."""
+    """All documents, repeated and empty ones too, with secrets and linked identifiers replaced."""
     return redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids in sequences of 4096 tokens."""
+    """Pieces of the documents' ids in sequences of 4096 tokens; repeated rows are packed as often, an empty text is its end id."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -54,7 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each written as Parquet and reread as the next one's docs."""
+    """The stages in order, each written as Parquet and reread as the next one's docs; documents that any stage drops are in no later one."""
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"{i}")

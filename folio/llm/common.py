@@ -17,12 +17,17 @@ from ..workers import importable
 BATCH_ROWS = 1000
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; where it is unset, a local master gets one of its own, and any other is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="folio-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        base = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="folio-"))
     return base.rstrip("/")
 
 
@@ -68,7 +73,7 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Settings of the operators that run Python: small batches, and workers that can import this package."""
+    """Settings of the operators that run Python: small batches, and workers that can import this package. Both stay with the session, as plans run later."""
     importable(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -259,7 +259,8 @@ class SetJoin:
     """Links between documents whose sets of n-word shingles have a Jaccard similarity of percent / 100 or more.
 
     docs: doc_id, text (null: empty; other columns are not read). Documents with equal sets are one class; repeated rows
-    stay rows of members(). Classes and shingles are told apart by 64-bit hashes.
+    stay rows of members(). A similarity that equals the bound links; a long text is one set, read whole; empty sets link
+    with nothing; an empty table has no members. Classes and shingles are told apart by 64-bit hashes.
     """
 
     def __init__(self, docs: DataFrame, n: int = 4, percent: int = 85, hot: int = HOT):

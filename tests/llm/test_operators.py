@@ -492,6 +492,19 @@ def test_quality_of_held_out_documents(spark):
     assert len(rows) > 30 and auc > 0.9 and np.mean([p == y for _, p, y in rows]) > 0.85
 
 
+def test_ties_have_one_result(spark):
+    from folio.llm.html_wrappers import extract_text
+    from folio.llm.quality_model import fit, score
+
+    df = spark.createDataFrame([(i, "the same words in every text") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert len({r.score for r in score(df, fit(df, labels)).collect()}) == 1
+    half = "<div class=a><p>some words of the left side</p></div><div class=b><p>some words of the right side</p></div>"
+    pages = spark.createDataFrame([(i, "http://tie.example/", half) for i in range(5)], "page_id long, url string, html string")
+    texts = [{r.text for r in extract_text(pages.repartition(n)).collect()} for n in (1, 3)]
+    assert texts[0] == texts[1] and len(texts[0]) == 1
+
+
 def test_clashing_columns_pass_through(spark):
     from folio.llm.decontamination import drop_contaminated
     from folio.llm.quality_model import fit, score
