@@ -2,6 +2,8 @@
 
 Rows are (doc_id, ord, level, ...). A counter of level L counts rows of level L since the last row of a smaller level;
 two windows over one sort give it, so a document is one exchange and one sort however many levels it has.
+
+A document is one group and so one task: its rows are read in order. Documents, not corpora, bound what a task sorts.
 """
 
 from __future__ import annotations

@@ -1,8 +1,11 @@
-"""Search, assembly and text edits over paragraphs (doc_id, para_idx, text)."""
+"""Search, assembly and text edits over paragraphs (doc_id, para_idx, text).
+
+What needs a document's order is one window by document, so one document is one task; the rest is projection.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import utf16_length
@@ -119,3 +122,37 @@ def digest(paras: DataFrame) -> DataFrame:
     """SHA-256 of a document's paragraphs, each framed by its length."""
     frame = F.concat(F.octet_length("text"), F.lit(":"), F.col("text"))
     return paras.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", frame.alias("f")))), lambda x: x["f"]), ""), 256).alias("digest"))
+
+
+def byte_window(text: Column, offset: int, most: int) -> Column:
+    """offset, text, returned, total and truncated of at most so many UTF-8 bytes from an offset; the end moves back to a character's end. Null where the offset is inside a character or behind the text."""
+    raw = F.encode(text, "UTF-8")
+    total = F.octet_length(raw)
+    inside = lambda at: (at < total) & F.hex(F.substring(raw, at + 1, F.lit(1))).rlike("^[89AB]")
+    end = F.least(F.lit(offset + most), total)
+    for _ in range(3):
+        end = F.when((end > offset) & inside(end), end - 1).otherwise(end)
+    out = F.struct(F.lit(offset).alias("offset"), F.decode(F.substring(raw, F.lit(offset + 1), end - offset), "UTF-8").alias("text"), (end - offset).alias("returned"), total.alias("total"), (end < total).alias("truncated"))
+    return F.when((F.lit(offset) <= total) & ~inside(F.lit(offset)), out)
+
+
+def write_markdown(blocks: DataFrame) -> DataFrame:
+    """doc_id, md from blocks (doc_id, ord, kind, level, text, target): headings, list items, quotes, code, links, tables as they are, notes; a blank line between blocks, none between items of a list."""
+    t, level = F.col("text"), F.coalesce(F.col("level"), F.lit(1)).cast("int")
+    one = (
+        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.least(F.greatest(level, F.lit(1)), F.lit(6))), F.lit(" "), t))
+        .when(F.col("kind") == "item", F.concat(F.repeat(F.lit("  "), level - 1), F.lit("- "), t)).when(F.col("kind") == "quote", F.concat(F.lit("> "), F.replace(t, F.lit("\n"), F.lit("\n> "))))
+        .when(F.col("kind") == "code", F.concat(F.lit("```\n"), t, F.lit("\n```"))).when(F.col("kind") == "link", F.concat(F.lit("["), t, F.lit("]("), "target", F.lit(")")))
+        .when(F.col("kind") == "note", F.concat(F.lit("[^"), "target", F.lit("]: "), t)).otherwise(t)
+    )
+    before = F.lag("kind").over(Window.partitionBy("doc_id").orderBy("ord"))
+    gap = F.when(before.isNull(), "").when((before == "item") & (F.col("kind") == "item"), "\n").otherwise("\n\n")
+    lines = blocks.select("doc_id", "ord", F.concat(gap, one).alias("line"))
+    return lines.groupBy("doc_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), ""), F.lit("\n")).alias("md"))
+
+
+def page_path(base: Column, page: Column, pages: Column) -> Column:
+    """stem-N.ext of a page, or the path itself where there is one page only."""
+    named = base.rlike(r"^(.*[^/])\.([^./]+)$")
+    numbered = F.when(named, F.concat(F.regexp_extract(base, r"^(.*[^/])\.([^./]+)$", 1), F.lit("-"), page, F.lit("."), F.regexp_extract(base, r"^(.*[^/])\.([^./]+)$", 2))).otherwise(F.concat(base, F.lit("-"), page))
+    return F.when(pages > 1, numbered).otherwise(base)

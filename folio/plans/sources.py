@@ -190,3 +190,32 @@ def place_spans(spark, sf):
     put = lambda tables: pa.array([[dict(zip(names, p, strict=True)) for p in markup.place_spans([[(s["r"], s["c"]) for s in row] for row in t])] for t in tables], kind)
     found = frames.map_column(per, put, "rows", "places", "array<struct<row_idx: bigint, col_idx: bigint, row_span: bigint, col_span: bigint>>")
     return found.select("table_id", F.explode("places").alias("p")).select("table_id", "p.*")
+
+
+@query("svg_canonical", """select p_partkey, case when p_size % 5 < 3 then concat('<svg viewBox="0 0 ', p_size, ' 10.5" xmlns="http://www.w3.org/2000/svg"><rect fill="#AB12EF" height="2" width="', p_size, '"/></svg>') end as svg, p_size % 5 >= 3 as refused from part""")
+def svg_canonical(spark, sf):
+    """Drawings of the subset, and ones with a script or a comment."""
+    s = F.col("p_size")
+    inside = F.when(s % 5 == 3, "<script>x</script>").when(s % 5 == 4, "<!-- x -->").otherwise(F.concat(F.lit("\n <rect width='+"), s, F.lit(".00' fill='#ab12ef' height='2e0'> </rect>")))
+    text = F.concat(F.lit("<svg xmlns='http://www.w3.org/2000/svg' viewBox='0,0 "), s, F.lit(" 10.50'>"), inside, F.lit("</svg>"))
+    found = frames.canonical_drawings(table(spark, sf, "part").select("p_partkey", text.alias("text")), "text")
+    return found.select("p_partkey", "svg", F.col("error").isNotNull().alias("refused"))
+
+
+def _int32(n):
+    digits = F.lpad(F.hex(F.when(n < 0, n + 4294967296).otherwise(n)), 8, "0")
+    return F.unhex(F.concat(*(F.substring(digits, 7 - 2 * i, 2) for i in range(4))))
+
+
+@query("gradient_blocks", """select p_partkey, case when p_size % 4 <> 3 then p_size % 2 = 0 end as radial, case when p_size % 4 <> 3 then p_size * -1.0::double end as angle, case when p_size % 4 <> 3 then 255 end as step, case when p_size % 4 = 3 then null when p_size % 4 = 2 then [0.0, 0.25, 1.0] else [0.0, 1.0] end as places, case when p_size % 4 = 3 then null when p_size % 4 = 2 then [1, p_partkey, 7] else [1, p_partkey] end as colors from part""")
+def gradient_blocks(spark, sf):
+    """Blocks of two and of three colours, the latter with positions, and cut-off ones."""
+    s, p = F.col("p_size").cast("long"), F.col("p_partkey")
+    head = F.concat(F.unhex(F.when(s % 2 == 0, "02").otherwise("01")), _int32(-s), _int32(F.lit(50).cast("long")), _int32(F.lit(50).cast("long")), _int32(F.lit(255).cast("long")))
+    one = lambda n: _int32(F.lit(n).cast("long"))
+    two = F.concat(head, one(2), one(1), _int32(p))
+    three = F.concat(head, one(3), one(0), one(200), one(50), one(1), one(7), _int32(p))
+    block = F.when(s % 4 == 3, F.substring(two, 1, 20)).when(s % 4 == 2, three).otherwise(two)
+    found = frames.gradients(table(spark, sf, "part").select("p_partkey", block.alias("block")), "block")
+    g = F.col("gradient")
+    return found.select("p_partkey", "gradient.radial", "gradient.angle", "gradient.step", F.transform(g["stops"], lambda x: x["at"]).alias("places"), F.transform(g["stops"], lambda x: x["color"]).alias("colors"))

@@ -171,3 +171,32 @@ def paths_contained(spark, sf):
     k = F.col("page_id") % 4
     p = F.concat(F.when(k == 0, "/").when(k == 1, "../").otherwise(""), F.regexp_extract("url", "/([^/?#]*)", 1))
     return table(spark, sf, "pages").select("page_id", fn.safe_relative(p).alias("safe"))
+
+
+@query("byte_window", """with d as (select doc_id, text, hex(encode(text)) as h, octet_length(encode(text)) as total from documents where text is not null),
+e as (select *, least(60, total) as e0 from d), f as (select *, e0 - case when e0 < total and substr(h, e0 * 2 + 1, 1) in ('8', '9', 'A', 'B') then case when substr(h, e0 * 2 - 1, 1) in ('8', '9', 'A', 'B') then case when substr(h, e0 * 2 - 3, 1) in ('8', '9', 'A', 'B') then 3 else 2 end else 1 end else 0 end as e1 from e)
+select doc_id, case when total >= 10 and not (total > 10 and substr(h, 21, 1) in ('8', '9', 'A', 'B')) then decode(unhex(substr(h, 21, (e1 - 10) * 2))) end as text, case when total >= 10 and not (total > 10 and substr(h, 21, 1) in ('8', '9', 'A', 'B')) then e1 - 10 end as returned,
+case when total >= 10 and not (total > 10 and substr(h, 21, 1) in ('8', '9', 'A', 'B')) then e1 < total end as truncated from f union all select doc_id, null, null, null from documents where text is null""")
+def byte_window(spark, sf):
+    """Fifty bytes from the tenth of every text."""
+    return table(spark, sf, "documents").select("doc_id", op.byte_window(F.col("text"), 10, 50).alias("w")).select("doc_id", "w.text", "w.returned", "w.truncated")
+
+
+_KINDS = ["heading", "item", "item", "quote", "code", "link", "note", "plain"]
+
+
+@query("write_markdown", f"""with b as (select doc_id, para_idx, text, list_extract([{", ".join(f"'{k}'" for k in _KINDS)}], cast(para_idx % 8 + 1 as int)) as kind, para_idx % 3 + 1 as level from paras),
+l as (select doc_id, para_idx, kind, lag(kind) over (partition by doc_id order by para_idx) as before, case kind when 'heading' then concat(repeat('#', cast(level as int)), ' ', text) when 'item' then concat(repeat('  ', cast(level - 1 as int)), '- ', text) when 'quote' then concat('> ', text) when 'code' then concat('```', chr(10), text, chr(10), '```') when 'link' then concat('[', text, '](t', para_idx, ')') when 'note' then concat('[^t', para_idx, ']: ', text) else text end as line from b)
+select doc_id, concat(string_agg(concat(case when before is null then '' when before = 'item' and kind = 'item' then chr(10) else concat(chr(10), chr(10)) end, line), '' order by para_idx), chr(10)) as md from l group by doc_id""", ("paras",))
+def write_markdown(spark, sf):
+    i = F.col("para_idx")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (i % 8 + 1).cast("int"))
+    return op.write_markdown(paras(spark, sf).select("doc_id", i.alias("ord"), kind.alias("kind"), (i % 3 + 1).alias("level"), "text", F.concat(F.lit("t"), i).alias("target")))
+
+
+@query("page_paths", "select doc_id, para_idx + 1 as page, case when n > 1 then concat('out.d/', lang, '-', para_idx + 1, case when doc_id % 2 = 0 then '.png' else '' end) else concat('out.d/', lang, case when doc_id % 2 = 0 then '.png' else '' end) end as path from (select p.doc_id, para_idx, lang, count(*) over (partition by p.doc_id) as n from paras p join documents d on d.doc_id = p.doc_id)", ("paras",))
+def page_paths(spark, sf):
+    base = F.concat(F.lit("out.d/"), "lang", F.when(F.col("doc_id") % 2 == 0, ".png").otherwise(""))
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), base.alias("base"))
+    lines = docs.select("doc_id", "base", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    return lines.select("doc_id", (F.col("k") + 1).cast("long").alias("page"), op.page_path(F.col("base"), F.col("k") + 1, F.col("n")).alias("path"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import importable
-from . import compound, distribution, packages, properties, records
+from . import compound, distribution, drawing, packages, properties, records
 
 
 def _write_compound(paragraphs: list[str]) -> bytes:
@@ -290,3 +290,17 @@ def limited(files: DataFrame, limits: dict[str, int]) -> DataFrame:
 def replaced(files: DataFrame, old: str, new: str) -> DataFrame:
     """Packages with a text replaced in their sections, other entries as they are packed; broken ones have an error."""
     return _guarded(files, lambda data: packages.replace_in_package(data, old, new), "content", "content_", pa.binary(), "binary").withColumnRenamed("content_", "content")
+
+
+def canonical_drawings(df: DataFrame, column: str) -> DataFrame:
+    """df with svg, the canonical form of the drawing in a text column, or error."""
+    raw = df.withColumn("_raw", F.encode(F.col(column), "UTF-8"))
+    return _guarded(raw, lambda data: drawing.canonical_svg(data.decode()), "_raw", "svg", pa.string(), "string")
+
+
+def gradients(df: DataFrame, column: str) -> DataFrame:
+    """df with gradient in place of a binary column: what its block says, null where it says nothing."""
+    stop = pa.struct([("at", pa.float64()), ("color", pa.int64())])
+    kind = pa.struct([("radial", pa.bool_()), ("angle", pa.float64()), ("center_x", pa.int64()), ("center_y", pa.int64()), ("step", pa.int64()), ("stops", pa.list_(stop))])
+    read = lambda rows: pa.array([(drawing.read_gradient(x or b"") or (None, 0))[0] for x in rows], kind)
+    return map_column(df, read, column, "gradient", "struct<radial: boolean, angle: double, center_x: bigint, center_y: bigint, step: bigint, stops: array<struct<at: double, color: bigint>>>").drop(column)

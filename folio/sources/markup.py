@@ -109,7 +109,7 @@ def fragment_blocks(html: str) -> list[tuple[str, str]]:
     return out
 
 
-@udtf(returnType="ord int, kind string, level int, text string")
+@udtf(returnType="ord int, kind string, level int, text string", useArrow=True)
 class MarkdownBlocks:
     """SELECT * FROM docs, LATERAL md_blocks(text)."""
 
@@ -118,7 +118,7 @@ class MarkdownBlocks:
             yield i, kind, level, body
 
 
-@udtf(returnType="ord int, tag string, text string, error string")
+@udtf(returnType="ord int, tag string, text string, error string", useArrow=True)
 class FragmentBlocks:
     """SELECT * FROM pages, LATERAL html_blocks(html); a fragment that is refused is one row with its error."""
 

@@ -222,3 +222,37 @@ def test_shell(capsys):
 
     assert main(["list"]) == 0 and "set_field" in capsys.readouterr().out.split()
     assert main(["run", "no_such", "x"]) == 2 and main([]) == 2
+
+
+def test_drawings_of_the_subset_only():
+    from folio.sources.drawing import DrawingError, canonical_svg, read_gradient
+
+    root = '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1 1">{}</svg>'
+    assert canonical_svg(root.format(" <g><line y2='-0.0' x1='1e3' stroke='#ffaa00'/></g>")) == '<svg viewBox="0 0 1 1" xmlns="http://www.w3.org/2000/svg"><g><line stroke="#FFAA00" x1="1000" y2="0"/></g></svg>'
+    bad = ["<text>x</text>", "<rect onclick='x'/>", "<rect fill='url(#a)'/>", "<circle r='0'/>", "<rect width='-1'/>", "<polygon points='1 2 3 4 5'/>", "<rect x='nan'/>", "<rect x='1e9'/>", "words", "<!--x-->", "<?x?>", "<svg/>", "<rect", "<![CDATA[x]]>", "<g>" * 40 + "</g>" * 40]
+    for inside in bad:
+        with pytest.raises(DrawingError):
+            canonical_svg(root.format(inside))
+    for text in ("", "<g/>", '<?xml version="1.0"?>' + root.format(""), "<!DOCTYPE svg>" + root.format(""), '<svg viewBox="0 0 1 1"/>', root.format("") + root.format(""), root.format(" " * (1 << 20))):
+        with pytest.raises(DrawingError):
+            canonical_svg(text)
+    assert read_gradient(b"") is None and read_gradient(b"\1" + bytes(20)) is None
+
+
+def test_byte_windows_never_cut_characters(spark):
+    from folio.operators.text import byte_window
+
+    text = "aé日😀z"
+    raw = text.encode()
+    df = spark.createDataFrame([(text,), ("",), (None,)], "t string")
+    for offset in range(len(raw) + 2):
+        for most in (1, 2, 3, 4, 5, 20):
+            got = [r.w for r in df.select(byte_window(F.col("t"), offset, most).alias("w")).collect()] if (offset + most) % 5 == 0 else None
+            if got is None:
+                continue
+            whole = offset <= len(raw) and (offset == len(raw) or raw[offset] & 0xC0 != 0x80)
+            end = min(offset + most, len(raw))
+            while whole and end > offset and end < len(raw) and raw[end] & 0xC0 == 0x80:
+                end -= 1
+            assert (got[0].text if got[0] else None) == (raw[offset:end].decode() if whole else None), (offset, most)
+            assert got[2] is None
