@@ -12,7 +12,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -88,16 +88,19 @@ class Encoder:
 
     def _learn(self, pieces: pa.Array, names: list[str]) -> None:
         """Number the pieces, each once: words by the model, others by the whole tokenizer."""
-        tokenize, first = self.model.tokenize, len(self.ends) - 1
+        tokenize, first, found = self.model.tokenize, len(self.ends) - 1, []
         chars = pc.replace_substring(pieces, " ", BYTE_CHARS[32]) if self.spaced else pc.ascii_lower(pieces)
         columns = (chars.to_numpy(zero_copy_only=False).tolist(), pc.match_substring_regex(pieces, _PLAIN).to_pylist(), pc.string_is_ascii(pieces).to_pylist())
         for name, own, word, ascii_ in zip(names, *columns, strict=True):
             if not word:
-                self._add(self._whole(name))
+                found.append(self._whole(name))
                 continue
             if not ascii_:
                 own = (name if self.spaced else name.lower()).encode().decode("latin1").translate(BYTE_CHARS)
-            self._add([t.id for t in tokenize(own)])
+            found.append([t.id for t in tokenize(own)])
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.ends.frombytes((np.cumsum(sizes) + len(self.held)).tobytes())
+        self.held.frombytes(np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum())).tobytes())
         self.known.update(zip(names, range(first, len(self.ends) - 1), strict=True))
         self.chars += sum(map(len, names))
 
@@ -142,12 +145,11 @@ class Encoder:
         pieces[kind == 0], pieces[kind == 1] = own, np.concatenate([*lone, np.zeros(0, np.int64)])
         pieces[kind == 2] = self._add([end]) if closing else 0
         # the ids of all pieces, and of each text
-        ends, ids = np.array(self.ends), np.frombuffer(self.held, self.dtype)
-        starts = ends[pieces]
-        sizes = ends[pieces + 1] - starts
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = ids[np.arange(upto[-1]) + np.repeat(starts - upto[:-1], sizes)]
-        return ids, upto[after] - upto[after - counts - closing]
+        width = self.dtype.itemsize
+        known = pa.Array.from_buffers(pa.large_binary(), len(self.ends) - 1, [None, pa.py_buffer(np.array(self.ends) * width), pa.py_buffer(self.held)])
+        _, ends, ids = known.take(pa.array(pieces)).buffers()
+        upto = np.frombuffer(ends, np.int64, len(pieces) + 1) // width
+        return np.frombuffer(ids or b"", self.dtype, int(upto[-1])), upto[after] - upto[after - counts - closing]
 
     def parts(self, column: pa.Array, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of successive texts (null: empty), each followed by `end`, and how many ids each text has; about PART_BYTES of texts at once."""

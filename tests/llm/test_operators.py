@@ -778,3 +778,12 @@ def test_proximity_at_a_document_start(spark):
     phrases = item_windows(spark.createDataFrame([(1, "x rare")], "item_id long, text string"))
     index = PositionalIndex(df, phrases.selectExpr("explode(terms) term"))
     assert {r.doc_id for r in index.proximity(phrases, 2).join(index.documents(), "dk").collect()} == {1, 2}
+
+
+def test_lists_of_postings_are_joined_once(monkeypatch):
+    from folio.llm import packing
+
+    joins, join = [], np.concatenate
+    index, free = packing.Bm25(*flat([np.array([3, 4, 5, 2], np.uint16)] * 4)), np.ones(4, bool)
+    monkeypatch.setattr(np, "concatenate", lambda x, *a, **k: joins.append(len(x)) or join(x, *a, **k))
+    assert index.ranked(0, free).tolist() == [1, 2, 3] and joins == [3]
