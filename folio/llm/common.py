@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +81,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: What a Python worker holds from one task to the next: a name, and how it is let go.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def alone(name: str = "") -> None:
+    """Begin a task that uses what `name` holds: a reused worker lets all else go, and gives freed memory back to the system."""
+    for other, clear in HELD.items():
+        if other != name:
+            clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

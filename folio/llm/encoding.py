@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import HELD
+
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: ASCII marks that make up one run in the patterns; the apostrophe is left out, contractions begin with it.
 MARKS = r"!-&(-/:-@\[-`{-~"
@@ -169,3 +171,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder a worker process and vocabulary file."""
     return Encoder(path)
+
+
+HELD["encoder"] = encoder.cache_clear

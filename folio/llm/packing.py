@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, small_batches
+from .common import Scratch, alone, mix64, small_batches
 from .encoding import encoder
 
 #: A shard ends with the document that brings it to so many tokens or documents, which bound its index and plan.
@@ -37,6 +37,7 @@ def places(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("encoder")
         enc = encoder(path)
         for batch in batches:
             at = 0
@@ -172,7 +173,7 @@ def _pack(window: int, dtype: str, shard_tokens: int):
             yield emit()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()  # a worker that has tokenized before needs its memory here
+        alone()
         names, ids, sizes, tokens, docs, base = [], [], [], 0, 0, TaskContext.get().partitionId() << 32
         width = np.dtype(dtype).itemsize
         for batch in batches:

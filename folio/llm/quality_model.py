@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, small_batches, strings
+from .common import Scratch, alone, mix64, small_batches, strings
 
 #: Words of one passage.
 PASSAGE_WORDS = 96
@@ -195,6 +195,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: i
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alone()
     words = Words()
     for batch in batches:
         x, starts = encode(strings(batch.column(1)), words)
@@ -224,6 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
 
 def _score(model: AttentionModel, at: int, keep: list[int], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         words = Words()
         for batch in batches:
             x, starts = encode(strings(batch.column(at)), words)

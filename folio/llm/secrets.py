@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import alone, small_batches
 
 
 def _either(word: str) -> str:
@@ -114,6 +114,7 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alone()
     for batch in batches:
         rows = []
         for text in batch.column(1).to_pylist():
@@ -136,6 +137,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alone()
     for batch in batches:
         i, n = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
         texts = [None if t is None else redact(t, scan(t)[1]) for t in batch.column(i).to_pylist()]

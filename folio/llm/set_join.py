@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, mix64, small_batches, strings
+from .common import HELD, Scratch, alone, free_name, mix64, small_batches, strings
 
 #: Rows of a side up to which it is broadcast, counted first; a row is two numbers.
 BROADCAST_ROWS = 500_000
@@ -109,6 +109,9 @@ def _hashes() -> _Hashes:
     return _Hashes()
 
 
+HELD["hashes"] = _hashes.cache_clear
+
+
 def shingles(text: str, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles; a shorter text's words are one shingle, no words none."""
     for c in "\t\n\v\f\r":
@@ -156,6 +159,7 @@ def class_key(h: np.ndarray) -> int:
 
 def _index(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("hashes")
         bands = Bands(percent)
         for batch in batches:
             sizes, classes, bits, spare, lists = [], [], [], [[], []], []
@@ -212,6 +216,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("hashes")
         for batch in batches:
             sets = [shingles(x, n) for x in strings(batch.column(1))]
             right = [class_key(h) == c for h, c in zip(sets, batch.column(0).to_pylist(), strict=True)]

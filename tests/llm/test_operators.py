@@ -780,6 +780,21 @@ def test_proximity_at_a_document_start(spark):
     assert {r.doc_id for r in index.proximity(phrases, 2).join(index.documents(), "dk").collect()} == {1, 2}
 
 
+def test_workers_let_go_of_what_another_operator_held():
+    import pyarrow as pa
+
+    from folio.llm import packing, set_join
+    from folio.llm.encoding import encoder
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["five words make two shingles"])], names=["doc_id", "text"])
+    list(set_join._index(4, 85)(iter([batch])))
+    assert set_join._hashes.cache_info().currsize == 1
+    list(packing._tokenize(WORD_BPE, 2)(iter([batch])))
+    assert set_join._hashes.cache_info().currsize == 0 and encoder.cache_info().currsize == 1
+    list(set_join._index(4, 85)(iter([batch])))
+    assert encoder.cache_info().currsize == 0
+
+
 def test_lists_of_postings_are_joined_once(monkeypatch):
     from folio.llm import packing
 
