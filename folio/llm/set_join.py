@@ -30,6 +30,8 @@ BITS = 1024
 SALTS = 16
 #: Keys before a key by which a pair that was made already is told; any number is exact, more make fewer repeats.
 KEYS_BEFORE = 12
+#: Comparisons up to which the last pairs are made at once; more are made in slices of 64 parts, that end at these parts.
+AT_ONCE, SLICES = 1_000_000, (1, 8, 64)
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _HAS_UPPER = re.compile("[A-Z]")
 _U = np.uint64
@@ -299,7 +301,7 @@ class SetJoin:
     @staticmethod
     def _differ(x: str = "x", y: str = "y"):
         """Parity bits in which two sets differ: at most as many as shingles that only one has."""
-        return F.expr(f"aggregate(zip_with({x}.bits, {y}.bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
+        return F.expr(" + ".join(f"bit_count({x}.bits[{i}] ^ {y}.bits[{i}])" for i in range(BITS // 64)))
 
     def _linked(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """Of the pairs (a, b), those whose sets link."""
@@ -339,8 +341,9 @@ class SetJoin:
 
         First each class meets the class at the head of the bucket with which it shares most keys. Then, turn by turn, the
         buckets that hold several components get other heads, which their classes meet, as long as that joins an eighth of
-        the components; at last every pair of one bucket that is not yet in one component is compared. Pairs inside a
-        component are never made, and links are told as links of components, so that many like sets leave few of them.
+        the components; at last every pair of one bucket that is not yet in one component is compared. Where those are
+        many, a small part of them, dealt by hash, comes first: components that many pairs link are one after it, and the
+        rest of their pairs is never made. Links are told as links of components, so that many like sets leave few of them.
         """
         write = self.scratch.write
         facts = self.classes.select("ck", "n", "bits")
@@ -363,12 +366,24 @@ class SetJoin:
             left = held.select("comp").distinct().count()
         if not left:
             return comps
+        many = held.groupBy("sig").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] > AT_ONCE
+        low = 0
+        for high in SLICES if many else SLICES[-1:]:
+            links = self._verified(self._rest(held, facts, low, high), f"rest{high}")
+            comps, held, _ = self._contract(comps, held, links, f"rest{high}")
+            low = high
+        return comps
+
+    def _rest(self, held: DataFrame, facts: DataFrame, low: int, high: int) -> DataFrame:
+        """Pairs (a, b) of one bucket and two components, of the parts from low to high - 1; a pair is in one part."""
         # a pair is made at the smallest key that both hold: elsewhere some of the keys before it is theirs too
         before = F.collect_list("sig").over(Window.partitionBy("ck").orderBy("sig").rowsBetween(-KEYS_BEFORE, -1))
-        still = write(held.withColumn("before", before).join(facts, "ck"), "last")
+        part = F.pmod(F.xxhash64("ck"), F.lit(SLICES[-1]))
+        still = self.scratch.write(held.withColumn("before", before).withColumn("part", part).join(facts, "ck"), f"last{high}")
         x, y = still.alias("x"), still.alias("y")
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & ~F.arrays_overlap("x.before", "y.before") & self._near()).select(F.col("x.ck").alias("a"), F.col("y.ck").alias("b")).distinct()
-        return self._contract(comps, held, self._verified(pairs, "rest"), "rest")[0]
+        own = (F.col("x.part") + F.col("y.part")) % SLICES[-1]
+        meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & (own >= low) & (own < high)
+        return x.join(y, meet & self._near() & ~F.arrays_overlap("x.before", "y.before")).select(F.col("x.ck").alias("a"), F.col("y.ck").alias("b")).distinct()
 
     def _contract(self, comps: DataFrame, held: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int]:
         """Components, and the buckets that still hold several, after the links of classes (a, b); and how many components are gone."""

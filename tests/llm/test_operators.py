@@ -802,3 +802,28 @@ def test_lists_of_postings_are_joined_once(monkeypatch):
     index, free = packing.Bm25(*flat([np.array([3, 4, 5, 2], np.uint16)] * 4)), np.ones(4, bool)
     monkeypatch.setattr(np, "concatenate", lambda x, *a, **k: joins.append(len(x)) or join(x, *a, **k))
     assert index.ranked(0, free).tolist() == [1, 2, 3] and joins == [3]
+
+
+def test_set_join_of_components_that_many_pairs_link(spark, monkeypatch):
+    from folio.llm import set_join
+
+    rng, rows = random.Random(5), []
+    for family in range(3):
+        base = [f"{family}w{i}" for i in range(400)]
+        for m in range(60):
+            t = list(base)
+            for i in rng.sample(range(400), 2 if m < 30 else 7 if m < 45 else 12):
+                t[i] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(t)))
+    made, verified = collections.Counter(), set_join.SetJoin._verified
+
+    def counted(self, pairs, name):
+        made[name.rstrip("0123456789")] += pairs.count()
+        return verified(self, pairs, name)
+
+    monkeypatch.setattr(set_join, "AT_ONCE", 0, raising=False)
+    monkeypatch.setattr(set_join.SetJoin, "_verified", counted)
+    monkeypatch.setattr(set_join.SetJoin, "_heads", lambda self, held, facts, turn: self.buckets.selectExpr("ck a", "ck b").limit(0))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in set_join.SetJoin(spark.createDataFrame(rows, "doc_id long, text string")).members().collect()}
+    assert got == components(rows)
+    assert made["rest"] < 500  # all at once they are 623
