@@ -235,9 +235,10 @@ def best_lag(spark, sf):
 a as (select id, x, y from p where v > 0.15), b as (select id, x, y from p where v < -0.15)
 select a.id, avg(case when exists (select 1 from b where b.id = a.id and abs(b.x - a.x) <= 1 and abs(b.y - a.y) <= 1) then 1.0::double else 0.0::double end) as share from a group by a.id""")
 def roi_precision(spark, sf):
+    """Bounds are floats, as the pixels and the SQL's comparisons are: a pixel of just 0.15 is no ink on either side."""
     pixels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("i", "v"))
     at = pixels.select("id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).alias("y"), "v")
-    return raster.tolerant_share(at.where("v > 0.15D").select("id", "x", "y"), at.where("v < -0.15D").select("id", "x", "y"), 1)
+    return raster.tolerant_share(at.where("v > 0.15F").select("id", "x", "y"), at.where("v < -0.15F").select("id", "x", "y"), 1)
 
 
 @query("media_box_delta", "with p as (select a.vec_id as id, a.embedding as a, b.embedding as b from embeddings a join embeddings b on b.vec_id = a.vec_id + 1) select id, list_max(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2])))::double as delta from p")

@@ -82,3 +82,11 @@ def test_large_batches_are_taken_in_pieces(spark):
     found = frames.map_column(rows, lambda given: pa.array([len(given)] * len(given), pa.int64()), "data", "together", "bigint").select("id", "together").collect()
     assert sorted(r.id for r in found) == list(range(20)) and max(r.together for r in found) < 10
     assert frames.map_column(rows.limit(0), lambda given: pa.array(given, pa.binary()), "data", "again", "binary").count() == 0
+
+
+def test_ink_bounds_are_floats(spark, tables):
+    more, less = 0.15000002, -0.15000002  # the next floats
+    rows = [(1, [0.15, more, 0.0, less]), (2, [more, -0.15, 0.0, 0.0]), (3, [0.15, less, 0.0, 0.0]), (4, [more, less, 0.15, -0.15])]
+    sf = tables("embeddings", rows, "vec_id long, embedding array<float>")
+    found = {r.id: r.share for r in QUERIES["roi_precision"](spark, sf).collect()}
+    assert found == {1: 0.0, 2: 0.0, 4: 1.0}
