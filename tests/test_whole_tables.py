@@ -90,3 +90,10 @@ def test_ink_bounds_are_floats(spark, tables):
     sf = tables("embeddings", rows, "vec_id long, embedding array<float>")
     found = {r.id: r.share for r in QUERIES["roi_precision"](spark, sf).collect()}
     assert found == {1: 0.0, 2: 0.0, 4: 1.0}
+
+
+def test_letters_beyond_four(spark, tables):
+    ns = [18_278, 18_279, 475_254, 475_255, 1_200_000, 12_356_630, 12_356_631, 2**32 - 1]
+    sf = tables("part", [(n - 1, 1) for n in ns], "p_partkey long, p_size int")
+    found = {r.n: (r.latin_lower, r.latin_upper) for r in QUERIES["format_number"](spark, sf).collect()}
+    assert found == {n: (latin(n), latin(n).upper()) for n in ns} and found[475_255][1] == "AAAAA"
